@@ -133,7 +133,7 @@ def packed(docs: DataFrame, bounds: list[int], *, lend_last: bool = False) -> Da
 
 def to_blob(piece: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as writer:
         writer.write_table(piece)
     return sink.getvalue().to_pybytes()
 
