@@ -81,16 +81,16 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return taken
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (how often the mix takes the document) of all rows.
 
     Null text has size 0; a null source is a source, last in order; documents of size 0 are never taken. Of equal
     lengths in a source the seeded hash of doc_id decides; rows that agree in it are alike, so reruns agree but for
-    which of such twins is taken. An empty table gives no rows. Texts are read once; then only ids and sizes move.
+    which of such twins is taken. An empty table gives no rows; columns named in `carry` come along. Texts are read once; then only ids and sizes move.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     deal = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(DEALS))
-    rows = cut(docs.select("doc_id", "source", size.alias("size")).withColumn("__deal", deal))
+    rows = cut(docs.select("doc_id", "source", size.alias("size"), *carry).withColumn("__deal", deal))
     lengths = rows.groupBy("source", "size", "__deal").agg(F.count(F.lit(1)).alias("n"))
     counted = lengths.groupBy("source", "size").agg(F.sum("n").alias("n"))
     goal = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
@@ -116,12 +116,28 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = M
     quota = F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("__before")))
     deals = deals.select("d.source", "d.size", "d.__deal", "source_size", "target", "whole", "n", quota.alias("quota")).alias("d")
     out = rows.alias("r").join(deals, F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.size") == F.col("d.size")) & (F.col("r.__deal") == F.col("d.__deal")))
-    out = out.select("r.doc_id", "r.source", "r.size", "r.__deal", "source_size", "target", "whole", "n", "quota")
+    out = out.select("r.doc_id", "r.source", "r.size", "r.__deal", *[f"r.{c}" for c in carry], "source_size", "target", "whole", "n", "quota")
     rank = F.row_number().over(W.partitionBy("source", "size", "__deal").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"))
     split = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
     some = out.filter(split).withColumn("__rank", rank).withColumn("extra", (F.col("__rank") <= F.col("quota")).cast("long")).drop("__rank")
     rest = out.filter(~split).withColumn("extra", (F.col("quota") > 0).cast("long"))
-    return some.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
+    return some.unionByName(rest).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), *carry)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, as often as the mix takes them, with all columns; see `mix`.
+
+    Rows that agree in doc_id and text share what the mix takes of them evenly.
+    """
+    key = F.xxhash64("doc_id", "source", F.md5("text"))
+    keyed = docs.withColumn("__row", key)
+    taken = mix(keyed, carry=("__row",), **options).groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
+    rows = keyed.join(taken.filter("__copies > 0"), "__row")
+    turn = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
+    rows = rows.withColumn("__turn", turn)
+    times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__turn") <= F.col("__copies") % F.col("__n")).cast("long")
+    rows = rows.withColumn("__times", times).filter("__times > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir):

@@ -71,13 +71,13 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end_
     result is determined. An empty table gives no rows; other columns are not looked at.
     """
     path = path or vocabulary_path(VOCABULARY)
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches):
         from pyspark import TaskContext
 
         base, made = TaskContext.get().partitionId() << 36, 0
-        words, levels, rows = encoder(path), SumOfSquares(length), []
+        words, levels, rows, kept = encoder(path), SumOfSquares(length), [], []
 
         def encoded(b):
             docs, texts, held = [], [], 0
@@ -95,7 +95,9 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end_
             at = 0
             for doc, start, ids, total in pieces:
                 row = (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, base + made, at)
-                rows.append((*row, ids.tolist()) if with_ids else row)
+                rows.append(row)
+                if with_ids:
+                    kept.append(ids)
                 at += len(ids)
             made += 1
 
@@ -115,9 +117,13 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end_
                 emit(window)
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32))))
             rows.clear()
-            return out
+            kept.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for b in batches:
             for doc, found in encoded(b):
@@ -136,7 +142,7 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end_
         if rows:
             yield batch()
 
-    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
+    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 

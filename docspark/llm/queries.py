@@ -1,20 +1,24 @@
 """The registered queries of this subpackage and their SQL."""
 
+from .ann import op8_ann
 from .counting import op5_token_counts
 from .fingerprints import op2_syncmers
 from .language import op10_language
+from .minhash import op1_minhash
 from .mixing import op3_mixing
 from .packing import op4_packing
 from .repeats import op7_substring_dedup, op9_suffix_dedup
 from .secrets import op6_secrets
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_syncmers": op2_syncmers,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_ann": op8_ann,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
 }
