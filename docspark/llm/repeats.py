@@ -3,8 +3,8 @@
 The table is dealt once into ranges of doc_id ("groups", about 8 MB of text each), so that an earlier group holds
 only smaller ids. Three passes over the groups follow; between them only sorted, delta-coded hashes move:
 
-1. seeds: every group sends hashes of short seeds. A reducer holds one slice of the hash range and returns to each
-   group those of its seeds that occur again anywhere. It also tells which whole texts an earlier group holds.
+1. seeds: every group sends hashes of short seeds. A reducer holds one slice of the hash range and answers one bit
+   for each: does it occur again anywhere. It also tells which whole texts an earlier group holds.
 2. windows: seeds that recur are extended to the windows around them, and the groups send 64-bit hashes of just
    these windows. The reducer of a slice sorts it and answers one bit for each: held by an earlier group or not.
 3. removal: a group unites the windows that start earlier into maximal spans.
@@ -17,8 +17,8 @@ Which seeds are sent depends on the method:
 
 * fixed blocks (`remove_repeated_words`): non-overlapping blocks of half a window form the index, and every rolling
   block probes it.
-* difference cover (`remove_repeated_bytes`): only suffixes that start in a difference cover modulo 31 are seeds.
-  For any two places there is an offset below 31 at which both are in the cover, so two equal windows share a seed.
+* difference cover (`remove_repeated_bytes`): only suffixes that start in a difference cover modulo 21 are seeds.
+  For any two places there is an offset below 21 at which both are in the cover, so two equal windows share a seed.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bounds, group_docs, mix64, packed, rolling_hash, split_words
+from .common import GROUP_BYTES, doc_bounds, group_docs, mix64, packed, rolling_hash, split_words
 
-SEED_BITS = 48
+SPARE_BITS = 9  # a seed seems to recur by chance once in about 2 ** (SPARE_BITS + 2)
 _CODED = "bucket int, g int, kind int, data binary"
 
 
@@ -47,8 +47,8 @@ class Repeats:
     units: Callable[[str], tuple[np.ndarray, object]]  # 64-bit units of a text, and what to cut them from
     window: int
     seed: int
-    sent: Callable[[int], np.ndarray | None]  # which of n seed positions are sent; None: all
-    indexed: Callable[[int], np.ndarray] | None  # which are in the index; None: those sent
+    sent: Callable[[int], np.ndarray] | None  # which of n seed positions are sent; None: all
+    indexed: Callable[[int], np.ndarray] | None  # a mask of those in the index; None: all that are sent
     same_doc: bool  # an earlier start in the same document counts
 
 
@@ -102,7 +102,7 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
 
 # --- the passes ---------------------------------------------------------------------------------------------
 
-PROBE, INDEX, WHOLE, HITS, COPIES, WINDOWS, STATE, LOST = range(8)
+PROBE, FLAGS, WHOLE, HITS, COPIES, WINDOWS, STATE, LOST = range(8)
 
 
 def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
@@ -110,121 +110,116 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
     bounds = doc_bounds(docs)
     groups = packed(docs, bounds)
     buckets = max(1, len(bounds))
-    seed_shift = np.uint64(64 - SEED_BITS)
+    bits = min(62, max(32, (len(bounds) * GROUP_BYTES).bit_length() + SPARE_BITS))
 
     def seeds_of(units):
-        seeds = rolling_hash(units, spec.seed) >> seed_shift
-        return seeds, spec.sent(len(seeds))
-
-    def send_seeds(batches):
-        kept: dict[int, list] = {}
-        held = 0
-
-        def flush():
-            for g, lists in sorted(kept.items()):
-                for kind, pieces, bits in ((PROBE, lists[0], SEED_BITS), (INDEX, lists[1], SEED_BITS), (WHOLE, lists[2], 64)):
-                    if not pieces:
-                        continue
-                    v = np.sort(np.concatenate(pieces))
-                    if kind == PROBE:  # twice if it occurs more than once here
-                        v = v[np.concatenate([[True] * min(2, len(v)), v[2:] != v[:-2]])]
-                    else:
-                        v = v[np.concatenate([[True], v[1:] != v[:-1]])]
-                    found = [(b, g, kind, pack_sorted(x)) for b, x in slices(v, bits, buckets)]
-                    if found:
-                        yield rows(found)
-            kept.clear()
-
-        for batch in batches:
-            for g, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                probes, index, whole = kept.setdefault(g, [[], [], []])
-                seen: set[int] = set()
-                _, texts, _ = group_docs([blob])
-                for text in texts:
-                    h = text_hash(text)
-                    units, _ = spec.units(text)
-                    whole.append(np.array([h], np.uint64))
-                    seeds, sent = seeds_of(units)
-                    if len(seeds):
-                        own = seeds if sent is None else seeds[sent]
-                        probes.append(own)
-                        held += own.nbytes
-                        if spec.indexed is not None and h not in seen:
-                            index.append(seeds[spec.indexed(len(seeds))])
-                        seen.add(h)
-                if held > 96 << 20:
-                    yield from flush()
-                    held = 0
-        yield from flush()
+        """Seeds of a text that are sent, where they start, which are in the index, and how many places there are."""
+        seeds = rolling_hash(units, spec.seed) >> np.uint64(64 - bits)
+        at = np.arange(len(seeds)) if spec.sent is None else spec.sent(len(seeds))
+        return seeds[at], at, np.ones(len(at), bool) if spec.indexed is None else spec.indexed(len(seeds)), len(seeds)
+
+    def send_seeds(table: pa.Table) -> pa.Table:
+        g, out = table["g"][0].as_py(), []
+        _, texts, _ = group_docs(table["blob"])
+        found = [seeds_of(spec.units(text)[0]) for text in texts]
+        if any(len(f[0]) for f in found):
+            distinct, back, n = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True, return_counts=True)
+            indexed = np.zeros(len(distinct), bool)
+            indexed[back[np.concatenate([f[2] for f in found])]] = True
+            done = 0
+            for b, v in slices(distinct, bits, buckets):
+                part = slice(done, done + len(v))
+                out.append((b, g, PROBE, pack_sorted(v)))
+                out.append((b, g, FLAGS, pack_bits(np.concatenate([indexed[part], n[part] > 1]))))
+                done += len(v)
+        whole = np.unique(np.array([text_hash(t) for t in texts], np.uint64))
+        out += [(b, g, WHOLE, pack_sorted(v)) for b, v in slices(whole, 64, buckets)]
+        return pa.Table.from_batches([rows(out)])
 
     def answer_seeds(part: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        by_kind: dict[int, list[tuple[int, np.ndarray]]] = {PROBE: [], INDEX: [], WHOLE: []}
+        bucket, out = part["bucket"][0].as_py(), []
+        by_kind: dict[int, dict[int, bytes]] = {PROBE: {}, FLAGS: {}, WHOLE: {}}
         for g, kind, data in zip(part["g"].to_pylist(), part["kind"].to_pylist(), part["data"].to_pylist(), strict=True):
-            by_kind[kind].append((g, unpack_sorted(data)))
+            by_kind[kind][g] = data
         if by_kind[PROBE]:
-            every = np.sort(np.concatenate([v for _, v in by_kind[PROBE]]))
-            again = every[1:][every[1:] == every[:-1]]
-            again = again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
-            if spec.indexed is not None:
-                index = np.sort(np.concatenate([v for _, v in by_kind[INDEX]])) if by_kind[INDEX] else again[:0]
-                again = again[contains(index, again)]
-            for g, v in by_kind[PROBE]:
-                if len(hit := v[contains(again, v)]):
-                    out.append((0, g, HITS, pack_sorted(hit)))
-        for g, lost in earlier(by_kind[WHOLE]):
-            if lost[1].any():
-                out.append((0, g, COPIES, pack_sorted(lost[0][lost[1]])))
+            groups_here = list(by_kind[PROBE])
+            sent = [unpack_sorted(by_kind[PROBE][g]) for g in groups_here]
+            flags = [unpack_bits(by_kind[FLAGS][g], 2 * len(v)).reshape(2, -1) for g, v in zip(groups_here, sent, strict=True)]
+            every = np.concatenate(sent)
+            indexed, twice = np.concatenate(flags, axis=1)
+            order = np.argsort(every, kind="stable")
+            run = every[order]
+            starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            n = np.diff(np.append(starts, len(run)))
+            again = ((n > 1) | np.logical_or.reduceat(twice[order], starts)) & np.logical_or.reduceat(indexed[order], starts)
+            hit = np.empty(len(every), bool)
+            hit[order] = np.repeat(again, n)
+            for g, mask in zip(groups_here, np.split(hit, np.cumsum([len(v) for v in sent])[:-1]), strict=True):
+                if mask.any():
+                    out.append((bucket, g, HITS, pack_bits(mask)))
+        for g, (v, lost) in earlier([(g, unpack_sorted(d)) for g, d in by_kind[WHOLE].items()]):
+            if lost.any():
+                out.append((bucket, g, COPIES, pack_sorted(v[lost])))
         return pa.Table.from_batches([rows(out)])
 
-    def analysed(table: pa.Table, hits: np.ndarray | None, copies: np.ndarray | None, state: bytes | None):
-        """Documents of a group, which of them are copies, and its candidate windows."""
-        ids, texts, _ = group_docs(table["blob"])
-        ranks = np.cumsum([0] + [a != b for a, b in zip(ids[1:], ids, strict=False)]) if ids else np.empty(0, np.int64)
-        if state is not None:
-            flags, at = unpack_state(state, len(ids))
-        else:
-            flags, at = np.zeros(len(ids), bool), None
-            first: dict[int, int] = {}
-            for i, text in enumerate(texts):
-                h = text_hash(text)
-                flags[i] = first.setdefault(h, ranks[i]) < ranks[i] or bool(contains(copies, np.array([h], np.uint64))[0])
-        found, places, start = [], [], 0
-        sources = []
-        masks = []
+    def candidates(texts, copies: np.ndarray, hits: dict[int, bytes], ranks) -> tuple[np.ndarray, np.ndarray]:
+        """Which documents are copies of an earlier one, and at which places of the others a window may recur."""
+        flags, first = np.zeros(len(texts), bool), {}
+        for i, text in enumerate(texts):
+            h = text_hash(text)
+            flags[i] = first.setdefault(h, ranks[i]) < ranks[i] or bool(contains(copies, np.array([h], np.uint64))[0])
+        found = [seeds_of(spec.units(text)[0]) for text in texts]
+        masks = [np.empty(0, bool)]
+        if any(len(f[0]) for f in found):
+            distinct, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            hit = by_slice(distinct, bits, hits)[back]
+            done, span = 0, spec.window - spec.seed + 1
+            for i, (own, at, _, n) in enumerate(found):
+                if not flags[i] and n >= span:
+                    mark = np.zeros(n + 1, np.int32)
+                    mark[1:][at] = hit[done : done + len(own)]
+                    total = np.cumsum(mark, dtype=np.int32)
+                    masks.append(total[span:] > total[:-span])
+                done += len(own)
+        return flags, np.concatenate(masks)
+
+    def by_slice(distinct: np.ndarray, width: int, replies: dict[int, bytes]) -> np.ndarray:
+        """The answer for each value that was sent."""
+        out, done = np.zeros(len(distinct), bool), 0
+        for b, v in slices(distinct, width, buckets):
+            if b in replies:
+                out[done : done + len(v)] = unpack_bits(replies[b], len(v))
+            done += len(v)
+        return out
+
+    def windows_of(texts, flags: np.ndarray, mask: np.ndarray):
+        """Units of each text, hashes of its candidate windows, and their places."""
+        found, places, sources, start = [], [], [], 0
         for i, text in enumerate(texts):
             units, source = spec.units(text)
             sources.append((source, len(units)))
             n = max(0, len(units) - spec.window + 1)
             if n and not flags[i]:
-                if at is None:
-                    seeds, sent = seeds_of(units)
-                    mark = np.zeros(len(seeds) + 1, np.int32)
-                    where = np.arange(len(seeds)) if sent is None else sent
-                    mark[1:][where] = contains(hits, seeds[where])
-                    total = np.cumsum(mark, dtype=np.int32)
-                    span = spec.window - spec.seed + 1
-                    mask = total[span:] > total[:-span]
-                    masks.append(mask)
-                    own = np.flatnonzero(mask)
-                else:
-                    own = np.flatnonzero(at[start : start + n])
+                own = np.flatnonzero(mask[start : start + n])
                 if len(own):
                     found.append(rolling_hash(units, spec.window)[own])
                     places.append((i, own))
                 start += n
-        return ids, ranks, texts, flags, sources, found, places, masks
+        return sources, found, places
 
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([rows([])])
-        g = table["g"][0].as_py()
-        got = {HITS: [], COPIES: []}
-        for kind, data in zip(replies["kind"].to_pylist(), replies["data"].to_pylist(), strict=True):
-            got[kind].append(unpack_sorted(data))
-        hits, copies = (np.unique(np.concatenate(v)) if v else np.empty(0, np.uint64) for v in (got[HITS], got[COPIES]))
-        _, _, _, flags, _, found, _, masks = analysed(table, hits, copies, None)
-        out = [(-1 - g, g, STATE, pack_state(flags, masks))]
+        g, hits, copies = table["g"][0].as_py(), {}, [np.empty(0, np.uint64)]
+        for b, kind, data in zip(*(replies[c].to_pylist() for c in ("bucket", "kind", "data")), strict=True):
+            if kind == HITS:
+                hits[b] = data
+            else:
+                copies.append(unpack_sorted(data))
+        ids, texts, _ = group_docs(table["blob"])
+        flags, mask = candidates(texts, np.unique(np.concatenate(copies)), hits, ranks_of(ids))
+        _, found, _ = windows_of(texts, flags, mask)
+        out = [(-1 - g, g, STATE, pack_state(flags, mask))]
         if found:
             out += [(b, g, WINDOWS, pack_sorted(v)) for b, v in slices(np.unique(np.concatenate(found)), 64, buckets)]
         return pa.Table.from_batches([rows(out)])
@@ -239,23 +234,19 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
                 bucket = b
         for g, (_, lost) in earlier(sent):
             if lost.any():
-                out.append((bucket, g, LOST, zstandard.compress(np.packbits(lost).tobytes(), 1)))
+                out.append((bucket, g, LOST, pack_bits(lost)))
         return pa.Table.from_batches([rows(out)])
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        got = {r["bucket"]: r["data"] for r in replies.to_pylist()}
-        state = next((d for b, d in got.items() if b < 0), None)
-        ids, ranks, _, flags, sources, found, places, _ = analysed(table, None, None, state)
+        got = dict(zip(replies["bucket"].to_pylist(), replies["data"].to_pylist(), strict=True))
+        ids, texts, _ = group_docs(table["blob"])
+        ranks = ranks_of(ids)
+        flags, mask = unpack_state(next(d for b, d in got.items() if b < 0), len(ids))
+        sources, found, places = windows_of(texts, flags, mask)
         cover: dict[int, np.ndarray] = {}
         if found:
-            every = np.concatenate(found)
-            distinct, first, back = np.unique(every, return_index=True, return_inverse=True)
-            lost = np.zeros(len(distinct), bool)
-            done = 0
-            for b, v in slices(distinct, 64, buckets):
-                if b in got:
-                    lost[done : done + len(v)] = np.unpackbits(np.frombuffer(zstandard.decompress(got[b]), np.uint8), count=len(v)).astype(bool)
-                done += len(v)
+            distinct, back = np.unique(np.concatenate(found), return_inverse=True)
+            lost = by_slice(distinct, 64, got)
             rank = np.concatenate([np.full(len(own), ranks[i], np.int64) for i, own in places])
             key = rank
             if spec.same_doc:
@@ -282,7 +273,7 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
         return pa.Table.from_pylist(made, schema=arrow_schema)
 
     arrow_schema = to_arrow(docs, schema)
-    seeds = groups.mapInArrow(send_seeds, _CODED)
+    seeds = groups.groupBy("g").applyInArrow(send_seeds, _CODED)
     replies = seeds.groupBy("bucket").applyInArrow(answer_seeds, _CODED)
     windows = groups.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(send_windows, _CODED)
     decided = windows.groupBy("bucket").applyInArrow(answer_windows, _CODED)
@@ -313,15 +304,26 @@ def earlier(sent: list[tuple[int, np.ndarray]]) -> list[tuple[int, tuple[np.ndar
     return [(g, (v, part)) for (g, v), part in zip(ordered, np.split(lost, ends), strict=True)]
 
 
-def pack_state(flags: np.ndarray, masks: list[np.ndarray]) -> bytes:
-    mask = np.concatenate(masks) if masks else np.empty(0, bool)
-    return len(mask).to_bytes(8, "little") + zstandard.compress(np.packbits(flags).tobytes() + np.packbits(mask).tobytes(), 3)
+def ranks_of(ids: list) -> np.ndarray:
+    """Number of each doc_id in order; equal ids share one."""
+    return np.cumsum([0] + [a != b for a, b in zip(ids[1:], ids, strict=False)])
+
+
+def pack_bits(mask: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(mask).tobytes(), 3)
+
+
+def unpack_bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8), count=n).astype(bool)
+
+
+def pack_state(flags: np.ndarray, mask: np.ndarray) -> bytes:
+    return len(mask).to_bytes(8, "little") + pack_bits(np.concatenate([flags, mask]))
 
 
 def unpack_state(data: bytes, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(data[8:]), np.uint8)
-    head = (docs + 7) // 8
-    return np.unpackbits(raw[:head], count=docs).astype(bool), np.unpackbits(raw[head:], count=int.from_bytes(data[:8], "little")).astype(bool)
+    both = unpack_bits(data[8:], docs + int.from_bytes(data[:8], "little"))
+    return both[:docs], both[docs:]
 
 
 # --- words: fixed blocks ------------------------------------------------------------------------------------
@@ -352,7 +354,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     not looked at.
     """
     block = window // 2
-    spec = Repeats(word_units, window, block, lambda n: None, lambda n: np.arange(0, n, block), True)
+    spec = Repeats(word_units, window, block, None, lambda n: np.arange(n) % block == 0, True)
 
     def finish(doc_id, words, removed):
         kept = " ".join([w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]) if removed.any() else " ".join(words)
@@ -395,7 +397,7 @@ def byte_units(text: str) -> tuple[np.ndarray, bytes]:
     return _BYTES[np.frombuffer(raw, np.uint8)], raw
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, period: int = 31) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, period: int = 21) -> DataFrame:
     """Documents without bytes that stand in a string of `window` bytes which also starts in a smaller doc_id.
 
     Returns doc_id, n_bytes, removed (spans of byte numbers, end exclusive), kept (binary: the remaining bytes).
