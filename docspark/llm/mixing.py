@@ -46,8 +46,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their lengths add up as near to the budget as can be found.
 
-    Lengths ascend and are positive. Each length first gives its even share, then the longest fill up; the last part
-    of the budget, below FIT_WIDTH or a few documents, is fitted by a bounded knapsack over reachable sums (bit sets).
+    Lengths ascend and are positive. Each length first gives its even share and the longest fill up; some of that is
+    given back, so that a last part of the budget, of some FIT_WIDTH, is free. It is fitted by a bounded knapsack over
+    reachable sums, kept as bit sets.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
@@ -60,6 +61,10 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             more = min(counts[i] - taken[i], (left - room) // lengths[i])
             taken[i] += more
             left -= more * lengths[i]
+    for i, n in enumerate(lengths):
+        back = min(taken[i], max(0, -(-(min(budget, FIT_WIDTH // 2) - left) // n)))
+        taken[i] -= back
+        left += back * n
     wide = (1 << (left + 1)) - 1
     sums, steps = 1, []
     for i, n in enumerate(lengths):
@@ -99,11 +104,14 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = M
     def plan(group: pa.Table) -> pa.Table:
         r = sorted(group.to_pylist(), key=lambda x: x["size"])
         total, target = r[0]["source_size"], r[0]["target"]
-        whole = min(most, int(target // total)) if total else 0
         positive = [x for x in r if x["size"] > 0]
-        more = fit([x["size"] for x in positive], [x["n"] for x in positive], round(target - whole * total)) if whole < most else [0] * len(positive)
-        took = dict(zip([x["size"] for x in positive], more, strict=True))
-        return pa.Table.from_pylist([{"source": x["source"], "size": x["size"], "source_size": total, "target": target, "whole": whole if x["size"] else 0, "more": took.get(x["size"], 0)} for x in r], schema=known)
+        fitted = fit([x["size"] for x in positive], [most * x["n"] for x in positive], round(target))
+        took = dict(zip([x["size"] for x in positive], fitted, strict=True))
+        out = []
+        for x in r:
+            whole, more = divmod(took.get(x["size"], 0), x["n"])
+            out.append({"source": x["source"], "size": x["size"], "source_size": total, "target": target, "whole": whole, "more": more})
+        return pa.Table.from_pylist(out, schema=known)
 
     # a row for each length of a source: no more than the longest text has words
     joined = counted.alias("c").join(goal.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
