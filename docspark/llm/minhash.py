@@ -153,8 +153,11 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     no rows; other columns are not looked at.
 
     Candidates share a band. In each bucket one text, that with most bucket mates, is compared with all others, so
-    a group of copies costs a star, not all its pairs. What is left, texts of a bucket in different classes, is
-    compared in full, unless so few samples agree that a link is practically impossible. The links found are exact.
+    a group of copies costs a star, not all its pairs. Buckets that still hold several classes are compared with a
+    second text, that with the least weight in rare shingles. What is left are pairs of different classes: two texts
+    share at most their common shingles and the rare ones that only they have, and must share 4/9 of their joint
+    weight, a bound that loses no link. What it and the number of samples that agree leave possible is compared in
+    full. The links found are exact.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -187,22 +190,76 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     label = components(first)
 
     # texts that share a bucket but no class yet
-    placed = members.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    apart = placed.join(mixed, "band").join(nodes.select("node", "samples", "weight"), "node")
-    a, b = apart.alias("a"), apart.alias("b")
+    apart = cut(members.join(left_apart(members, label), "band", "left_semi").select("band", "node"))
+    rare, shared = rare_weights(texts.join(apart.select("node"), "node", "left_semi"), idf)
+    known = nodes.join(rare, "node").select("node", "samples", "bands", "weight", (F.col("weight") - F.col("rare")).alias("common"))
+    apart = cut(apart.join(known, "node"))
+    centre = apart.groupBy("band").agg(F.max(F.struct((F.col("common") / F.col("weight")).alias("c"), "node")).alias("m")).select("band", F.col("m.node").alias("star"))
+    again = placed_at(apart, label).join(centre, "band")
+    starred = label.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
+    again = again.join(starred, "star", "left").filter(F.col("label") != F.coalesce("star_label", "star"))
+    again = again.select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
+    second = cut(verified(again.join(pairs, ["a", "b"], "left_anti"), texts, idf, similarity))
+    links = first.select("a", "b").union(second.select("a", "b"))
+    label = components(links)
+
+    # what is still apart, as far as a link is possible
+    rest = placed_at(apart, label).join(left_apart(apart, label), "band", "left_semi")
+    a, b = rest.alias("a"), rest.alias("b")
     agreed = F.aggregate(F.zip_with("a.samples", "b.samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    alike = (F.least("a.weight", "b.weight") >= F.greatest("a.weight", "b.weight") * (similarity - 1e-6)) & (agreed >= LEAST_AGREED)
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label")) & alike)
-    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    need = (F.col("a.weight") + F.col("b.weight")) * (similarity / (1 + similarity) - 1e-6)
+    possible = (F.least("a.common", "b.common") >= need) & (agreed >= LEAST_AGREED)
+    first_met = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")  # each pair in one band only
+    in_bands = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label")) & possible & first_met)
+    in_bands = in_bands.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    one = placed_at(known, label)
+    a, b = one.alias("a"), one.alias("b")
+    by_share = shared.join(a, F.col("x") == F.col("a.node")).join(b, F.col("y") == F.col("b.node"))
+    by_share = by_share.filter((F.col("a.label") != F.col("b.label")) & (F.least("a.common", "b.common") + F.col("share") >= need))
+    by_share = by_share.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = in_bands.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_share).distinct()
     more = verified(rest, texts, idf, similarity)
-    links = first.select("a", "b").union(more.select("a", "b"))
-    label = components(links)
-    placed = signed.select("doc_id", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = components(links.union(more.select("a", "b")))
+    placed = placed_at(signed.select("doc_id", "node"), label)
     sizes = placed.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     return placed.join(sizes, "label").select("doc_id", "node", "label", "group_id", "group_size")
 
 
+def placed_at(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows with their class so far; a text without links is its own."""
+    return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def left_apart(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Bands whose texts are in more than one class."""
+    found = placed_at(rows.select("band", "node"), label)
+    return found.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+
+
+def rare_weights(texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
+    """(node, rare): the weight of a text's shingles that at most one other of these texts has; and
+    (x, y, share): the weight that two texts share in shingles which only they have.
+
+    Two texts cannot share more than their other shingles and that.
+    """
+
+    def spread(batches):
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h, w = shingles(text.as_py(), idf.value)
+                yield pa.record_batch({"shingle": pa.array(h.view(np.int64)), "node": pa.array([node] * len(h), pa.binary()), "weight": pa.array(w)})
+
+    each = texts.select("node", "text").mapInArrow(spread, "shingle long, node binary, weight double")
+    ends = each.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("x"), F.max(F.struct("node", "weight")).alias("y")
+    )
+    ends = cut(ends.filter("n <= 2").select("n", F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.weight").alias("wx"), F.col("y.weight").alias("wy")))
+    parts = ends.select(F.col("x").alias("node"), F.col("wx").alias("w")).union(ends.filter("n = 2").select(F.col("y").alias("node"), F.col("wy").alias("w")))
+    rare = texts.select("node", F.lit(0.0).alias("w")).union(parts).groupBy("node").agg(F.sum("w").alias("rare"))
+    shared = ends.filter("n = 2").groupBy("x", "y").agg(F.sum(F.least("wx", "wy")).alias("share"))
+    return rare, shared
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the threshold, from their whole texts."""
 
