@@ -23,4 +23,17 @@ QUERIES = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i+19], ' ') ORDER BY doc_id, i) AS r FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM k WHERE r > 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+every AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS x FROM every ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(x, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: doc_ids are taken as unique here, as they are in the tables.
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": WORDS_SQL}
