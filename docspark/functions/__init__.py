@@ -22,6 +22,7 @@ from .native import (
     strip_notice,
     strip_payloads,
     unescape_jira,
+    without_blocks,
     write_asset_marker,
     write_fragment,
     write_fragment_link,
@@ -32,5 +33,5 @@ __all__ = [
     "asset_markers", "attachment_files", "authentic_blocks", "canonical_storage", "data_uri", "directive_params", "escape_jira",
     "escape_markdown", "filename_problem", "fragment_id", "from_jira", "heading_level", "image_size", "inline_fragments", "input_format",
     "is_local_file", "macro_params", "normalize_markdown", "payload_entries", "strip_comments", "strip_notice", "strip_payloads", "to_jira",
-    "to_markdown", "to_storage", "unescape_jira", "write_asset_marker", "write_fragment", "write_fragment_link", "write_payloads",
+    "to_markdown", "to_storage", "unescape_jira", "without_blocks", "write_asset_marker", "write_fragment", "write_fragment_link", "write_payloads",
 ]

@@ -112,6 +112,12 @@ def authentic_blocks(markdown: Column | str, marker: str = MARKER) -> Column:
     return _authentic(_c(markdown), pattern)
 
 
+def without_blocks(markdown: Column | str, marker: str = MARKER) -> Column:
+    """The text with its authentic blocks taken out, each between two empty lines; forged ones stay."""
+    shown = F.transform(authentic_blocks(markdown, marker), lambda b: F.concat(F.lit(f'<!-- {marker}:opaque id="'), b["id"], F.lit(f'" -->\n```{FENCE_INFO}\n'), b["xml"], F.lit(f"\n```\n<!-- /{marker}:opaque -->")))
+    return F.aggregate(shown, _c(markdown), lambda text, block: F.replace(text, block, F.lit("\n\n\n\n")))
+
+
 def _authentic(source: Column, pattern: str) -> Column:
     pairs = F.arrays_zip(all_of(source, pattern, 1).alias("id"), all_of(source, pattern, 2).alias("xml"))
     return F.filter(pairs, lambda p: p["id"] == fragment_id(p["xml"]))

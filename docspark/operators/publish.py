@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.converters import canonical_storage, to_storage
+from ..functions.converters import canonical_storage, to_markdown, to_storage
+from ..markup.options import Options
+from .assets import resolve_assets
 
 
 def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -48,3 +50,17 @@ def changed_pages(before: DataFrame, after: DataFrame, key: str = "page_id") ->
     old = before.select(key, F.sha2(canonical_storage("xhtml")["xhtml"], 256).alias("h"))
     new = after.select(key, F.sha2(canonical_storage("xhtml")["xhtml"], 256).alias("h"))
     return new.join(old, [key, "h"], "left_anti").select(key)
+
+
+def pull(remote: DataFrame, files: DataFrame | None = None, options: Options | None = None, **how) -> DataFrame:
+    """(page_id, version, markdown, warnings, error) of remote (page_id, xhtml, version) pages.
+
+    With files (page_id, filename, bytes) the image links of each page are resolved; see `resolve_assets` for `how`.
+    """
+    options = options or Options()
+    pages = remote.withColumn("r", to_markdown("xhtml", options, nodes=False))
+    pages = pages.select("page_id", "version", "r.markdown", "r.warnings", F.col("r.error.message").alias("error"))
+    if files is None:
+        return pages
+    shown = resolve_assets(pages.select("page_id", "markdown"), files, marker=options.marker, **how)
+    return pages.drop("markdown").join(shown, "page_id", "left")

@@ -314,6 +314,26 @@ def push_decisions(spark, sf_dir):
     return publish.push_plan(local, remote).select("page_id", "action")
 
 
+@query(f"WITH d AS ({DOCUMENTS}) SELECT page_id, CAST(1 AS INT) AS version, '![](assets/x.png)<!-- {M}:asset src=\"x.png\" -->' || chr(10) AS markdown FROM d WHERE page_id % 2 = 0"
+       f" UNION ALL SELECT page_id, 1, '![](x.png)<!-- {M}:asset src=\"x.png\" -->' || chr(10) FROM d WHERE page_id % 2 = 1")
+def pulled_pages(spark, sf_dir):
+    """Remote pages with an image, whose file is there for even ids."""
+    d = documents(spark, sf_dir).select("page_id")
+    remote = d.select("page_id", F.lit('<p><ac:image><ri:attachment ri:filename="x.png"/></ac:image></p>').alias("xhtml"), F.lit(1).alias("version"))
+    files = d.filter("page_id % 2 = 0").select("page_id", F.lit("x.png").alias("filename"), F.encode(F.lit("x"), "UTF-8").alias("bytes"))
+    return publish.pull(remote, files).select("page_id", "version", "markdown")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' || chr(10) || chr(10) || chr(10) || chr(10) || 'b' ELSE 'kept' END AS rest FROM documents")
+def fragments_taken_out(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    block = fn.write_fragment(F.concat(F.lit("<p>"), xml(F.col("text")), F.lit("</p>")))
+    forged = F.regexp_replace(block, 'id="op-[0-9a-f]{8}"', 'id="op-00000000"')
+    shown = F.concat(F.lit("a"), F.when(F.col("doc_id") % 2 == 0, block).otherwise(forged), F.lit("b"))
+    rest = fn.without_blocks(shown)
+    return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, rest).when(rest == shown, "kept").alias("rest"))
+
+
 @query("SELECT l_orderkey AS page_id, 'img/p' || l_partkey || '.png' AS path, l_partkey % 3 <> 1 AS upload FROM lineitem GROUP BY ALL")
 def upload_decisions(spark, sf_dir):
     """A third of the files are there, a third have another size, a third are missing."""
