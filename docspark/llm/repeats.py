@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, doc_bounds, group_docs, mix64, packed, rolling_hash, split_words
+from .common import GROUP_BYTES, MULTIPLIER, WORD_BREAKS, doc_bounds, group_docs, mix64, packed, rolling_hash, split_words
 
 SPARE_BITS = 9  # a seed seems to recur by chance once in about 2 ** (SPARE_BITS + 2)
 _CODED = "bucket int, g int, kind int, data binary"
@@ -328,16 +329,32 @@ def unpack_state(data: bytes, docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 # --- words: fixed blocks ------------------------------------------------------------------------------------
 
-_WORDS: dict[str, int] = {}
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BREAK = np.isin(np.arange(256), [ord(c) for c in WORD_BREAKS])
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2^64, up to the n-th."""
+    if not _powers or len(_powers[0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        both = []
+        for m in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
+            steps = np.full(size + 1, m, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps, dtype=np.uint64))
+        _powers[:] = both
+    return _powers[0], _powers[1]
 
 
-def word_units(text: str) -> tuple[np.ndarray, list[str]]:
-    words = split_words(text)
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = text_hash(w)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), words
+def word_units(text: str) -> tuple[np.ndarray, str]:
+    """A 64-bit hash of each word, from running sums over the bytes, so that no word is handled by itself."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BREAK[raw], [True]])))
+    start, end = edge[::2], edge[1::2]
+    up, down = powers(len(raw))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), text
 
 
 def spans_of(removed: np.ndarray) -> list[dict]:
@@ -356,9 +373,11 @@ def remove_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     block = window // 2
     spec = Repeats(word_units, window, block, None, lambda n: np.arange(n) % block == 0, True)
 
-    def finish(doc_id, words, removed):
-        kept = " ".join([w for w, gone in zip(words, removed.tolist(), strict=True) if not gone]) if removed.any() else " ".join(words)
-        return {"doc_id": doc_id, "n_words": len(words), "removed": spans_of(removed), "kept": kept}
+    def finish(doc_id, text, removed):
+        words = split_words(text)
+        if removed.any():
+            words = list(compress(words, (~removed).tolist()))
+        return {"doc_id": doc_id, "n_words": len(removed), "removed": spans_of(removed), "kept": " ".join(words)}
 
     return removals(docs, spec, finish, "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string")
 
@@ -389,9 +408,6 @@ def difference_cover(period: int) -> tuple[int, ...]:
             return found
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def byte_units(text: str) -> tuple[np.ndarray, bytes]:
     raw = text.encode("utf-8", "surrogatepass")
     return _BYTES[np.frombuffer(raw, np.uint8)], raw
