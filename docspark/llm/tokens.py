@@ -6,7 +6,6 @@ import json
 import os
 import unicodedata
 from functools import cache
-from itertools import chain
 
 import numpy as np
 
@@ -31,7 +30,7 @@ def byte_signs() -> list[str]:
 class WordEncoder:
     """encode_all(texts) -> ids as uint32, equal to those of `tokenizers` without special tokens.
 
-    The tokenizer splits at white space before all else, so each word's ids are found once and remembered; the
+    The tokenizer splits at white space before all else, so each word's ids, as bytes, are found once and remembered; the
     memory is bounded, and words that come when it is full are encoded anew each time. Words of plain letters are
     merged here from the vocabulary's own merge table, all others, and texts that hold a special token's string,
     are given to `tokenizers`.
@@ -59,14 +58,14 @@ class WordEncoder:
         self.made = np.array([vocabulary[a + b] for a, b in parts], np.int64)
         self.order = np.argsort(keys)
         self.pairs, self.none = keys[self.order], 1 << 40
-        self.words: dict[str, tuple[int, ...]] = {"": ()}
+        self.words: dict[str, bytes] = {"": b""}
 
-    def _merge_all(self, pieces: list[str]) -> list[tuple[int, ...]]:
+    def _merge_all(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens: byte signs merged pair by pair, lowest rank and then leftmost first, all at once.
 
         Rows hold the signs of a piece; each round merges one pair in every row that still has one.
         """
-        out: list = [None] * len(pieces)
+        out = [b""] * len(pieces)
         coded = [p.encode() for p in pieces]
         order = sorted(range(len(pieces)), key=lambda i: len(coded[i]))
         for at in range(0, len(order), 4096):
@@ -100,9 +99,10 @@ class WordEncoder:
                 left = np.maximum(best - 1, 0)
                 ranks[here, left] = self._rank(ids[here, left], ids[here, left + 1])
             for r, found in done:
-                ends = (found >= 0).sum(axis=1).tolist()
-                for i, row, n in zip(r.tolist(), found.tolist(), ends, strict=True):
-                    out[part[i]] = tuple(row[:n])
+                ends = ((found >= 0).sum(axis=1) * 4).tolist()
+                raw, step = found.astype("<u4").tobytes(), 4 * found.shape[1]
+                for k, (i, n) in enumerate(zip(r.tolist(), ends, strict=True)):
+                    out[part[i]] = raw[k * step : k * step + n]
         return out
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,19 +110,19 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.order[at], self.none)
 
-    def _learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
-        found: dict[str, tuple[int, ...]] = {}
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         pieces: dict[str, list[str]] = {}
         for word in new:
-            if max(word) <= LAST_PLAIN and word.isprintable() and (word.isascii() or unicodedata.is_normalized("NFC", word)):
+            if word.isprintable() and (word.isascii() or max(word) <= LAST_PLAIN and unicodedata.is_normalized("NFC", word)):
                 low = word.lower()
                 pieces[word] = [low] if low.isalpha() else self.pieces(low)
             else:
-                found[word] = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                found[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         distinct = list({p for ps in pieces.values() for p in ps})
         merged = dict(zip(distinct, self._merge_all(distinct), strict=True))
         for word, ps in pieces.items():
-            found[word] = merged[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable([merged[p] for p in ps]))
+            found[word] = merged[ps[0]] if len(ps) == 1 else b"".join([merged[p] for p in ps])
         return found
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -136,7 +136,7 @@ class WordEncoder:
                 known.update(found)
             else:
                 known = {w: known[w] if w in known else found[w] for words in split for w in words}
-        ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32) for words in split]
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
         for i in whole:
             ids[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return ids
