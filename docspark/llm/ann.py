@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 K, EVERY = 20, 20
-SHARD_ROWS, QUERY_BLOCK = 5000, 2048
+SHARD_ROWS, QUERY_BLOCK = 20_000, 2048
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, STEP, SEED_NODES = 32, 64, 160, 1.2, 4, 256
 
 
