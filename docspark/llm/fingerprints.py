@@ -39,58 +39,93 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """The `size` least distinct 32-bit values of the anchors, ascending: all of them, if there are fewer."""
+    """The `size` least distinct 32-bit values of the anchors, ascending: a short key, not what texts are compared by."""
     return np.unique((mix64(hashes) >> np.uint64(32)).astype(np.uint32))[:size]
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Jaccard similarity of the anchor sets from their sketches; exact while neither is full. Two empty ones: 1."""
-    if not len(a) and not len(b):
-        return 1.0
-    both = np.union1d(a, b)[:size]
-    return float(np.isin(both, a, assume_unique=True)[np.isin(both, b, assume_unique=True)].sum() / len(both))
-
-
 def to_text(values: np.ndarray) -> str:
     return values.astype(">u4").tobytes().hex()
 
 
+class Print:
+    """All anchors of a text: `at` and `hashes` by position; `distinct` hashes, ascending, with `first` and `count`
+    of each among the positions `by_hash`, which are in order of hash and then of place."""
+
+    def __init__(self, text: str):
+        at, self.hashes = anchors(text)
+        self.at = at.astype(np.int32)
+        order = np.argsort(self.hashes, kind="stable")
+        self.by_hash = self.at[order]
+        self.distinct, self.first, self.count = np.unique(self.hashes[order], return_index=True, return_counts=True)
+        self.text = to_text(sketch(self.distinct))
+
+
+def compared(a: Print, b: Print) -> tuple[float, int]:
+    """Jaccard similarity of all distinct anchors (two empty texts: 1), and how many anchors match by position.
+
+    For the second the k-th occurrence of an anchor in one text is paired with the k-th in the other; it is the
+    number of pairs at the distance that most of them have, so those of the longest passages moved by one shift.
+    """
+    if not len(a.distinct) and not len(b.distinct):
+        return 1.0, 0
+    if a is b:
+        return 1.0, len(a.at)
+    both, i, j = np.intersect1d(a.distinct, b.distinct, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0, 0
+    n = np.minimum(a.count[i], b.count[j])
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    shift = b.by_hash[np.repeat(b.first[j], n) + step] - a.by_hash[np.repeat(a.first[i], n) + step]
+    return len(both) / (len(a.distinct) + len(b.distinct) - len(both)), int(np.unique(shift, return_counts=True)[1].max())
+
+
+def lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(kind) if parts else np.empty(0, kind)))
+
+
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, placed_edited long, placed_next long, positions array<int>, anchors array<long>, edited_positions array<int>, edited_anchors array<long>"
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of its edited text, and their likeness; see `op2_syncmers`.
+    """Every anchor of each text and of its edited text with its position, and their likeness; see `op2_syncmers`.
 
+    near_* and placed_* are those of `compared`, from all anchors; anchors are 64-bit hashes, as signed numbers.
     Documents are dealt by ranges of doc_id; each range also gets the last document of the range before it, so
     that every document meets its next one without a sort of the whole table. Null text counts as empty, null
     doc_ids as smallest, ties follow the text; a single document is its own next. An empty table gives no rows.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def compare(group: pa.Table) -> pa.Table:
         ids, texts, lent = group_docs(group["blob"])
         own = [i for i, x in enumerate(lent) if not x]
         before = [i for i, x in enumerate(lent) if x]
-        out = []
+        rows, prints, changes = [], [], []
         if own:
             follower = before[-1] if before else own[-1]
-            prints = {follower: sketch(anchors(texts[follower])[1])}
+            next_print = Print(texts[follower])
             for i in own:
                 text, after = texts[i], texts[follower]
-                if i not in prints:
-                    prints[i] = prints[follower] if text == after else sketch(anchors(text)[1])
+                mine = next_print if text == after else Print(text)
                 m = len(text) // 3
                 edited = text[: len(text) - m] + after[:m] if m else text
-                changed = prints[i] if edited == text else sketch(anchors(edited)[1])
-                out.append({
-                    "doc_id": ids[i], "n_chars": len(text), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-                    "fingerprint": to_text(prints[i]), "edited_fingerprint": to_text(changed),
-                    "near_edited": likeness(prints[i], changed), "near_next": likeness(prints[i], prints[follower]),
-                })
-                if follower != i:
-                    del prints[follower]
-                follower = i
-        return pa.Table.from_pylist(out, schema=schema)
+                changed = mine if edited == text else Print(edited)
+                rows.append((ids[i], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine.text, changed.text, compared(mine, changed), compared(mine, next_print)))
+                prints.append((mine.at, mine.hashes))
+                changes.append((changed.at, changed.hashes))
+                follower, next_print = i, mine
+        doc_id, n_chars, sha, key, edited_key, to_edited, to_next = zip(*rows, strict=True) if rows else [()] * 7
+        return pa.table({
+            "doc_id": pa.array(doc_id, pa.int64()), "n_chars": pa.array(n_chars, pa.int64()), "edited_sha256": pa.array(sha, pa.string()),
+            "fingerprint": pa.array(key, pa.string()), "edited_fingerprint": pa.array(edited_key, pa.string()),
+            "near_edited": pa.array([x for x, _ in to_edited], pa.float64()), "near_next": pa.array([x for x, _ in to_next], pa.float64()),
+            "placed_edited": pa.array([n for _, n in to_edited], pa.int64()), "placed_next": pa.array([n for _, n in to_next], pa.int64()),
+            "positions": lists([at for at, _ in prints], np.int32), "anchors": lists([h for _, h in prints], np.int64),
+            "edited_positions": lists([at for at, _ in changes], np.int32), "edited_anchors": lists([h for _, h in changes], np.int64),
+        })
 
     groups = packed(docs, doc_bounds(docs), lend_last=True)
-    return groups.groupBy("g").applyInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return groups.groupBy("g").applyInArrow(compare, RESULT)
 
 
 def op2_syncmers(spark, sf_dir):

@@ -136,6 +136,29 @@ def test_fingerprints_of_next_documents(spark, docs, texts):
         assert got[d].fingerprint == fingerprints.to_text(fingerprints.sketch(fingerprints.anchors(text)[1]))
 
 
+def test_all_anchors_are_kept_and_compared(spark, docs, texts):
+    """Also of texts with more anchors than the short key holds."""
+    got = {r.doc_id: r for r in fingerprints.with_next(docs).collect()}
+    order = sorted(texts, reverse=True)
+    assert sum(len(r.anchors) > fingerprints.SKETCH for r in got.values()) > 50
+    for i, d in enumerate(order):
+        text, after = texts[d], texts[order[(i + 1) % len(order)]]
+        m = len(text) // 3
+        edited = text[: len(text) - m] + after[:m]
+        full = [[(int(p), int(h)) for p, h in zip(at, hashes.view(np.int64), strict=True)] for at, hashes in map(fingerprints.anchors, (text, edited, after))]
+        r = got[d]
+        assert list(zip(r.positions, r.anchors, strict=True)) == full[0] and list(zip(r.edited_positions, r.edited_anchors, strict=True)) == full[1]
+        for other, near, placed in ((full[1], r.near_edited, r.placed_edited), (full[2], r.near_next, r.placed_next)):
+            a, b = {h for _, h in full[0]}, {h for _, h in other}
+            assert near == (len(a & b) / len(a | b) if a | b else 1.0)
+            places = [collections.defaultdict(list), collections.defaultdict(list)]
+            for where, found in zip(places, (full[0], other), strict=True):
+                for p, h in found:
+                    where[h].append(p)
+            shifts = collections.Counter(q - p for h in a & b for p, q in zip(places[0][h], places[1][h]))  # noqa: B905
+            assert placed == max(shifts.values(), default=0)
+
+
 def test_fingerprints_edges(spark, edge):
     got = fingerprints.with_next(edge).collect()
     assert len(got) == edge.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
