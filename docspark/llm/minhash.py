@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import cache
 
 import numpy as np
@@ -17,36 +16,94 @@ WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 16, 3, 1
 SAMPLES = BANDS * ROWS
 #: Of 48 samples, pairs at the threshold agree in 38 on average; fewer than 26 have a chance of about 1 in 50,000.
 LEAST_AGREED = 26
-IDF_BITS, DRAW_BITS = 18, 16
+DRAW_BITS = 16
+#: Words whose document frequency is broadcast at most, and words that a task numbers at a time.
+HELD, NUMBERED = 1 << 21, 400_000
+LIGHT = "array<struct<word:bigint,n:bigint>>"
 
-_HASHES: dict[str, int] = {}
 
+class Words:
+    """Numbers for the words met so far, in lower case, split at white space, and the 64-bit hash of each number."""
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words, in lower case, split at white space."""
-    words = text.lower().split()
-    if len(_HASHES) > 400_000:
-        _HASHES.clear()
-    for w in set(words).difference(_HASHES):
-        _HASHES[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.hashes = np.empty(0, np.uint64)
 
+    def full(self) -> bool:
+        return len(self.number) > NUMBERED
 
-def idf_slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - IDF_BITS)).astype(np.int64)
+    def of(self, text: str) -> np.ndarray:
+        words = text.lower().split()
+        if new := set(words).difference(self.number):
+            if len(self.number) + len(new) > len(self.hashes):
+                self.hashes = np.resize(self.hashes, 1 << (len(self.number) + len(new)).bit_length())
+            for w in new:
+                self.hashes[len(self.number)] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                self.number[w] = len(self.number)
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
-def shingles(text: str, idf: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+class Idf:
+    """ln(1 + N / df) by word hash, df the number of documents that have the word.
+
+    Held are the hashes, ascending, and frequencies of words of at least `least` documents. A word that is not held
+    is one of a single document, unless the list that comes with the text, its light words, has another frequency.
+    """
+
+    def __init__(self, n_docs: int, hashes: np.ndarray, df: np.ndarray, least: int = 2):
+        self.n_docs, self.hashes, self.df, self.least = max(1, n_docs), hashes, df, least
+        self.words, self.values, self.known = Words(), np.empty(0), 0
+
+    def __getstate__(self):
+        return self.n_docs, self.hashes, self.df, self.least
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def held(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is held, and its frequency: 1 if not."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.ones(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        return found, np.where(found, self.df[at], 1)
+
+    def of(self, text: str, light=None) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and IDF of each word of the text; light: its (hashes, frequencies)."""
+        if self.words.full():
+            self.words, self.values, self.known = Words(), np.empty(0), 0
+        at = self.words.of(text)
+        if (n := len(self.words.number)) > self.known:
+            if n > len(self.values):
+                self.values = np.resize(self.values, len(self.words.hashes))
+            self.values[self.known : n] = np.log1p(self.n_docs / self.held(self.words.hashes[self.known : n])[1])
+            self.known = n
+        hashes, values = self.words.hashes[at], self.values[at]
+        if light is not None and len(light[0]):
+            order = np.argsort(light[0])
+            own, df = light[0][order], light[1][order]
+            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+            values = np.where(own[at] == hashes, np.log1p(self.n_docs / df[at]), values)
+        return hashes, values
+
+
+def light_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray] | None:
+    if not value.is_valid:
+        return None
+    return value.values.field("word").to_numpy().view(np.uint64), value.values.field("n").to_numpy()
+
+
+def shingles(text: str, idf: Idf, words: int = WORDS, light=None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending, and their weights: occurrences times the mean IDF of the words.
 
     A text of fewer words is one shingle; a text without words has none.
     """
-    h = word_hashes(text)
+    h, values = idf.of(text, light)
     if not len(h):
         return np.empty(0, np.uint64), np.empty(0, np.float64)
     n = min(words, len(h))
     runs = rolling_hash(h, n)
-    total = np.concatenate([[0.0], np.cumsum(idf[idf_slot(h)].astype(np.float64))])
+    total = np.concatenate([[0.0], np.cumsum(values)])
     distinct, first, count = np.unique(runs, return_index=True, return_counts=True)
     # rounded, so that a shingle weighs the same to the last bit wherever it stands
     return distinct, np.round(count * (total[first + n] - total[first]) / n, 6)
@@ -103,23 +160,79 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-def word_idf(docs: DataFrame) -> np.ndarray:
-    """ln(1 + N / df) by word, in 2^18 hash slots: a table of fixed size, counted over all documents."""
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(word, n): the hash of each word and the number of documents that have it; counted in tasks before it is dealt."""
 
     def count(batches):
-        found, n = np.zeros(1 << IDF_BITS, np.int64), 0
+        words, found = Words(), np.zeros(0, np.int64)
+
+        def counted():
+            return pa.record_batch({"word": pa.array(words.hashes[: len(words.number)].view(np.int64)), "n": pa.array(found[: len(words.number)])})
+
         for b in batches:
             for text in b.column(0):
-                found[np.unique(idf_slot(word_hashes(text.as_py() or "")))] += 1
-                n += 1
-        at = np.flatnonzero(found)
-        yield pa.record_batch({"slot": pa.array(np.append(at, -1)), "n": pa.array(np.append(found[at], n))})
+                if words.full():
+                    yield counted()
+                    words, found = Words(), np.zeros(0, np.int64)
+                at = np.unique(words.of(text.as_py() or ""))
+                if len(words.hashes) > len(found):
+                    found = np.concatenate([found, np.zeros(len(words.hashes) - len(found), np.int64)])
+                found[at] += 1
+        yield counted()
+
+    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def held_idf(counted: DataFrame, n_docs: int) -> Idf:
+    """Holds all words of two documents or more, or as many of the most frequent ones as HELD allows."""
+    top = 1 << 16
+    sizes = {r["n"]: r["words"] for r in counted.filter("n > 1").groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    least, room = top + 1, HELD
+    for n in sorted(sizes, reverse=True):
+        room -= sizes[n]
+        if room < 0:
+            break
+        least = n
+    else:
+        least = 2
+    # from `top` on frequencies share a line above; if even those are too many, none is held and all are joined
+    held = counted.filter(F.col("n") >= least).toArrow() if least <= top else None
+    if held is None or not held.num_rows:
+        return Idf(n_docs, np.empty(0, np.uint64), np.empty(0, np.int64), least if least <= top else 1 << 62)
+    hashes = held["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Idf(n_docs, hashes[order], held["n"].to_numpy()[order], least)
+
+
+def word_idf(docs: DataFrame) -> Idf:
+    """Exact for the words that are held; for others see `with_light_words`."""
+    return held_idf(document_frequencies(docs), docs.count())
+
+
+def with_light_words(texts: DataFrame, counted: DataFrame, idf) -> DataFrame:
+    """(node, text, light): the words of each text that are not held but in several documents, with their frequency.
+
+    Words and frequencies meet in a join. A word that is not held is in few documents, so no word is hot, and a text
+    with many copies has no such words.
+    """
+    if idf.value.least <= 2:
+        return texts.withColumn("light", F.lit(None).cast(LIGHT))
 
-    counted = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slot, n = counted["slot"].to_numpy(), counted["n"].to_numpy()
-    df = np.ones(1 << IDF_BITS)
-    df[slot[slot >= 0]] = n[slot >= 0]
-    return np.log1p(max(1, n[slot < 0].sum()) / df).astype(np.float32)
+    def spread(batches):
+        words = Words()
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if words.full():
+                    words = Words()
+                at = np.unique(words.of(text.as_py()))
+                own = words.hashes[at]
+                own = own[~idf.value.held(own)[0]]
+                yield pa.record_batch({"node": pa.array([node] * len(own), pa.binary()), "word": pa.array(own.view(np.int64))})
+
+    several = counted.filter((F.col("n") > 1) & (F.col("n") < idf.value.least))
+    light = texts.mapInArrow(spread, "node binary, word long").join(several, "word")
+    light = cut(light.groupBy("node").agg(F.collect_set(F.struct("word", "n")).alias("light")))
+    return texts.dropDuplicates(["node"]).join(light, "node", "left").select("node", "text", F.col("light").cast(LIGHT).alias("light"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,30 +274,31 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(word_idf(docs))
+    counted = cut(document_frequencies(docs))
+    idf = spark.sparkContext.broadcast(held_idf(counted, docs.count()))
+    keyed = docs.select("doc_id", F.unhex(F.md5("text")).alias("node"))
+    weighed = with_light_words(docs.select(F.unhex(F.md5("text")).alias("node"), "text"), counted, idf)
 
     def sign(batches):
         for b in batches:
-            keys, samples, bands, weight = [], [], [], []
-            for text in b.column(1):
-                text = text.as_py()
-                keys.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
-                h, w = shingles(text, idf.value)
+            samples, bands, weight = [], [], []
+            for text, light in zip(b.column(1), b.column(2), strict=True):
+                h, w = shingles(text.as_py(), idf.value, light=light_of(light))
                 s = weighted_samples(h, w) if len(h) else None
                 samples.append(None if s is None else s.tolist())
                 bands.append(None if s is None else band_keys(s).tolist())
                 weight.append(float(w.sum()))
-            yield pa.record_batch({"doc_id": b.column(0), "node": pa.array(keys, pa.binary()), "samples": pa.array(samples, pa.list_(pa.int32())), "bands": pa.array(bands, pa.list_(pa.int64())), "weight": pa.array(weight, pa.float64())})
+            yield pa.record_batch({"node": b.column(0), "samples": pa.array(samples, pa.list_(pa.int32())), "bands": pa.array(bands, pa.list_(pa.int64())), "weight": pa.array(weight, pa.float64())})
 
-    signed = cut(docs.mapInArrow(sign, "doc_id long, node binary, samples array<int>, bands array<long>, weight double"))
-    nodes = cut(signed.drop("doc_id").filter("bands IS NOT NULL").dropDuplicates(["node"]))
+    signed = weighed.mapInArrow(sign, "node binary, samples array<int>, bands array<long>, weight double")
+    nodes = cut(signed.filter("bands IS NOT NULL").dropDuplicates(["node"]))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     members = cut(banded.join(full, "band"))
     met = members.groupBy("node").agg(F.sum("mates").alias("met"))
     stars = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("star")).select("band", F.col("star.node").alias("star"))
     pairs = members.join(stars, "band").filter("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(met.select("node"), "node", "left_semi")
+    texts = weighed.join(met.select("node"), "node", "left_semi")
     texts = cut(texts.dropDuplicates(["node"]))
     first = cut(verified(pairs, texts, idf, similarity))
     label = components(first)
@@ -220,7 +334,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rest = in_bands.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_share).distinct()
     more = verified(rest, texts, idf, similarity)
     label = components(links.union(more.select("a", "b")))
-    placed = placed_at(signed.select("doc_id", "node"), label)
+    placed = placed_at(keyed, label)
     sizes = placed.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     return placed.join(sizes, "label").select("doc_id", "node", "label", "group_id", "group_size")
 
@@ -245,11 +359,11 @@ def rare_weights(texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
 
     def spread(batches):
         for b in batches:
-            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h, w = shingles(text.as_py(), idf.value)
+            for node, text, light in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                h, w = shingles(text.as_py(), idf.value, light=light_of(light))
                 yield pa.record_batch({"shingle": pa.array(h.view(np.int64)), "node": pa.array([node] * len(h), pa.binary()), "weight": pa.array(w)})
 
-    each = texts.select("node", "text").mapInArrow(spread, "shingle long, node binary, weight double")
+    each = texts.select("node", "text", "light").mapInArrow(spread, "shingle long, node binary, weight double")
     ends = each.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("x"), F.max(F.struct("node", "weight")).alias("y")
     )
@@ -268,14 +382,14 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True):
+            for x, y, s, t, u, v in zip(a, b, *batch.columns[2:], strict=True):
                 if x not in held:
-                    held = {x: shingles(s.as_py(), idf.value)}
-                out.append(weighted_jaccard(held[x], shingles(t.as_py(), idf.value)))
+                    held = {x: shingles(s.as_py(), idf.value, light=light_of(u))}
+                out.append(weighted_jaccard(held[x], shingles(t.as_py(), idf.value, light=light_of(v))))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "similarity": pa.array(out, pa.float64())})
 
-    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y"), F.col("light").alias("v")), "b")
+    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x"), F.col("light").alias("u")), "a").select("a", "b", "x", "y", "u", "v")
     return rows.mapInArrow(compare, "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity)
 
 

@@ -81,6 +81,58 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
     assert got == classes_by_brute_force(texts, minhash.word_idf(docs))
 
 
+def exact_shingles(texts):
+    """Weights from plain document counts by word, without any of the operator's tables."""
+    df = collections.Counter(w for t in texts.values() for w in set(t.lower().split()))
+    out = {}
+    for i, t in texts.items():
+        words, found = t.lower().split(), collections.Counter()
+        n = min(5, len(words))
+        for at in range(len(words) - n + 1 if words else 0):
+            run = words[at : at + n]
+            found[tuple(run)] += sum(np.log(1 + len(texts) / df[w]) for w in run) / n
+        out[i] = found
+    return out
+
+
+@pytest.mark.parametrize("held", [1 << 20, 300, 0])
+def test_document_frequencies_are_those_of_words(spark, docs, texts, held, monkeypatch):
+    """With all words of several documents held, with some, and with none; far more words than a small table has slots."""
+    monkeypatch.setattr(minhash, "HELD", held)
+    monkeypatch.setattr(minhash, "NUMBERED", 2000)
+    made = dict(itertools.islice(sorted(texts.items()), 60)) | {10_000 + i: t for i, t in near_copies(40, 30).items()}
+    made |= {20_000 + i: " ".join(f"v{i}x{j}" for j in range(6000)) for i in range(70)}  # 420,000 words of one document
+    frame = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    counted = minhash.document_frequencies(frame)
+    df = collections.Counter(w for t in made.values() for w in set(t.lower().split()))
+    assert sorted(r.n for r in counted.collect()) == sorted(df.values())
+    idf = spark.sparkContext.broadcast(minhash.held_idf(counted, len(made)))
+    assert len(idf.value.hashes) <= held
+    keyed = frame.select(F.unhex(F.md5("text")).alias("node"), "text")
+    plain = {made[i]: x for i, x in exact_shingles(made).items()}
+    rows = minhash.with_light_words(keyed, counted, idf).toArrow()
+    assert set(rows["text"].to_pylist()) == set(made.values())
+    for text, light in zip(rows["text"], rows["light"], strict=True):
+        got = minhash.shingles(text.as_py(), idf.value, light=minhash.light_of(light))[1]
+        assert np.allclose(np.sort(got), np.sort(list(plain[text.as_py()].values())), atol=2e-6)
+    got = {r.doc_id: r.group_id for r in minhash.near_groups(frame).collect()}
+    small = {i: t for i, t in made.items() if i < 20_000}
+    all_idf = {t: {k: round(x, 6) for k, x in found.items()} for t, found in plain.items()}
+    parent = {i: i for i in small}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(small), 2):
+        x, y = all_idf[small[a]], all_idf[small[b]]
+        shared = sum(min(w, y[k]) for k, w in x.items() if k in y)
+        if small[a] == small[b] or shared and shared / (sum(x.values()) + sum(y.values()) - shared) >= 0.8:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in small} | {i: i for i in made if i >= 20_000}
+
+
 def test_a_group_whose_members_are_not_all_alike(spark):
     made = near_copies(160, 9) | {1000 + i: f"text number {i} " + " ".join(f"x{i}y{j}" for j in range(40)) for i in range(40)}
     frame = spark.createDataFrame(list(made.items()), "doc_id long, text string")
