@@ -9,17 +9,37 @@ from docspark.llm import language, minhash, mixing, packing, secrets
 from docspark.llm.common import ensure_checkpoint_dir
 
 ORACLE_SQL = None
-LEAST_LANGUAGE_SCORE = 0.1
+#: Texts of fewer trigrams are not judged; longer ones need this share of the median score of held-out ones as long.
+LEAST_TRIGRAMS, LEAST_SHARE, LEAST_HELD_OUT = 64, 0.2, 5
+
+
+def length_class():
+    """Number of binary digits of the number of trigrams."""
+    return F.ceil(F.log2(F.col("lang_trigrams") + 1)).cast("int")
+
+
+def least_scores(docs: DataFrame, prototypes: dict) -> dict[int, float]:
+    """By length class, the score to reach: from held-out documents whose language is found; a row for each class."""
+    found = language.identify(docs.filter(language.held_out()), prototypes).filter("lang_pred = lang").groupBy(length_class().alias("c"))
+    medians = found.agg(F.percentile_approx("lang_score", 0.5).alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    return {r.c: LEAST_SHARE * r.m for r in medians if r.n >= LEAST_HELD_OUT and 1 << (r.c - 1) >= LEAST_TRIGRAMS}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those like no language that the labelled documents show."""
+    """Drops documents without letters, and those like no language that the labelled documents show.
+
+    The score grows with the length of a text, so each is held against that of documents of its length; a class of
+    few held-out documents takes the least score of the next shorter one, and short texts stay.
+    """
     prototypes = language.profiles(docs.filter(~language.held_out()))
     found = language.identify(docs, prototypes)
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
+    least = F.lit(0.0)
+    for c, score in sorted(least_scores(docs, prototypes).items()):
+        least = F.when(length_class() >= c, F.lit(score)).otherwise(least)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= least)
     if not prototypes:  # nothing to learn from: only documents without letters go
         known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.filter(known).drop("lang_pred", "lang_score")
+    return found.filter(known).drop("lang_pred", "lang_score", "lang_trigrams")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

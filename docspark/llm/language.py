@@ -103,7 +103,7 @@ def profiles(labelled: DataFrame) -> dict[str, np.ndarray]:
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """All columns of docs and lang_pred, lang_score (cosine, at least 0) from the whole text.
+    """All columns of docs and lang_pred, lang_score (cosine, at least 0), lang_trigrams (their number) from the whole text.
 
     `und` with score 0 if the text is null or has no letter, or if no language is known; of equal cosines the first
     name wins. One pass without a shuffle; the prototypes are a few kilobytes a language.
@@ -111,9 +111,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     names = sorted(prototypes)
     known = np.array([prototypes[n] for n in names], np.float32) if names else None
 
-    @F.arrow_udf("struct<lang:string,score:double>")
+    @F.arrow_udf("struct<lang:string,score:double,trigrams:int>")
     def predict(texts: pa.Array) -> pa.Array:
-        langs, scores = [], []
+        langs, scores, sizes = [], [], []
         for text in texts:
             codes = trigrams(text.as_py() or "")
             lang, score = UNKNOWN, 0.0
@@ -127,9 +127,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
                 lang, score = names[best], min(1.0, max(0.0, float(cosine[best])))
             langs.append(lang)
             scores.append(score)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+            sizes.append(len(codes))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang", "score", "trigrams"])
 
-    return docs.withColumn("__lang", predict("text")).withColumn("lang_pred", F.col("__lang.lang")).withColumn("lang_score", F.col("__lang.score")).drop("__lang")
+    return docs.withColumn("__lang", predict("text")).withColumn("lang_pred", F.col("__lang.lang")).withColumn("lang_score", F.col("__lang.score")).withColumn("lang_trigrams", F.col("__lang.trigrams")).drop("__lang")
 
 
 def held_out():

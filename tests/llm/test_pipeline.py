@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from docspark.llm import minhash, secrets
 
@@ -41,6 +42,19 @@ def test_clean_documents_stay_and_decisions_take_effect(stages):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_short_documents_stay_and_long_junk_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng, letters = np.random.default_rng(9), list("abcdefghijklmnopqrstuvwxyz")
+    words = lambda n: " ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(n))
+    short = {900_000 + i: t for i, t in enumerate(["Avec.", "Edrere.", "Lllldoado.", "Onhaha sh.", "A."])}
+    junk = {910_000 + i: words(400) for i in range(40)}
+    made = [(i, t, "en", "web", len(t)) for i, t in (short | junk | {920_000: "12 34 !?"}).items()]
+    both = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
+    assert set(short) <= kept and not kept & set(junk) and 920_000 not in kept
+    assert len(kept & {r.doc_id for r in docs.select("doc_id").collect()}) >= 0.99 * docs.count()
+
+
 def test_run_and_empty_tables(spark, sf_dir, stages, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages["pack_sequences"][1].count()
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
