@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ WORD_BREAKS = "\t\n\x0b\x0c\r "
 MULTIPLIER = 6364136223846793005
 GROUP_BYTES = 8 << 20
 _TO_BLANK = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+_BREAK = np.isin(np.arange(256), [ord(c) for c in WORD_BREAKS])
+_LOW_BYTES = np.array([0] + [(1 << 8 * i) - 1 for i in range(1, 9)], np.uint64)
+#: Words of more bytes are hashed one by one; texts are hashed together up to so many characters.
+LONG_WORD, CHUNK = 256, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +45,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as the frame has columns so called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def split_words(text: str) -> list[str]:
     """Words `[^\\x20\\x09-\\x0D]+`, unchanged."""
     return [w for w in text.translate(_TO_BLANK).split(" ") if w]
@@ -45,29 +72,71 @@ def split_words(text: str) -> list[str]:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    shifted = out >> np.uint64(27)
+    out ^= shifted
+    out *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(out, np.uint64(31), out=shifted)
+    out ^= shifted
+    return out
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 text, and where it starts and ends.
+
+    Eight bytes at a time are scrambled into the hash; words of up to eight bytes cannot meet, longer ones only with
+    the chance of random 64-bit values.
+    """
+    data, n = np.frombuffer(raw + bytes(8), np.uint8), len(raw)
+    outside = np.ones(n + 2, bool)
+    np.take(_BREAK, data[:n], out=outside[1:-1])
+    edge = np.flatnonzero(outside[1:] != outside[:-1])
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    eight = np.ndarray((n + 1,), "<u8", data.data, 0, (1,))  # the eight bytes from each place on
+    out = mix64((eight[start] & _LOW_BYTES[np.minimum(size, 8)]) + np.uint64(0x9E3779B97F4A7C15) * size.astype(np.uint64))
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(at):
+        out[at] = mix64(out[at] * np.uint64(MULTIPLIER) ^ (eight[start[at] + done] & _LOW_BYTES[np.minimum(size[at] - done, 8)]))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return out, start, end
+
+
+def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: the number of the first, hashes of all their words, and where each text's words end."""
+    at = 0
+    while at < len(texts):
+        coded, held, first = [], 0, at
+        while at < len(texts) and held < CHUNK:
+            coded.append(texts[at].encode("utf-8", "surrogatepass"))
+            held += len(coded[-1])
+            at += 1
+        hashes, start, _ = word_hashes(b"\n".join(coded))
+        ends = np.cumsum([len(c) + 1 for c in coded])
+        yield first, hashes, np.searchsorted(start, ends)
 
 
 def rolling_hash(tokens: np.ndarray, length: int) -> np.ndarray:
     """Scrambled hashes of all runs of `length` tokens (64-bit values), in order; empty if there are fewer tokens.
 
-    Runs of 2n tokens are combined from runs of n, so the cost is logarithmic in the length.
+    Runs of 2n tokens are combined from runs of n, scrambled before, so that no structure of the tokens survives;
+    the cost is logarithmic in the length.
     """
-    n_runs = len(tokens) - length + 1
-    if n_runs <= 0:
+    if len(tokens) < length:
         return np.empty(0, np.uint64)
     have, run = 1, tokens
     for bit in bin(length)[3:]:
         keep = len(run) - have
-        run = run[:keep] * np.uint64(pow(MULTIPLIER, have, 1 << 64)) + run[have : have + keep]
+        run = mix64(run[:keep] + np.uint64(have)) + run[have : have + keep]
         have *= 2
         if bit == "1":
             keep = len(tokens) - have
-            run = run[:keep] * np.uint64(MULTIPLIER) + tokens[have : have + keep]
+            run = mix64(run[:keep] + np.uint64(have)) + tokens[have : have + keep]
             have += 1
     return mix64(run)
 

@@ -6,41 +6,28 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, rolling_hash, table
+from .common import cut, fresh, hashed_words, mix64, release, rolling_hash, table
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 16, 3, 1
 SAMPLES = BANDS * ROWS
-#: Of 48 samples, pairs at the threshold agree in 38 on average; fewer than 26 have a chance of about 1 in 50,000.
-LEAST_AGREED = 26
-DRAW_BITS = 16
-#: Words whose document frequency is broadcast at most, and words that a task numbers at a time.
-HELD, NUMBERED = 1 << 21, 400_000
+#: Each of a shingle's three draws comes from a table of 2^14 rows, in steps of 1/6 where it is only bounded.
+SLOT_BITS, STEPS = 14, 6.0
+#: Shingles are evaluated in full while they may be below this many expected minima.
+ENOUGH = 6.0
+#: Words whose document frequency is broadcast at most, and words that a task counts at a time.
+HELD, COUNTED = 1 << 21, 1 << 21
+#: Bits of the filter by which texts without a bucket mate are left out before texts move.
+FILTER_BITS = 26
 LIGHT = "array<struct<word:bigint,n:bigint>>"
 
 
-class Words:
-    """Numbers for the words met so far, in lower case, split at white space, and the 64-bit hash of each number."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.hashes = np.empty(0, np.uint64)
-
-    def full(self) -> bool:
-        return len(self.number) > NUMBERED
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        if new := set(words).difference(self.number):
-            if len(self.number) + len(new) > len(self.hashes):
-                self.hashes = np.resize(self.hashes, 1 << (len(self.number) + len(new)).bit_length())
-            for w in new:
-                self.hashes[len(self.number)] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                self.number[w] = len(self.number)
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+def node_of(text: str = "text"):
+    """The number of a text: 64 bits of its SHA-256, the same for null and empty; n texts meet with chance n^2 / 2^65."""
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
 
 
 class Idf:
@@ -52,7 +39,9 @@ class Idf:
 
     def __init__(self, n_docs: int, hashes: np.ndarray, df: np.ndarray, least: int = 2):
         self.n_docs, self.hashes, self.df, self.least = max(1, n_docs), hashes, df, least
-        self.words, self.values, self.known = Words(), np.empty(0), 0
+        # the last value looked up for each of 2^16 hash ranges; at first none that belongs there
+        self.kept, self.values = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16)
+        self.kept[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def __getstate__(self):
         return self.n_docs, self.hashes, self.df, self.least
@@ -68,23 +57,25 @@ class Idf:
         found = self.hashes[at] == hashes
         return found, np.where(found, self.df[at], 1)
 
-    def of(self, text: str, light=None) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and IDF of each word of the text; light: its (hashes, frequencies)."""
-        if self.words.full():
-            self.words, self.values, self.known = Words(), np.empty(0), 0
-        at = self.words.of(text)
-        if (n := len(self.words.number)) > self.known:
-            if n > len(self.values):
-                self.values = np.resize(self.values, len(self.words.hashes))
-            self.values[self.known : n] = np.log1p(self.n_docs / self.held(self.words.hashes[self.known : n])[1])
-            self.known = n
-        hashes, values = self.words.hashes[at], self.values[at]
-        if light is not None and len(light[0]):
-            order = np.argsort(light[0])
-            own, df = light[0][order], light[1][order]
-            at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-            values = np.where(own[at] == hashes, np.log1p(self.n_docs / df[at]), values)
-        return hashes, values
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """IDF of each word, light words apart."""
+        place = (hashes >> np.uint64(48)).astype(np.int64)
+        out = self.values[place]
+        missed = np.flatnonzero(self.kept[place] != hashes)
+        if len(missed):
+            new, at = hashes[missed], place[missed]
+            out[missed] = np.log1p(self.n_docs / self.held(new)[1])
+            self.kept[at], self.values[at] = new, out[missed]
+        return out
+
+    def with_light(self, hashes: np.ndarray, values: np.ndarray, light) -> np.ndarray:
+        """The values, with those of the light words (hashes, frequencies) of the text."""
+        if light is None or not len(light[0]):
+            return values
+        order = np.argsort(light[0])
+        own, df = light[0][order], light[1][order]
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        return np.where(own[at] == hashes, np.log1p(self.n_docs / df[at]), values)
 
 
 def light_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray] | None:
@@ -93,70 +84,121 @@ def light_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray] | None:
     return value.values.field("word").to_numpy().view(np.uint64), value.values.field("n").to_numpy()
 
 
-def shingles(text: str, idf: Idf, words: int = WORDS, light=None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(hashes: np.ndarray, values: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, ascending, and their weights: occurrences times the mean IDF of the words.
 
     A text of fewer words is one shingle; a text without words has none.
     """
-    h, values = idf.of(text, light)
-    if not len(h):
+    if not len(hashes):
         return np.empty(0, np.uint64), np.empty(0, np.float64)
-    n = min(words, len(h))
-    runs = rolling_hash(h, n)
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    distinct, first, count = np.unique(runs, return_index=True, return_counts=True)
-    # rounded, so that a shingle weighs the same to the last bit wherever it stands
-    return distinct, np.round(count * (total[first + n] - total[first]) / n, 6)
+    n = min(words, len(hashes))
+    runs = rolling_hash(hashes, n)
+    weights = values[: len(runs)].copy()
+    for i in range(1, n):  # always in this order, so that a shingle weighs the same to the last bit wherever it stands
+        weights += values[i : i + len(runs)]
+    weights /= n
+    order = np.argsort(runs, kind="stable")
+    runs, weights = runs[order], weights[order]
+    new = np.ones(len(runs), bool)
+    np.not_equal(runs[1:], runs[:-1], out=new[1:])
+    if not new.all():
+        first = np.flatnonzero(new)
+        runs, weights = runs[first], weights[first] * np.diff(np.append(first, len(runs)))
+    return runs, weights
+
+
+def shingled(texts: list[str], idf: Idf, lights=None):
+    """Shingles and weights of each text, in order."""
+    for first, hashes, ends in hashed_words([t.lower() for t in texts]):
+        values, start = idf.of(hashes), 0
+        for i, end in enumerate(ends.tolist(), first):
+            own = hashes[start:end]
+            part = values[start:end]
+            yield shingles(own, part if lights is None else idf.with_light(own, part, lights[i]))
+            start = end
+
+
+def shingles_of(text: str, idf: Idf, light=None) -> tuple[np.ndarray, np.ndarray]:
+    return next(shingled([text], idf, [light]))
 
 
 @cache
-def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, beta and ln c for each of 2^16 slots and each sample: r and c by Gamma(2, 1), beta uniform."""
+def draws() -> tuple[np.ndarray, ...]:
+    """r, beta and ln c for each row and sample (r and c by Gamma(2, 1), beta uniform), and steps at or above r and at
+    or below ln c."""
     rng = np.random.Generator(np.random.PCG64(SEED))
-    shape = (1 << DRAW_BITS, SAMPLES)
-    return rng.standard_gamma(2.0, shape, np.float32), rng.random(shape, np.float32), np.log(rng.standard_gamma(2.0, shape, np.float32))
+    shape = (1 << SLOT_BITS, SAMPLES)
+    r, beta, c = (draw(shape) for draw in (lambda s: rng.standard_gamma(2.0, s, np.float32), lambda s: rng.random(s, np.float32), lambda s: np.log(rng.standard_gamma(2.0, s, np.float32))))
+    over, under = np.ceil(r * STEPS), np.floor(c * STEPS)
+    assert over.max() <= 107 and under.min() >= -128  # over + 20 and under fit a byte
+    return r, beta, c, over.astype(np.int8), under.astype(np.int8)
 
 
 def weighted_samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Improved consistent weighted sampling: sample k is the shingle with the least a_k and its level t_k.
 
     t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1). Two sets agree in a sample with the chance of their
-    weighted Jaccard similarity. The draws of a shingle depend on its hash alone; shingles that share a slot keep
-    their own identity in the sample, and of equal a the least hash wins.
+    weighted Jaccard similarity. r, beta and c of a shingle are drawn from tables by three separate parts of its hash;
+    two shingles share all three with chance 2^-42, and keep their identity in the sample even then. Of equal a the
+    least hash wins.
+
+    As ln a >= ln c - ln w - r, only shingles for which that bound is below the value that the minimum rarely exceeds
+    are evaluated. A sample for which none is below it is found from all shingles, so the result is that of all.
     """
-    r_of, beta_of, c_of = draws()
-    low = np.full(SAMPLES, np.inf, np.float32)
+    r, beta, c, over, under = draws()
+    slot = mix64(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    row_mask = np.uint64((1 << SLOT_BITS) - 1)
+    rows = [((slot >> np.uint64(s)) & row_mask).astype(np.int64) for s in (0, 20, 40)]
+    logs = np.log(weights).astype(np.float32)
+    limit = np.float32(np.log(ENOUGH / weights.sum()))
+    bound = np.clip(np.ceil((logs + limit) * STEPS) + 1, -128, 20).astype(np.int8)
+    r_at, beta_at, c_at = (x * SAMPLES for x in rows)
+
+    def evaluate(i, k):
+        step, shift = r.take(r_at.take(i) + k), beta.take(beta_at.take(i) + k)
+        t = np.floor(logs.take(i) / step + shift)
+        return c.take(c_at.take(i) + k) - step * (t - shift + 1), t
+
+    parts = []
+    for at in range(0, len(hashes), 4096):
+        most = over.take(rows[0][at : at + 4096], axis=0)
+        most += bound[at : at + 4096, None]
+        may = np.flatnonzero(under.take(rows[2][at : at + 4096], axis=0) <= most)
+        i = may // SAMPLES
+        k = may - i * SAMPLES
+        i += at
+        a, t = evaluate(i, k)
+        low = np.flatnonzero(a <= limit)
+        parts.append((a.take(low), i.take(low), k.take(low), t.take(low)))
+    a, i, k, t = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
     chosen, level = np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
-    column = np.arange(SAMPLES)
-    slots = (mix64(hashes) & np.uint64((1 << DRAW_BITS) - 1)).astype(np.int64)
-    logs = np.log(np.maximum(weights, 1e-6)).astype(np.float32)
-    for at in range(0, len(hashes), 1024):
-        slot = slots[at : at + 1024]
-        r, beta = r_of[slot], beta_of[slot]
-        t = np.floor(logs[at : at + 1024, None] / r + beta)
-        a = c_of[slot] - r * (t - beta + 1)
-        best = a.argmin(axis=0)
-        value = a[best, column]
-        better = value < low
-        low[better] = value[better]
-        chosen[better] = hashes[at + best[better]]
-        level[better] = t[best, column][better]
+    order = np.argsort(a, kind="stable")
+    order = order[np.argsort(k[order].astype(np.int8), kind="stable")]
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([k[:1] >= 0, k[1:] != k[:-1]]))
+    best = order[first]
+    chosen[k[first]], level[k[first]] = hashes[i[best]], t[best]
+    if len(first) < SAMPLES:
+        every = np.arange(len(hashes))
+        for missing in np.setdiff1d(np.arange(SAMPLES), k[first]).tolist():
+            a, t = evaluate(every, missing)
+            least = int(a.argmin())
+            chosen[missing], level[missing] = hashes[least], t[least]
     return (mix64(chosen ^ mix64(level.astype(np.int64).view(np.uint64))) >> np.uint64(33)).astype(np.int32)
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    parts = samples.reshape(BANDS, ROWS).astype(np.uint64)
-    key = mix64(np.arange(BANDS, dtype=np.uint64))
-    for i in range(ROWS):
-        key = mix64(key ^ parts[:, i])
-    return key.view(np.int64)
+def band_keys():
+    """Keys of the bands of `samples`; texts that share one are bucket mates."""
+    at = lambda i: F.element_at("samples", i + 1)
+    return F.array(*[F.xxhash64(F.lit(b), *[at(b * ROWS + i) for i in range(ROWS)]) for b in range(BANDS)])
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    shared = np.minimum(a[1][at[both]], b[1][both]).sum()
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
@@ -164,21 +206,28 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     """(word, n): the hash of each word and the number of documents that have it; counted in tasks before it is dealt."""
 
     def count(batches):
-        words, found = Words(), np.zeros(0, np.int64)
+        waiting, held = [], 0
 
         def counted():
-            return pa.record_batch({"word": pa.array(words.hashes[: len(words.number)].view(np.int64)), "n": pa.array(found[: len(words.number)])})
+            words, n = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            return pa.record_batch({"word": pa.array(words.view(np.int64)), "n": pa.array(n)})
 
         for b in batches:
-            for text in b.column(0):
-                if words.full():
+            for _, hashes, ends in hashed_words([(t or "").lower() for t in b.column(0).to_pylist()]):
+                start = 0
+                for end in ends.tolist():
+                    own = np.sort(hashes[start:end])
+                    start = end
+                    if len(own):
+                        new = np.ones(len(own), bool)
+                        np.not_equal(own[1:], own[:-1], out=new[1:])
+                        waiting.append(own[new])
+                        held += len(waiting[-1])
+                if held > COUNTED:
                     yield counted()
-                    words, found = Words(), np.zeros(0, np.int64)
-                at = np.unique(words.of(text.as_py() or ""))
-                if len(words.hashes) > len(found):
-                    found = np.concatenate([found, np.zeros(len(words.hashes) - len(found), np.int64)])
-                found[at] += 1
+                    waiting, held = [], 0
         yield counted()
+        release()
 
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -213,24 +262,24 @@ def with_light_words(texts: DataFrame, counted: DataFrame, idf) -> DataFrame:
     """(node, text, light): the words of each text that are not held but in several documents, with their frequency.
 
     Words and frequencies meet in a join. A word that is not held is in few documents, so no word is hot, and a text
-    with many copies has no such words.
+    with many copies has no such words. Copies become one row, if any light words are looked for.
     """
     if idf.value.least <= 2:
         return texts.withColumn("light", F.lit(None).cast(LIGHT))
 
     def spread(batches):
-        words = Words()
         for b in batches:
-            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if words.full():
-                    words = Words()
-                at = np.unique(words.of(text.as_py()))
-                own = words.hashes[at]
-                own = own[~idf.value.held(own)[0]]
-                yield pa.record_batch({"node": pa.array([node] * len(own), pa.binary()), "word": pa.array(own.view(np.int64))})
+            nodes = b.column(0).to_numpy()
+            for first, hashes, ends in hashed_words([t.lower() for t in b.column(1).to_pylist()]):
+                start = 0
+                for i, end in enumerate(ends.tolist(), first):
+                    own = np.unique(hashes[start:end])
+                    own = own[~idf.value.held(own)[0]]
+                    yield pa.record_batch({"node": pa.array(np.full(len(own), nodes[i])), "word": pa.array(own.view(np.int64))})
+                    start = end
 
     several = counted.filter((F.col("n") > 1) & (F.col("n") < idf.value.least))
-    light = texts.mapInArrow(spread, "node binary, word long").join(several, "word")
+    light = texts.mapInArrow(spread, "node long, word long").join(several, "word")
     light = cut(light.groupBy("node").agg(F.collect_set(F.struct("word", "n")).alias("light")))
     return texts.dropDuplicates(["node"]).join(light, "node", "left").select("node", "text", F.col("light").cast(LIGHT).alias("light"))
 
@@ -238,103 +287,96 @@ def with_light_words(texts: DataFrame, counted: DataFrame, idf) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, by alternating large and small stars.
 
-    Only least neighbours are aggregated, so no task ever holds a node's neighbours; each round is checkpointed.
+    Only least neighbours are aggregated, so no task ever holds a node's neighbours; each round is checkpointed. It
+    is done when no node has two parents or is parent and child at once.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    seen = None
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+        ends = ends.unionAll(edges.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        ends = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+        roots = ends.select("n", F.col("n").alias("label")).filter("child = 0")
+        if not ends.filter("child + parent > 1 AND child > 0").limit(1).count():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(roots.select(F.col("n").alias("node"), "label"))
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = cut(large.filter("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         edges = cut(small.filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-        seen = now
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (key of the text), label (key of the class), group_id (its least doc_id), group_size of every row.
+    """doc_id, node (number of the text), label (number of the class), group_id (its least doc_id), group_size of every row.
 
     Texts are nodes; two texts are linked if their weighted Jaccard similarity is at least `similarity`, and a class
     is a connected component, so exact copies always share one. Null text counts as empty; texts without words are
     linked to their exact copies only. A class whose doc_ids are all null has a null group_id. An empty table gives
-    no rows; other columns are not looked at.
+    no rows; other columns are not looked at. Bands are laid out for a similarity of 0.8: a pair at the threshold
+    shares none with a chance of about 1 in 100,000; less is refused.
 
     Candidates share a band. In each bucket one text, that with most bucket mates, is compared with all others, so
-    a group of copies costs a star, not all its pairs. Buckets that still hold several classes are compared with a
-    second text, that with the least weight in rare shingles. What is left are pairs of different classes: two texts
-    share at most their common shingles and the rare ones that only they have, and must share 4/9 of their joint
-    weight, a bound that loses no link. What it and the number of samples that agree leave possible is compared in
-    full. The links found are exact.
+    a group of copies costs a star, not all its pairs. Buckets that still hold several classes are left with pairs of
+    different classes: two texts share at most the weight of shingles that some third of these texts or both have,
+    and must share 4/9 of their joint weight. The pairs that this bound leaves are compared in full, so of the
+    candidates no link is lost and every link is exact.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"bands are laid out for a similarity of {SIMILARITY} or more")
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = cut(document_frequencies(docs))
     idf = spark.sparkContext.broadcast(held_idf(counted, docs.count()))
-    keyed = docs.select("doc_id", F.unhex(F.md5("text")).alias("node"))
-    weighed = with_light_words(docs.select(F.unhex(F.md5("text")).alias("node"), "text"), counted, idf)
+    keyed = docs.select("doc_id", node_of().alias("node"))
+    weighed = with_light_words(docs.select(node_of().alias("node"), "text"), counted, idf)
 
     def sign(batches):
         for b in batches:
-            samples, bands, weight = [], [], []
-            for text, light in zip(b.column(1), b.column(2), strict=True):
-                h, w = shingles(text.as_py(), idf.value, light=light_of(light))
-                s = weighted_samples(h, w) if len(h) else None
-                samples.append(None if s is None else s.tolist())
-                bands.append(None if s is None else band_keys(s).tolist())
-                weight.append(float(w.sum()))
-            yield pa.record_batch({"node": b.column(0), "samples": pa.array(samples, pa.list_(pa.int32())), "bands": pa.array(bands, pa.list_(pa.int64())), "weight": pa.array(weight, pa.float64())})
-
-    signed = weighed.mapInArrow(sign, "node binary, samples array<int>, bands array<long>, weight double")
-    nodes = cut(signed.filter("bands IS NOT NULL").dropDuplicates(["node"]))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+            lights = None if b.column(2).null_count == len(b) else [light_of(x) for x in b.column(2)]
+            samples, weight, rows = [], [], []
+            for i, (h, w) in enumerate(shingled(b.column(1).to_pylist(), idf.value, lights)):
+                if len(h):
+                    samples.append(weighted_samples(h, w))
+                    weight.append(float(w.sum()))
+                    rows.append(i)
+            ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * SAMPLES)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(samples) if samples else np.empty(0, np.int32)))
+            yield pa.record_batch({"node": b.column(0).take(pa.array(rows, pa.int64())), "weight": pa.array(weight, pa.float64()), "samples": lists})
+        release()
+
+    signed = weighed.mapInArrow(sign, "node long, weight double, samples array<int>")
+    nodes = cut(signed.dropDuplicates(["node"]))
+    banded = nodes.select("node", F.explode(band_keys()).alias("band"))
     full = banded.groupBy("band").agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
     members = cut(banded.join(full, "band"))
     met = members.groupBy("node").agg(F.sum("mates").alias("met"))
-    stars = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("star")).select("band", F.col("star.node").alias("star"))
-    pairs = members.join(stars, "band").filter("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    texts = weighed.join(met.select("node"), "node", "left_semi")
-    texts = cut(texts.dropDuplicates(["node"]))
-    first = cut(verified(pairs, texts, idf, similarity))
-    label = components(first)
-
-    # texts that share a bucket but no class yet
-    apart = cut(members.join(left_apart(members, label), "band", "left_semi").select("band", "node"))
-    rare, shared = rare_weights(texts.join(apart.select("node"), "node", "left_semi"), idf)
-    known = nodes.join(rare, "node").select("node", "samples", "bands", "weight", (F.col("weight") - F.col("rare")).alias("common"))
-    apart = cut(apart.join(known, "node"))
-    centre = apart.groupBy("band").agg(F.max(F.struct((F.col("common") / F.col("weight")).alias("c"), "node")).alias("m")).select("band", F.col("m.node").alias("star"))
-    again = placed_at(apart, label).join(centre, "band")
-    starred = label.select(F.col("node").alias("star"), F.col("label").alias("star_label"))
-    again = again.join(starred, "star", "left").filter(F.col("label") != F.coalesce("star_label", "star"))
-    again = again.select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    second = cut(verified(again.join(pairs, ["a", "b"], "left_anti"), texts, idf, similarity))
-    links = first.select("a", "b").union(second.select("a", "b"))
-    label = components(links)
-
-    # what is still apart, as far as a link is possible
-    rest = placed_at(apart, label).join(left_apart(apart, label), "band", "left_semi")
-    a, b = rest.alias("a"), rest.alias("b")
-    agreed = F.aggregate(F.zip_with("a.samples", "b.samples", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    stars = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("s")).select("band", F.col("s.node").alias("star"))
+    members = cut(members.join(stars, "band"))
+    met = members.select("node").distinct()
+    texts = cut(only_these(weighed, met).dropDuplicates(["node"]))
+    pairs = members.filter("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
+    label = components(verified(pairs, texts, idf, similarity))
+
+    # buckets whose texts are in several classes; of two texts in a bucket one is the star
+    several = placed_at(members.filter("mates > 2"), label)
+    apart = several.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+    several = cut(several.join(apart, "band", "left_semi").select("band", "node", "star", "label"))
+    own = own_weights(texts.join(several.select("node"), "node", "left_semi"), idf)
+    known = nodes.join(own, "node").select("node", "weight", (F.col("weight") - F.col("own")).alias("common"), band_keys().alias("bands"))
+    some = several.join(known.filter(F.col("common") >= (similarity - 1e-6) * F.col("weight")), "node")
+    a, b = some.alias("a"), some.alias("b")
     need = (F.col("a.weight") + F.col("b.weight")) * (similarity / (1 + similarity) - 1e-6)
-    possible = (F.least("a.common", "b.common") >= need) & (agreed >= LEAST_AGREED)
-    first_met = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")  # each pair in one band only
-    in_bands = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") < F.col("b.label")) & possible & first_met)
-    in_bands = in_bands.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    one = placed_at(known, label)
-    a, b = one.alias("a"), one.alias("b")
-    by_share = shared.join(a, F.col("x") == F.col("a.node")).join(b, F.col("y") == F.col("b.node"))
-    by_share = by_share.filter((F.col("a.label") != F.col("b.label")) & (F.least("a.common", "b.common") + F.col("share") >= need))
-    by_share = by_share.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = in_bands.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(by_share).distinct()
-    more = verified(rest, texts, idf, similarity)
-    label = components(links.union(more.select("a", "b")))
+    open_ = (F.col("a.label") < F.col("b.label")) & (F.col("a.node") != F.col("a.star")) & (F.col("b.node") != F.col("a.star"))
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")  # each pair in one band only
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & open_ & (F.least("a.common", "b.common") >= need) & once)
+    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("x"), F.col("b.label").alias("y"))
+    more = cut(verified(rest, texts, idf, similarity).select(F.col("x").alias("a"), F.col("y").alias("b")))
     placed = placed_at(keyed, label)
+    if more.limit(1).count():
+        joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+        placed = placed.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
     sizes = placed.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     return placed.join(sizes, "label").select("doc_id", "node", "label", "group_id", "group_size")
 
@@ -344,68 +386,80 @@ def placed_at(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def left_apart(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Bands whose texts are in more than one class."""
-    found = placed_at(rows.select("band", "node"), label)
-    return found.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+def only_these(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node is among the nodes. Most others are left out by a bit for each of 2^26 values before rows
+    move; the filter has a fixed size and lets some rows through, which the join then takes out."""
+    bit = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1) + 1
+    bits = nodes.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
+    parts = bits.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    size = 4096  # bytes of a part
+    found = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for p in parts:
+        found[(p["part"] - 1) * size : p["part"] * size] = np.frombuffer(p["bits"], np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(found)
+
+    def pick(batches):
+        mask = (1 << FILTER_BITS) - 1
+        for b in batches:
+            at = b.column(0).to_numpy() & mask
+            yield b.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
+    return rows.mapInArrow(pick, rows.schema).join(nodes, "node", "left_semi")
 
-def rare_weights(texts: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
-    """(node, rare): the weight of a text's shingles that at most one other of these texts has; and
-    (x, y, share): the weight that two texts share in shingles which only they have.
 
-    Two texts cannot share more than their other shingles and that.
-    """
+def own_weights(texts: DataFrame, idf) -> DataFrame:
+    """(node, own): the weight of a text's shingles that no other of these texts has."""
 
     def spread(batches):
         for b in batches:
-            for node, text, light in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                h, w = shingles(text.as_py(), idf.value, light=light_of(light))
-                yield pa.record_batch({"shingle": pa.array(h.view(np.int64)), "node": pa.array([node] * len(h), pa.binary()), "weight": pa.array(w)})
+            nodes, lights = b.column(0).to_numpy(), [light_of(x) for x in b.column(2)]
+            for node, (h, w) in zip(nodes, shingled(b.column(1).to_pylist(), idf.value, lights), strict=True):
+                yield pa.record_batch({"shingle": pa.array(h.view(np.int64)), "node": pa.array(np.full(len(h), node)), "weight": pa.array(w.astype(np.float32))})
+        release()
 
-    each = texts.select("node", "text", "light").mapInArrow(spread, "shingle long, node binary, weight double")
-    ends = each.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("x"), F.max(F.struct("node", "weight")).alias("y")
-    )
-    ends = cut(ends.filter("n <= 2").select("n", F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.col("x.weight").alias("wx"), F.col("y.weight").alias("wy")))
-    parts = ends.select(F.col("x").alias("node"), F.col("wx").alias("w")).union(ends.filter("n = 2").select(F.col("y").alias("node"), F.col("wy").alias("w")))
-    rare = texts.select("node", F.lit(0.0).alias("w")).union(parts).groupBy("node").agg(F.sum("w").alias("rare"))
-    shared = ends.filter("n = 2").groupBy("x", "y").agg(F.sum(F.least("wx", "wy")).alias("share"))
-    return rare, shared
+    each = texts.select("node", "text", "light").mapInArrow(spread, "shingle long, node long, weight float")
+    single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).filter("n = 1")
+    # a float's error in the sum is made up for, so that the bound stays one
+    parts = single.select("node", (F.col("weight").cast("double") * (1 - 1e-6)).alias("w")).unionAll(texts.select("node", F.lit(0.0).alias("w")))
+    return parts.groupBy("node").agg(F.sum("w").alias("own"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach the threshold, from their whole texts."""
+    """The rows of pairs (a, b, ...) that reach the threshold, compared by their whole texts."""
 
     def compare(batches):
-        held: dict[bytes, tuple] = {}
+        held: dict[int, tuple] = {}
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for x, y, s, t, u, v in zip(a, b, *batch.columns[2:], strict=True):
-                if x not in held:
-                    held = {x: shingles(s.as_py(), idf.value, light=light_of(u))}
-                out.append(weighted_jaccard(held[x], shingles(t.as_py(), idf.value, light=light_of(v))))
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "similarity": pa.array(out, pa.float64())})
-
-    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y"), F.col("light").alias("v")), "b")
-    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x"), F.col("light").alias("u")), "a").select("a", "b", "x", "y", "u", "v")
-    return rows.mapInArrow(compare, "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity)
+            names = batch.schema.names
+            good = []
+            first, x, y, u, v = (batch.column(names.index(c)) for c in ("a", "__x", "__y", "__u", "__v"))
+            seconds = shingled(y.to_pylist(), idf.value, [light_of(i) for i in v])
+            for node, text, light, second in zip(first.to_pylist(), x, u, seconds, strict=True):
+                if node not in held:
+                    held = {node: shingles_of(text.as_py(), idf.value, light_of(light))}
+                good.append(weighted_jaccard(held[node], second) >= similarity)
+            yield batch.select(columns).filter(pa.array(good, pa.bool_()))
+        release()
+
+    columns = pairs.columns
+    rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("__y"), F.col("light").alias("__v")), "b")
+    rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("__x"), F.col("light").alias("__u")), "a")
+    return rows.mapInArrow(compare, pairs.schema)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without near duplicates: of each class the row with the least doc_id stays.
 
-    Null doc_ids come first; of rows that agree in doc_id and class one stays. All columns are kept.
+    Null doc_ids come first; of rows that agree in doc_id and text one stays. All columns are kept, whatever their names.
     """
     found = near_groups(docs, similarity)
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "node")
-    best = found.groupBy("label").agg(F.min(order).alias("d")).select(F.col("d.doc_id").alias("__id"), F.col("d.node").alias("__node"))
-    best = best.withColumn("__k", F.xxhash64("__id", "__node"))
-    text = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("__text", text).withColumn("__k", F.xxhash64("doc_id", "__text"))
-    rows = rows.join(best, "__k").filter(F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__node")))
-    return rows.dropDuplicates(["__k", "__node", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    node, own, id_, known = fresh(docs, "node_", "node_kept", "id_kept", "id_known")
+    best = found.groupBy("label").agg(F.min(order).alias("d"))
+    best = best.select(F.col("d.node").alias(own), F.coalesce("d.doc_id", F.lit(0)).alias(id_), F.col("d.known").alias(known))
+    rows = docs.withColumn(node, node_of())
+    same = (F.col(node) == F.col(own)) & (F.coalesce("doc_id", F.lit(0)) == F.col(id_)) & (F.col("doc_id").isNotNull() == F.col(known))
+    return rows.join(best, same).dropDuplicates([own, id_, known]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_minhash(spark, sf_dir):

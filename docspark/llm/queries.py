@@ -35,5 +35,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: All pairs of different texts that share a shingle, and what can be reached over those that are alike.
+NEAR_SQL = r"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS x, min(doc_id) AS id FROM documents GROUP BY 1),
+d AS (SELECT id, x, regexp_extract_all(lower(x), '[^\x20\x09-\x0D]+') AS w FROM t),
+f AS (SELECT u, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(w)) AS u FROM documents JOIN d ON x = coalesce(text, '')) GROUP BY 1),
+p AS (SELECT id, unnest(w) AS u, unnest(range(1, len(w) + 1)) AS i FROM d),
+v AS (SELECT id, list(ln(1 + (SELECT count(*) FROM documents) / n) ORDER BY i) AS v FROM p JOIN f USING (u) GROUP BY 1),
+r AS (SELECT id, w, v, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d JOIN v USING (id)),
+s AS (SELECT id, array_to_string(w[i:i + k - 1], ' ') AS s, k, sum(list_sum(v[i:i + k - 1]) / k) AS weight FROM r GROUP BY ALL),
+whole AS (SELECT id, sum(weight) AS weight FROM s GROUP BY 1),
+shared AS (SELECT a.id AS a, b.id AS b, sum(least(a.weight, b.weight)) AS m FROM s AS a JOIN s AS b ON a.s = b.s AND a.k = b.k AND a.id < b.id GROUP BY 1, 2),
+alike AS (SELECT a, b FROM shared JOIN whole AS x ON x.id = a JOIN whole AS y ON y.id = b WHERE m / (x.weight + y.weight - m) >= 0.8),
+links AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+reached(id, other) AS (SELECT id, id FROM t UNION SELECT reached.id, b FROM reached JOIN links ON a = other),
+class AS (SELECT id, min(other) AS group_id FROM reached GROUP BY 1),
+placed AS (SELECT doc_id, group_id FROM documents JOIN t ON x = coalesce(text, '') JOIN class USING (id))
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM placed
+"""
+
 #: doc_ids are taken as unique here, as they are in the tables.
-ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": WORDS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": NEAR_SQL, "op7_substring_dedup": WORDS_SQL}

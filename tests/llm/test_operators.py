@@ -6,12 +6,13 @@ import itertools
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docspark.llm import ann, common, counting, fingerprints, language, minhash, mixing, packing, repeats, secrets, tokens
-from docspark.llm.queries import QUERIES
+from docspark.llm.queries import ORACLE_SQL, QUERIES
 
 EDGE = "doc_id long, text string, lang string, source string, n_chars long, g int, blob string"
 
@@ -48,19 +49,41 @@ def small_groups(monkeypatch):
 # --- 1 ------------------------------------------------------------------------------------------------------
 
 
-def classes_by_brute_force(texts, idf):
-    shingles = {i: minhash.shingles(t, idf) for i, t in texts.items()}
-    parent = {i: i for i in texts}
+def exact_shingles(texts):
+    """Weights from plain document counts by word, without any of the operator's tables."""
+    df = collections.Counter(w for t in texts.values() for w in set(t.lower().split()))
+    out = {}
+    for i, t in texts.items():
+        words, found = t.lower().split(), collections.Counter()
+        n = min(5, len(words))
+        for at in range(len(words) - n + 1 if words else 0):
+            run = words[at : at + n]
+            found[tuple(run)] += sum(np.log(1 + len(texts) / df[w]) for w in run) / n
+        out[i] = found
+    return out
+
+
+def classes_by_brute_force(texts):
+    weights, holders, parent = exact_shingles(texts), collections.defaultdict(list), {i: i for i in texts}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sorted(texts), 2):
-        if texts[a] == texts[b] or minhash.weighted_jaccard(shingles[a], shingles[b]) >= 0.8:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
+    for i in sorted(texts):
+        for s in weights[i]:
+            holders[s].append(i)
+    pairs = {p for h in holders.values() if len(h) > 1 for p in itertools.combinations(h, 2)}
+    for a, b in pairs:
+        x, y = weights[a], weights[b]
+        shared = sum(min(w, y[s]) for s, w in x.items() if s in y)
+        if shared / (sum(x.values()) + sum(y.values()) - shared) >= 0.8:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    first = {}
+    for i in sorted(texts):
+        j = first.setdefault(texts[i], i)
+        parent[max(find(i), find(j))] = min(find(i), find(j))
     return {i: find(i) for i in texts}
 
 
@@ -78,66 +101,53 @@ def near_copies(n, edits):
 
 def test_near_duplicates_equal_brute_force(spark, docs, texts):
     got = {r.doc_id: r.group_id for r in minhash.near_groups(docs).collect()}
-    assert got == classes_by_brute_force(texts, minhash.word_idf(docs))
+    assert got == classes_by_brute_force(texts)
 
 
-def exact_shingles(texts):
-    """Weights from plain document counts by word, without any of the operator's tables."""
-    df = collections.Counter(w for t in texts.values() for w in set(t.lower().split()))
-    out = {}
-    for i, t in texts.items():
-        words, found = t.lower().split(), collections.Counter()
-        n = min(5, len(words))
-        for at in range(len(words) - n + 1 if words else 0):
-            run = words[at : at + n]
-            found[tuple(run)] += sum(np.log(1 + len(texts) / df[w]) for w in run) / n
-        out[i] = found
-    return out
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    """On ten times the rows of the other tests."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, sf).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    got, want = (sorted(map(tuple, x[columns].astype(object).values.tolist())) for x in (got, want))
+    assert got == want
 
 
 @pytest.mark.parametrize("held", [1 << 20, 300, 0])
 def test_document_frequencies_are_those_of_words(spark, docs, texts, held, monkeypatch):
     """With all words of several documents held, with some, and with none; far more words than a small table has slots."""
     monkeypatch.setattr(minhash, "HELD", held)
-    monkeypatch.setattr(minhash, "NUMBERED", 2000)
+    monkeypatch.setattr(minhash, "COUNTED", 2000)
     made = dict(itertools.islice(sorted(texts.items()), 60)) | {10_000 + i: t for i, t in near_copies(40, 30).items()}
-    made |= {20_000 + i: " ".join(f"v{i}x{j}" for j in range(6000)) for i in range(70)}  # 420,000 words of one document
+    made |= {20_000 + i: " ".join(f"v{i}x{j}" for j in range(3000)) for i in range(40)}  # 120,000 words of one document
     frame = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     counted = minhash.document_frequencies(frame)
     df = collections.Counter(w for t in made.values() for w in set(t.lower().split()))
     assert sorted(r.n for r in counted.collect()) == sorted(df.values())
     idf = spark.sparkContext.broadcast(minhash.held_idf(counted, len(made)))
     assert len(idf.value.hashes) <= held
-    keyed = frame.select(F.unhex(F.md5("text")).alias("node"), "text")
+    keyed = frame.select(minhash.node_of().alias("node"), "text")
     plain = {made[i]: x for i, x in exact_shingles(made).items()}
     rows = minhash.with_light_words(keyed, counted, idf).toArrow()
     assert set(rows["text"].to_pylist()) == set(made.values())
     for text, light in zip(rows["text"], rows["light"], strict=True):
-        got = minhash.shingles(text.as_py(), idf.value, light=minhash.light_of(light))[1]
+        got = minhash.shingles_of(text.as_py(), idf.value, light=minhash.light_of(light))[1]
         assert np.allclose(np.sort(got), np.sort(list(plain[text.as_py()].values())), atol=2e-6)
     got = {r.doc_id: r.group_id for r in minhash.near_groups(frame).collect()}
-    small = {i: t for i, t in made.items() if i < 20_000}
-    all_idf = {t: {k: round(x, 6) for k, x in found.items()} for t, found in plain.items()}
-    parent = {i: i for i in small}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(small), 2):
-        x, y = all_idf[small[a]], all_idf[small[b]]
-        shared = sum(min(w, y[k]) for k, w in x.items() if k in y)
-        if small[a] == small[b] or shared and shared / (sum(x.values()) + sum(y.values()) - shared) >= 0.8:
-            parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert got == {i: find(i) for i in small} | {i: i for i in made if i >= 20_000}
+    assert got == classes_by_brute_force(made)
 
 
 def test_a_group_whose_members_are_not_all_alike(spark):
     made = near_copies(160, 9) | {1000 + i: f"text number {i} " + " ".join(f"x{i}y{j}" for j in range(40)) for i in range(40)}
     frame = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     got = {r.doc_id: r.group_id for r in minhash.near_groups(frame).collect()}
-    want = classes_by_brute_force(made, minhash.word_idf(frame))
+    want = classes_by_brute_force(made)
     assert got == want and len(set(want.values())) > 41
 
 
@@ -150,13 +160,59 @@ def test_near_duplicates_edges(spark, edge):
     assert kept.columns == edge.columns and kept.count() == len({r.text or "" for r in edge.collect()})
 
 
-def test_samples_agree_as_often_as_texts_are_alike():
-    rng = np.random.default_rng(0)
-    h = rng.integers(0, 1 << 62, 400).astype(np.uint64)
-    w = rng.random(400) * 5 + 0.1
-    a, b = (np.sort(h[:300]), w[:300]), (np.sort(h[100:]), w[100:])
-    est = np.mean([(minhash.weighted_samples(*a) == minhash.weighted_samples(*b)).mean()])
-    assert abs(est - minhash.weighted_jaccard(a, b)) < 0.2
+def all_samples(h, w):
+    """Every shingle evaluated for every sample."""
+    r, beta, c, _, _ = minhash.draws()
+    slot = common.mix64(h ^ np.uint64(0x5851F42D4C957F2D))
+    rows = [((slot >> np.uint64(s)) & np.uint64((1 << minhash.SLOT_BITS) - 1)).astype(int) for s in (0, 20, 40)]
+    t = np.floor(np.log(w).astype(np.float32)[:, None] / r[rows[0]] + beta[rows[1]])
+    a = c[rows[2]] - r[rows[0]] * (t - beta[rows[1]] + 1)
+    best, column = a.argmin(axis=0), np.arange(minhash.SAMPLES)
+    level = t[best, column].astype(np.int64).view(np.uint64)
+    return (common.mix64(h[best] ^ common.mix64(level)) >> np.uint64(33)).astype(np.int32)
+
+
+def test_bounded_evaluation_gives_the_samples_of_all_shingles():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5, 40, 500, 9000):
+        for scale in (1.0, 1e-3, 1e4):
+            h, w = np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64)), (rng.random(n) * 5 + 0.1) * scale
+            assert (minhash.weighted_samples(h, w) == all_samples(h, w)).all()
+
+
+@pytest.mark.parametrize(("n", "runs"), [(30, 400), (400, 400), (20_000, 60)])
+def test_samples_agree_as_often_as_texts_are_alike(n, runs):
+    """Also for texts with more shingles than the tables have rows; four standard errors are allowed."""
+    rng = np.random.default_rng(n)
+    agreed, alike = [], []
+    for _ in range(runs):
+        h, w = np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64)), rng.random(n) * 5 + 0.1
+        cut = n // 10
+        a, b = (h[: n - cut], w[: n - cut]), (h[cut:], w[cut:] * rng.choice([1.0, 1.0, 1.2], n - cut))
+        agreed.append((minhash.weighted_samples(*a) == minhash.weighted_samples(*b)).mean())
+        alike.append(minhash.weighted_jaccard(a, b))
+    assert abs(np.mean(agreed) - np.mean(alike)) < 4 * np.std(np.array(agreed) - alike) / np.sqrt(runs)
+
+
+def test_word_hashes():
+    words = ["a", "b", "ab", "abcdefgh", "abcdefghi", "é" * 9, "x" * 300, "x" * 301, "\x00", "\x00\x00", "abcdefgh\x00"]
+    thue = "ab"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+        words += [thue, thue.translate(str.maketrans("ab", "ba"))]
+    raw = " \n ".join(words).encode()
+    hashes, start, end = common.word_hashes(raw)
+    assert [raw[a:b].decode() for a, b in zip(start, end, strict=True)] == words
+    assert len(set(hashes.tolist())) == len(set(words))
+    again = common.word_hashes(b"\t" + raw + b" ")[0]
+    assert (again == hashes).all() and len(common.word_hashes(b"")[0]) == 0
+    parts = [(i, h[a:b].tolist()) for first, h, ends in common.hashed_words([*words, "", "a b"]) for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False), first)]  # noqa: B905
+    assert [p for _, p in parts] == [[x] for x in hashes.tolist()] + [[], hashes[:2].tolist()]
+
+
+def test_other_thresholds(spark, docs):
+    with pytest.raises(ValueError, match="0.8"):
+        minhash.near_groups(docs, 0.5)
 
 
 # --- 2 ------------------------------------------------------------------------------------------------------
