@@ -83,15 +83,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of UTF-8 text, and where it starts and ends.
+def word_hashes(raw: bytes, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 text, and where it starts and ends; breaks: which bytes part words.
 
     Eight bytes at a time are scrambled into the hash; words of up to eight bytes cannot meet, longer ones only with
     the chance of random 64-bit values.
     """
     data, n = np.frombuffer(raw + bytes(8), np.uint8), len(raw)
     outside = np.ones(n + 2, bool)
-    np.take(_BREAK, data[:n], out=outside[1:-1])
+    np.take(breaks, data[:n], out=outside[1:-1])
     edge = np.flatnonzero(outside[1:] != outside[:-1])
     start, end = edge[::2], edge[1::2]
     size = end - start
@@ -121,6 +121,45 @@ def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield first, hashes, np.searchsorted(start, ends)
 
 
+class WordNumbers:
+    """Numbers 0, 1, 2, ... for words by their 64-bit hash, in order of arrival; a whole array is looked up at once."""
+
+    def __init__(self, most: int):
+        self.bits = (2 * most - 1).bit_length()
+        self.keys, self.numbers, self.n = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each, -1 if it has none."""
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.numbers[at]
+        left = np.flatnonzero((self.keys[at] != hashes) & (out >= 0))
+        out[left] = -1
+        at = at[left]
+        while len(left):
+            at = at + 1 & len(self.keys) - 1
+            number, same = self.numbers[at], self.keys[at] == hashes[left]
+            found = same & (number >= 0)
+            out[left[found]] = number[found]
+            going = ~same & (number >= 0)
+            left, at = left[going], at[going]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number distinct hashes that have none yet."""
+        number = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.n += len(hashes)
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = self.numbers[at[left]] < 0
+            at[left[~free]] = at[left[~free]] + 1 & len(self.keys) - 1
+            claims = left[free]
+            _, first = np.unique(at[claims], return_index=True)
+            won = claims[first]
+            self.keys[at[won]], self.numbers[at[won]] = hashes[won], number[won]
+            left = left[self.numbers[at[left]] != number[left]]
+
+
 def rolling_hash(tokens: np.ndarray, length: int) -> np.ndarray:
     """Scrambled hashes of all runs of `length` tokens (64-bit values), in order; empty if there are fewer tokens.
 

@@ -9,8 +9,11 @@ from functools import cache
 
 import numpy as np
 
+from .common import CHUNK, WordNumbers, word_hashes
+
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
+_SPLIT_AT = np.isin(np.arange(256), [ord(c) for c in " \t\n\r"])
 LAST_PLAIN = "ɏ"  # up to here Unicode's rules for case and composition are the same everywhere
 
 
@@ -30,10 +33,10 @@ def byte_signs() -> list[str]:
 class WordEncoder:
     """encode_all(texts) -> ids as uint32, equal to those of `tokenizers` without special tokens.
 
-    The tokenizer splits at white space before all else, so each word's ids, as bytes, are found once and remembered; the
-    memory is bounded, and words that come when it is full are encoded anew each time. Words of plain letters are
-    merged here from the vocabulary's own merge table, all others, and texts that hold a special token's string,
-    are given to `tokenizers`.
+    The tokenizer splits at white space before all else, so each word's ids are found once and remembered by the
+    word's 64-bit hash; when the bounded memory is full it starts anew. Words of plain letters are merged here from
+    the vocabulary's own merge table, all others, and texts that hold a special token's string, are given to
+    `tokenizers`.
     """
 
     def __init__(self, path: str):
@@ -58,7 +61,24 @@ class WordEncoder:
         self.made = np.array([vocabulary[a + b] for a, b in parts], np.int64)
         self.order = np.argsort(keys)
         self.pairs, self.none = keys[self.order], 1 << 40
-        self.words: dict[str, bytes] = {"": b""}
+        # ranks of two bytes, and of two of which the second ends a piece
+        self.byte_ranks = np.stack([self._rank(self.inner[:, None], x[None, :]) for x in (self.inner, self.final)])
+        self._forget()
+
+    def _forget(self, most: int = KEPT_WORDS) -> None:
+        """Ids of word n are `ids` from `starts[n]` to `starts[n + 1]`."""
+        self.most, self.words, self.starts, self.ids, self.used = most, WordNumbers(most), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint32), 0
+
+    def _remember(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        n, new = self.words.n, np.frombuffer(b"".join(found), "<u4")
+        for name, size in (("starts", n + len(found) + 1), ("ids", self.used + len(new))):
+            held = getattr(self, name)
+            if size > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros((1 << size.bit_length()) - len(held), held.dtype)]))
+        self.words.add(hashes)
+        self.ids[self.used : self.used + len(new)] = new
+        self.starts[n + 1 : n + len(found) + 1] = self.used + np.cumsum([len(f) // 4 for f in found])
+        self.used += len(new)
 
     def _merge_all(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens: byte signs merged pair by pair, lowest rank and then leftmost first, all at once.
@@ -72,12 +92,13 @@ class WordEncoder:
             part = order[at : at + 4096]
             sizes = np.array([len(coded[i]) for i in part])
             wide = int(sizes.max()) + 1
-            ids = np.full((len(part), wide), -1, np.int64)
-            ids[np.arange(wide) < sizes[:, None]] = self.inner[np.frombuffer(b"".join([coded[i] for i in part]), np.uint8)]
-            last = np.frombuffer(bytes([coded[i][-1] for i in part]), np.uint8)
-            ids[np.arange(len(part)), sizes - 1] = self.final[last]
-            ranks = self._rank(ids[:, :-1], ids[:, 1:])
             rows, column = np.arange(len(part)), np.arange(wide)
+            data = np.zeros((len(part), wide), np.uint8)
+            data[column < sizes[:, None]] = np.frombuffer(b"".join([coded[i] for i in part]), np.uint8)
+            ids = np.where(column < sizes[:, None], self.inner[data], -1)
+            ids[rows, sizes - 1] = self.final[data[rows, sizes - 1]]
+            second = column[1:] - sizes[:, None] + 1  # 0 where the second byte ends the piece
+            ranks = np.where(second > 0, self.none, self.byte_ranks[(second == 0).astype(np.int8), data[:, :-1], data[:, 1:]])
             done = []
             while len(rows):
                 best = ranks.argmin(axis=1)
@@ -110,36 +131,58 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where(self.pairs[at] == key, self.order[at], self.none)
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        pieces: dict[str, list[str]] = {}
-        for word in new:
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of the words, as bytes."""
+        found: list[bytes] = [b""] * len(new)
+        pieces: list[tuple[int, list[str]]] = []
+        for i, word in enumerate(new):
             if word.isprintable() and (word.isascii() or max(word) <= LAST_PLAIN and unicodedata.is_normalized("NFC", word)):
                 low = word.lower()
-                pieces[word] = [low] if low.isalpha() else self.pieces(low)
+                pieces.append((i, [low] if low.isalpha() else self.pieces(low)))
             else:
-                found[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        distinct = list({p for ps in pieces.values() for p in ps})
+                found[i] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        distinct = list({p for _, ps in pieces for p in ps})
         merged = dict(zip(distinct, self._merge_all(distinct), strict=True))
-        for word, ps in pieces.items():
-            found[word] = merged[ps[0]] if len(ps) == 1 else b"".join([merged[p] for p in ps])
+        for i, ps in pieces:
+            found[i] = merged[ps[0]] if len(ps) == 1 else b"".join([merged[p] for p in ps])
         return found
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Some texts are done at a time."""
+        out, at = [], 0
+        while at < len(texts):
+            start, held = at, 0
+            while at < len(texts) and held < CHUNK:
+                held += len(texts[at])
+                at += 1
+            out += self._encode(texts[start:at])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [[] if i in whole else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i, t in enumerate(texts)]
-        known = self.words
-        new = set().union(*split).difference(known)
-        if new:
-            found = self._learn(new)
-            if len(known) < KEPT_WORDS:
-                known.update(found)
-            else:
-                known = {w: known[w] if w in known else found[w] for words in split for w in words}
-        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words in split]
+        coded = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        raw = b" ".join(coded)
+        hashes, start, end = word_hashes(raw, _SPLIT_AT)
+        number = self.words.of(hashes)
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new, first = np.unique(hashes[unknown], return_index=True)
+            if self.words.n + len(new) > self.most:
+                self._forget(max(KEPT_WORDS, len(np.unique(hashes))))
+                return self._encode(texts)
+            first = unknown[first]
+            found = self._learn([raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self._remember(new, found)
+            number[unknown] = self.words.of(hashes[unknown])
+        begin = self.starts[number]
+        sizes = self.starts[number + 1] - begin
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = self.ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
+        edge = ends[np.searchsorted(start, np.cumsum([0, *[len(c) + 1 for c in coded]]))].tolist()
+        out = [ids[a:b] for a, b in zip(edge, edge[1:], strict=False)]
         for i in whole:
-            ids[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return ids
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 @cache

@@ -389,9 +389,10 @@ def test_packing_edges(spark, edge):
 
 
 def test_sum_of_squares_picks_the_best_level():
-    rng, packed = np.random.default_rng(5), packing.SumOfSquares(50)
-    for size in rng.integers(1, 50, 400).tolist():
-        n = [len(w) for w in packed.windows]
+    rng, levels = np.random.default_rng(5), packing.SumOfSquares(50)
+    cuts = 0
+    for size in rng.integers(1, 50, 600).tolist():
+        n = [len(w) for w in levels.windows]
 
         def after(level, n=n, size=size):
             m = list(n)
@@ -399,11 +400,39 @@ def test_sum_of_squares_picks_the_best_level():
                 m[level] -= 1
             if level + size < 50:
                 m[level + size] += 1
-            return sum(x * x for x in m)
-
-        best = min(after(h) for h in range(51 - size) if not h or n[h])
-        packed.place(size, ("d", 0, [0] * size, size))
-        assert sum(len(w) ** 2 for w in packed.windows) == best
+            return sum(x * x for x in m) + max(0, level + size - 50) // packing.CUT_COST
+
+        ways = {h: after(h) for h in range(50) if n[h] or not h}
+        level = levels.best(size)
+        assert ways[level] == min(ways.values())
+        assert level + size <= 50 or all(ways[h] > ways[level] for h in ways if h + size <= 50)
+        filled = list(levels.place(("d", 0, [0] * size, size)))
+        assert all(sum(len(p[2]) for p in w) == 50 for w in filled)
+        cuts += level + size > 50
+    assert cuts and levels.open == sum(map(len, levels.windows)) < 50
+
+
+@pytest.mark.parametrize("length", [1, 700, 1100, 1500, 2047])
+def test_open_windows_stay_few_for_equal_lengths(length):
+    levels = packing.SumOfSquares(2048)
+    for _ in range(3000):
+        list(levels.place(("d", 0, [0] * length, length)))
+    assert levels.open < 400
+
+
+@pytest.mark.parametrize("parts", [1, 8, 32])
+def test_most_tokens_leave_by_the_rule(parts):
+    """Of what is not a whole sequence of one document; sf0.1, with characters for tokens."""
+    sizes = [r[0] // 3 + 1 for r in duckdb.sql("SELECT length(text) FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY doc_id").fetchall()]
+    by_rule = left = 0
+    for part in np.array_split(np.array(sizes) % 2048, parts):
+        levels = packing.SumOfSquares(2048)
+        for size in part.tolist():
+            by_rule += 2048 * sum(1 for _ in levels.place(("d", 0, [0] * size, size)))
+        open_ = sum(len(p[2]) for level in levels.windows for w in level for p in w)
+        assert sum(len(p[2]) for w in levels.close() for p in w) == open_
+        left += open_
+    assert by_rule > {1: 0.95, 8: 0.9, 32: 0.75}[parts] * (by_rule + left)
 
 
 def test_token_counts_equal_plain_forward_scores(spark, docs, texts):
