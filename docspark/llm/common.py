@@ -107,13 +107,14 @@ def word_hashes(raw: bytes, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np
     return out, start, end
 
 
-def hashed_words(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed_words(texts: list[str], *, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of some texts at a time: the number of the first, hashes of all their words, and where each text's words end."""
     at = 0
     while at < len(texts):
         coded, held, first = [], 0, at
         while at < len(texts) and held < CHUNK:
-            coded.append(texts[at].encode("utf-8", "surrogatepass"))
+            text = texts[at].lower() if lower else texts[at]
+            coded.append(text.encode("utf-8", "surrogatepass"))
             held += len(coded[-1])
             at += 1
         hashes, start, _ = word_hashes(b"\n".join(coded))

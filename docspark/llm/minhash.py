@@ -109,7 +109,7 @@ def shingles(hashes: np.ndarray, values: np.ndarray, words: int = WORDS) -> tupl
 
 def shingled(texts: list[str], idf: Idf, lights=None):
     """Shingles and weights of each text, in order."""
-    for first, hashes, ends in hashed_words([t.lower() for t in texts]):
+    for first, hashes, ends in hashed_words(texts, lower=True):
         values, start = idf.of(hashes), 0
         for i, end in enumerate(ends.tolist(), first):
             own = hashes[start:end]
@@ -193,13 +193,17 @@ def band_keys():
     return F.array(*[F.xxhash64(F.lit(b), *[at(b * ROWS + i) for i in range(ROWS)]) for b in range(BANDS)])
 
 
+def shared_weight(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    return float(np.minimum(a[1][at[both]], b[1][both]).sum())
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
-    both = a[0][at] == b[0]
-    shared = np.minimum(a[1][at[both]], b[1][both]).sum()
-    return float(shared / (a[1].sum() + b[1].sum() - shared))
+    shared = shared_weight(a, b)
+    return shared / float(a[1].sum() + b[1].sum() - shared)
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -213,7 +217,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             return pa.record_batch({"word": pa.array(words.view(np.int64)), "n": pa.array(n)})
 
         for b in batches:
-            for _, hashes, ends in hashed_words([(t or "").lower() for t in b.column(0).to_pylist()]):
+            for _, hashes, ends in hashed_words([t or "" for t in b.column(0).to_pylist()], lower=True):
                 start = 0
                 for end in ends.tolist():
                     own = np.sort(hashes[start:end])
@@ -270,7 +274,7 @@ def with_light_words(texts: DataFrame, counted: DataFrame, idf) -> DataFrame:
     def spread(batches):
         for b in batches:
             nodes = b.column(0).to_numpy()
-            for first, hashes, ends in hashed_words([t.lower() for t in b.column(1).to_pylist()]):
+            for first, hashes, ends in hashed_words(b.column(1).to_pylist(), lower=True):
                 start = 0
                 for i, end in enumerate(ends.tolist(), first):
                     own = np.unique(hashes[start:end])
@@ -319,9 +323,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Candidates share a band. In each bucket one text, that with most bucket mates, is compared with all others, so
     a group of copies costs a star, not all its pairs. Buckets that still hold several classes are left with pairs of
-    different classes: two texts share at most the weight of shingles that some third of these texts or both have,
-    and must share 4/9 of their joint weight. The pairs that this bound leaves are compared in full, so of the
-    candidates no link is lost and every link is exact.
+    different classes. Such two share at most what each shares with the star, and of the rest what other texts have
+    too, and they must share 4/9 of their joint weight. The pairs that this bound leaves are compared in full, so of
+    the candidates no link is lost and every link is exact.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"bands are laid out for a similarity of {SIMILARITY} or more")
@@ -357,7 +361,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = members.select("node").distinct()
     texts = cut(only_these(weighed, met).dropDuplicates(["node"]))
     pairs = members.filter("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
-    label = components(verified(pairs, texts, idf, similarity))
+    found = cut(compared(pairs, texts, idf))
+    label = components(found.filter(F.col("similarity") >= similarity))
 
     # buckets whose texts are in several classes; of two texts in a bucket one is the star
     several = placed_at(members.filter("mates > 2"), label)
@@ -366,19 +371,23 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = own_weights(texts.join(several.select("node"), "node", "left_semi"), idf)
     known = nodes.join(own, "node").select("node", "weight", (F.col("weight") - F.col("own")).alias("common"), band_keys().alias("bands"))
     some = several.join(known.filter(F.col("common") >= (similarity - 1e-6) * F.col("weight")), "node")
+    some = some.join(found.select(F.col("a").alias("star"), F.col("b").alias("node"), "shared"), ["star", "node"])
     a, b = some.alias("a"), some.alias("b")
     need = (F.col("a.weight") + F.col("b.weight")) * (similarity / (1 + similarity) - 1e-6)
-    open_ = (F.col("a.label") < F.col("b.label")) & (F.col("a.node") != F.col("a.star")) & (F.col("b.node") != F.col("a.star"))
+    most = F.least("a.shared", "b.shared") + F.least(F.col("a.common") - F.col("a.shared"), F.col("b.common") - F.col("b.shared"))
+    possible = (F.col("a.label") < F.col("b.label")) & (most >= need)
     once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.band")  # each pair in one band only
-    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & open_ & (F.least("a.common", "b.common") >= need) & once)
+    rest = a.join(b, (F.col("a.band") == F.col("b.band")) & possible & once)
     rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.label").alias("x"), F.col("b.label").alias("y"))
-    more = cut(verified(rest, texts, idf, similarity).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    more = cut(compared(rest, texts, idf).filter(F.col("similarity") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b")))
     placed = placed_at(keyed, label)
     if more.limit(1).count():
         joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("joined"))
         placed = placed.join(joined, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
-    sizes = placed.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-    return placed.join(sizes, "label").select("doc_id", "node", "label", "group_id", "group_size")
+    sizes = placed.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    placed = placed.join(cut(sizes.filter("n > 1")), "label", "left")  # cut, so that a large class can be split here
+    group_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return placed.select("doc_id", "node", "label", group_id.alias("group_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"))
 
 
 def placed_at(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -424,27 +433,29 @@ def own_weights(texts: DataFrame, idf) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("w").alias("own"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """The rows of pairs (a, b, ...) that reach the threshold, compared by their whole texts."""
+def compared(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The rows of pairs (a, b, ...) with their similarity and the weight they share, from their whole texts."""
 
     def compare(batches):
         held: dict[int, tuple] = {}
         for batch in batches:
-            names = batch.schema.names
-            good = []
+            names, similar, weight = batch.schema.names, [], []
             first, x, y, u, v = (batch.column(names.index(c)) for c in ("a", "__x", "__y", "__u", "__v"))
             seconds = shingled(y.to_pylist(), idf.value, [light_of(i) for i in v])
             for node, text, light, second in zip(first.to_pylist(), x, u, seconds, strict=True):
                 if node not in held:
                     held = {node: shingles_of(text.as_py(), idf.value, light_of(light))}
-                good.append(weighted_jaccard(held[node], second) >= similarity)
-            yield batch.select(columns).filter(pa.array(good, pa.bool_()))
+                shared = shared_weight(held[node], second)
+                weight.append(shared)
+                similar.append(shared / (held[node][1].sum() + second[1].sum() - shared))
+            out = batch.select(columns)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(similar, pa.float64()), pa.array(weight, pa.float64())], names=[*columns, "similarity", "shared"])
         release()
 
     columns = pairs.columns
     rows = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("__y"), F.col("light").alias("__v")), "b")
     rows = rows.join(texts.select(F.col("node").alias("a"), F.col("text").alias("__x"), F.col("light").alias("__u")), "a")
-    return rows.mapInArrow(compare, pairs.schema)
+    return rows.select(*columns, "__x", "__y", "__u", "__v").mapInArrow(compare, pairs.withColumn("similarity", F.lit(0.0)).withColumn("shared", F.lit(0.0)).schema)
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
