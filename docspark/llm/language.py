@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import fresh, mix64, release, table
 
 DIMENSIONS, SIGNS, ORDER, SEED = 1024, 64, 3, 10
 UNKNOWN = "und"
@@ -86,6 +86,7 @@ def profiles(labelled: DataFrame) -> dict[str, np.ndarray]:
         for lang, counts in kept.items():
             at = np.flatnonzero(counts)
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "code": pa.array(at.astype(np.int32)), "n": pa.array(counts[at])})
+        release()
 
     rows = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
@@ -102,12 +103,16 @@ def profiles(labelled: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """All columns of docs and lang_pred, lang_score (cosine, at least 0), lang_trigrams (their number) from the whole text.
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_trigrams")) -> DataFrame:
+    """All columns of docs and three more: the language, its score (cosine, at least 0) and the number of trigrams.
 
-    `und` with score 0 if the text is null or has no letter, or if no language is known; of equal cosines the first
-    name wins. One pass without a shuffle; the prototypes are a few kilobytes a language.
+    Each is found from the whole text, of any length. `und` with score 0 if the text is null or has no letter, or if
+    no language is known; of equal cosines the first name wins. Repeated rows get equal results, an empty table gives
+    no rows; other columns pass through, but none may be named like the three. One pass without a shuffle; the
+    prototypes are a few kilobytes a language.
     """
+    if taken := {c.lower() for c in columns} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns {sorted(taken)}; pass other names")
     names = sorted(prototypes)
     known = np.array([prototypes[n] for n in names], np.float32) if names else None
 
@@ -130,7 +135,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             sizes.append(len(codes))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang", "score", "trigrams"])
 
-    return docs.withColumn("__lang", predict("text")).withColumn("lang_pred", F.col("__lang.lang")).withColumn("lang_score", F.col("__lang.score")).withColumn("lang_trigrams", F.col("__lang.trigrams")).drop("__lang")
+    (found,) = fresh(docs, "found_language")
+    parts = [F.col(f"{found}.{part}").alias(name) for part, name in zip(("lang", "score", "trigrams"), columns, strict=True)]
+    return docs.withColumn(found, predict("text")).select(*[F.col(f"`{c}`") for c in docs.columns], *parts)
 
 
 def held_out():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -133,19 +133,21 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = M
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, as often as the mix takes them, with all columns; see `mix`.
+    """The rows of docs, as often as the mix takes them, with all columns, whatever their names; see `mix`.
 
-    Rows that agree in doc_id and text share what the mix takes of them evenly.
+    Rows that agree in doc_id, source and text share what the mix takes of them evenly. Null and empty texts are never
+    taken; an empty table gives no rows.
     """
-    key = F.xxhash64("doc_id", "source", F.md5("text"))
-    keyed = docs.withColumn("__row", key)
-    taken = mix(keyed, carry=("__row",), **options).groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
-    rows = keyed.join(taken.filter("__copies > 0"), "__row")
-    turn = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
-    rows = rows.withColumn("__turn", turn)
-    times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__turn") <= F.col("__copies") % F.col("__n")).cast("long")
-    rows = rows.withColumn("__times", times).filter("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, copies, n, turn, times, copy = fresh(docs, "row_key", "row_copies", "row_count", "row_turn", "row_times", "row_copy")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "source", F.md5("text")))
+    size = keyed.select("doc_id", "source", "text", row)
+    taken = mix(size, carry=(row,), **options).groupBy(row).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(n))
+    rows = keyed.join(taken.filter(F.col(copies) > 0), row)
+    rows = rows.withColumn(turn, F.row_number().over(W.partitionBy(row).orderBy(row)))
+    share = F.floor(F.col(copies) / F.col(n)) + (F.col(turn) <= F.col(copies) % F.col(n)).cast("long")
+    rows = rows.withColumn(times, share).filter(F.col(times) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 # What counts as a secret.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -88,11 +88,15 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def scan(docs: DataFrame, *, redact: bool = False) -> DataFrame:
-    """All columns of docs and `secrets` (array of kind, start, end); with redact, text and n_chars follow the spans.
+def scan(docs: DataFrame, *, redact: bool = False, name: str = "secrets") -> DataFrame:
+    """All columns of docs and one more, `name` (array of kind, start, end); with redact, text and n_chars follow the spans.
 
-    A null text holds no secrets and stays null. One pass without a shuffle; other columns pass through.
+    A null or empty text holds no secrets and stays as it is; repeated rows get equal results, a text of any length is
+    searched as a whole, an empty table gives no rows. One pass without a shuffle; other columns pass through whatever
+    their names, but `name` must not be one of theirs.
     """
+    if name.lower() in [c.lower() for c in docs.columns]:
+        raise ValueError(f"docs has a column {name}; pass another name")
     schema = "array<struct<kind:string,start:long,end:long>>"
     if redact:
         schema = f"struct<text:string,secrets:{schema}>"
@@ -107,9 +111,12 @@ def scan(docs: DataFrame, *, redact: bool = False) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([redacted(t, s) if s else t for t, s in every], pa.string()), lists], ["text", "secrets"])
 
     if not redact:
-        return docs.withColumn("secrets", found("text"))
-    out = docs.withColumn("__scan", found("text")).withColumn("text", F.col("__scan.text")).withColumn("secrets", F.col("__scan.secrets")).drop("__scan")
-    return out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
+        return docs.withColumn(name, found("text"))
+    (both,) = fresh(docs, "scan_of_text")
+    out = docs.withColumn(both, found("text"))
+    spans = F.col(f"{both}.secrets")
+    changed = {"text": F.col(f"{both}.text"), "n_chars": F.when(F.size(spans) > 0, F.char_length(F.col(f"{both}.text")).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns], spans.alias(name))
 
 
 def op6_secrets(spark, sf_dir):

@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from docspark.llm import minhash, secrets
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +43,50 @@ def test_clean_documents_stay_and_decisions_take_effect(stages):
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, short and long texts, ties, repeated rows, and columns with names used inside."""
+    long = " ".join(f"wort{i % 700} der und" for i in range(20_000))
+    same = "the same words again and again, password = abcdef123456 " * 8
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34 !?", "en", "a", 8), (4, long, "de", "b", len(long)), (5, same, "en", "b", len(same)),
+        (5, same, "en", "b", len(same)), (6, same, None, None, None), (None, same, "de", None, None), (None, None, None, None, None),
+        (7, "ein kurzer text", "de", "ä", 15), (8, "a short text", "en", "ä", 12), (8, "a short text", "en", "a", 12),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("lang_pred", "lang_score", "lang_trigrams", "secrets", "found_language", "scan_of_text", "row_key", "row_turn", "copies", "size", "target", "node", "node_", "id_kept", "label", "band", "__x", "Secrets_"):
+        frame = frame.withColumn(name, F.concat(F.lit(name), F.coalesce("text", F.lit("")).substr(1, 3)))
+    return frame
+
+
+def rows_of(frame):
+    return collections.Counter(tuple(r) for r in frame.collect())
+
+
+def test_stages_on_odd_rows(spark, odd):
+    stage, whole = dict(corpus_pipeline.STAGES), rows_of(odd)
+    for name in list(stage)[:-1]:
+        out = stage[name](spark, odd, "")
+        assert out.columns == odd.columns, name
+        assert stage[name](spark, odd.limit(0), "").count() == 0
+    known = rows_of(stage["language_id"](spark, odd, ""))
+    assert known == {r: n for r, n in whole.items() if r[0] not in (1, 2, 3) and r[1]}
+    kept = rows_of(stage["near_duplicates"](spark, odd, ""))
+    assert set(kept) <= set(whole) and set(kept.values()) == {1}
+    assert collections.Counter((r[0], (r[1] or "")[:5]) for r in kept) == collections.Counter([(None, ""), (3, "12 34"), (4, "wort0"), (None, "the s"), (7, "ein k"), (8, "a sho")])
+    scanned = rows_of(stage["secret_scan"](spark, odd, ""))
+    cleaned = collections.Counter()
+    for r, n in whole.items():
+        text = secrets.redacted(r[1], secrets.find_secrets(r[1])) if r[1] else r[1]
+        cleaned[(r[0], text, *r[2:4], len(text) if text != r[1] else r[4], *r[5:])] += n
+    assert scanned == cleaned and "[SECRET]" in str(scanned) and "abcdef123456" not in str(scanned)
+    taken = rows_of(stage["mix_sources"](spark, odd, ""))
+    assert set(taken) <= {r for r in whole if r[1]} and all(n <= 2 * whole[r] for r, n in taken.items())
+    pieces = stage["pack_sequences"](spark, odd, "").collect()
+    assert collections.Counter(p.doc_id for p in pieces if p.start == 0) == collections.Counter(r[0] for r in odd.collect())
+    assert stage["pack_sequences"](spark, odd.limit(0), "").count() == 0
+
+
 def test_short_documents_stay_and_long_junk_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng, letters = np.random.default_rng(9), list("abcdefghijklmnopqrstuvwxyz")
