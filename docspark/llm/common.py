@@ -22,6 +22,7 @@ _BREAK = np.isin(np.arange(256), [ord(c) for c in WORD_BREAKS])
 _LOW_BYTES = np.array([0] + [(1 << 8 * i) - 1 for i in range(1, 9)], np.uint64)
 #: Words of more bytes are hashed one by one; texts are hashed together up to so many characters.
 LONG_WORD, CHUNK = 256, 1 << 20
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session that sends at most BATCH_ROWS rows to Python at a time: texts have any length, so that
+    many more rows would not fit a worker. A smaller setting of the session stays."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def release() -> None:
     """Give memory that is free in this worker back to the system."""
     pa.default_memory_pool().release_unused()
@@ -237,7 +247,7 @@ def packed(docs: DataFrame, bounds: list[int], *, lend_last: bool = False) -> Da
                 yield pa.record_batch({"g": pa.array([int(to[part[0]])], pa.int32()), "blob": pa.array([to_blob(piece)], pa.binary())})
 
     parts = max(1, len(bounds))
-    return docs.select("doc_id", "text").mapInArrow(deal, "g int, blob binary").repartition(parts, "g")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(deal, "g int, blob binary").repartition(parts, "g")
 
 
 def to_blob(piece: pa.Table) -> bytes:

@@ -8,7 +8,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import split_words, table
+from .common import small_batches, split_words, table
 from .tokens import vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
@@ -125,7 +125,7 @@ def count_tokens(docs: DataFrame, *, path: str | None = None) -> DataFrame:
                 trie.trim()
             yield pa.record_batch({"doc_id": b.column(0), "n_words": pa.array(words_n, pa.int64()), "n_tokens": pa.array(tokens_n, pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
 
 def op5_token_counts(spark, sf_dir):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix64, release, table
+from .common import fresh, mix64, release, small_batches, table
 
 DIMENSIONS, SIGNS, ORDER, SEED = 1024, 64, 3, 10
 UNKNOWN = "und"
@@ -88,7 +88,7 @@ def profiles(labelled: DataFrame) -> dict[str, np.ndarray]:
             yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "code": pa.array(at.astype(np.int32)), "n": pa.array(counts[at])})
         release()
 
-    rows = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = small_batches(labelled).select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     found = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     out = {}
     for lang in sorted(set(found["lang"].to_pylist())):
@@ -136,8 +136,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tuple[
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang", "score", "trigrams"])
 
     (found,) = fresh(docs, "found_language")
+    predict = predict.asNondeterministic()  # so that a filter on its result does not run it once more
     parts = [F.col(f"{found}.{part}").alias(name) for part, name in zip(("lang", "score", "trigrams"), columns, strict=True)]
-    return docs.withColumn(found, predict("text")).select(*[F.col(f"`{c}`") for c in docs.columns], *parts)
+    return small_batches(docs).withColumn(found, predict("text")).select(*[F.col(f"`{c}`") for c in docs.columns], *parts)
 
 
 def held_out():

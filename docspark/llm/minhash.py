@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, hashed_words, mix64, release, rolling_hash, table
+from .common import cut, fresh, hashed_words, mix64, release, rolling_hash, small_batches, table
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 16, 3, 1
 SAMPLES = BANDS * ROWS
@@ -330,7 +330,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if similarity < SIMILARITY:
         raise ValueError(f"bands are laid out for a similarity of {SIMILARITY} or more")
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = cut(document_frequencies(docs))
     idf = spark.sparkContext.broadcast(held_idf(counted, docs.count()))
     keyed = docs.select("doc_id", node_of().alias("node"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import release, table
+from .common import release, small_batches, table
 from .tokens import VOCABULARY, encoder, vocabulary_path
 
 LENGTH = 2048
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, *, path: str | None = None, length: int = LENGTH, end_
         release()
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, out)
 
 
 def op4_packing(spark, sf_dir):

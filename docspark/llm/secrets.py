@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, small_batches, table
 
 # What counts as a secret.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -110,6 +110,7 @@ def scan(docs: DataFrame, *, redact: bool = False, name: str = "secrets") -> Dat
             return lists
         return pa.StructArray.from_arrays([pa.array([redacted(t, s) if s else t for t, s in every], pa.string()), lists], ["text", "secrets"])
 
+    docs = small_batches(docs)
     if not redact:
         return docs.withColumn(name, found("text"))
     (both,) = fresh(docs, "scan_of_text")

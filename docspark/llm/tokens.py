@@ -12,7 +12,7 @@ import numpy as np
 from .common import CHUNK, WordNumbers, word_hashes
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 _SPLIT_AT = np.isin(np.arange(256), [ord(c) for c in " \t\n\r"])
 LAST_PLAIN = "ɏ"  # up to here Unicode's rules for case and composition are the same everywhere
 
