@@ -35,6 +35,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Bytes as pairs of hexadecimal digits.
+BYTES_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS s FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM k) WHERE f < doc_id),
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (first) AS runs FROM (SELECT doc_id, j - lag(j, 1, -9) OVER (PARTITION BY doc_id ORDER BY j) > 1 AS first FROM gone) GROUP BY 1),
+every AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * j + 1, 2), '' ORDER BY j) AS h FROM every ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 #: All pairs of different texts that share a shingle, and what can be reached over those that are alike.
 NEAR_SQL = r"""
 WITH RECURSIVE t AS (SELECT coalesce(text, '') AS x, min(doc_id) AS id FROM documents GROUP BY 1),
@@ -55,4 +69,4 @@ SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FRO
 """
 
 #: doc_ids are taken as unique here, as they are in the tables.
-ORACLE_SQL: dict[str, str] = {"op1_minhash": NEAR_SQL, "op7_substring_dedup": WORDS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": NEAR_SQL, "op7_substring_dedup": WORDS_SQL, "op9_suffix_dedup": BYTES_SQL}

@@ -10,8 +10,8 @@ only smaller ids. Three passes over the groups follow; between them only sorted,
 3. removal: a group unites the windows that start earlier into maximal spans.
 
 A group sends each distinct hash once, so no reducer gets more rows for a passage than there are groups, however
-many documents hold it. Nothing is sampled or capped. Two different windows are taken as equal with the chance of
-a 64-bit collision.
+many documents hold it. Nothing is sampled or capped. Units and windows are scrambled at each step (see
+`rolling_hash`), so two different windows are taken as equal only with the chance of random 64-bit values.
 
 Which seeds are sent depends on the method:
 
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, MULTIPLIER, WORD_BREAKS, doc_bounds, group_docs, mix64, packed, rolling_hash, split_words
+from .common import GROUP_BYTES, doc_bounds, group_docs, mix64, packed, release, rolling_hash, split_words, word_hashes
 
 SPARE_BITS = 9  # a seed seems to recur by chance once in about 2 ** (SPARE_BITS + 2)
 _CODED = "bucket int, g int, kind int, data binary"
@@ -271,7 +271,9 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
                     np.subtract.at(step, starts + spec.window, 1)
                 removed = np.cumsum(step[:n]) > 0
             made.append(finish(ids[i], source, removed))
-        return pa.Table.from_pylist(made, schema=arrow_schema)
+        out = pa.Table.from_pylist(made, schema=arrow_schema)
+        release()
+        return out
 
     arrow_schema = to_arrow(docs, schema)
     seeds = groups.groupBy("g").applyInArrow(send_seeds, _CODED)
@@ -330,31 +332,11 @@ def unpack_state(data: bytes, docs: int) -> tuple[np.ndarray, np.ndarray]:
 # --- words: fixed blocks ------------------------------------------------------------------------------------
 
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BREAK = np.isin(np.arange(256), [ord(c) for c in WORD_BREAKS])
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64, up to the n-th."""
-    if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(16, n.bit_length())
-        both = []
-        for m in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)):
-            steps = np.full(size + 1, m, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=np.uint64))
-        _powers[:] = both
-    return _powers[0], _powers[1]
 
 
 def word_units(text: str) -> tuple[np.ndarray, str]:
-    """A 64-bit hash of each word, from running sums over the bytes, so that no word is handled by itself."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _BREAK[raw], [True]])))
-    start, end = edge[::2], edge[1::2]
-    up, down = powers(len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), text
+    """The 64-bit hash of each word."""
+    return word_hashes(text.encode("utf-8", "surrogatepass"))[0], text
 
 
 def spans_of(removed: np.ndarray) -> list[dict]:

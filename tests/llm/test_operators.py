@@ -551,6 +551,20 @@ def test_repeats_on_shared_and_inner_passages(spark):
     assert sorted(words) == without_words(sorted(made.items())) and sorted(raw) == without_bytes(sorted(made.items()))
 
 
+def test_structured_words_are_told_apart(spark):
+    """A word and its complement, over which a polynomial hash modulo 2^64 vanishes."""
+    word = "ab"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(30))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}")]
+    got = {r.doc_id: r for r in repeats.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, s.end) for s in got[2].removed] == [(1, 31)] and got[2].kept == other
+    raw = {r.doc_id: r for r in repeats.remove_repeated_bytes(spark.createDataFrame([(1, word), (2, other)], "doc_id long, text string")).collect()}
+    assert [tuple(r) for r in without_bytes([(1, word), (2, other)])] == [(i, 1024, sum(s.end - s.start for s in raw[i].removed), len(raw[i].removed), hashlib.sha256(bytes(raw[i].kept)).hexdigest()) for i in (1, 2)]
+
+
 def test_repeats_edges(spark, edge):
     got = [r for r in repeats.remove_repeated_words(edge).collect()]
     assert len(got) == edge.count()
