@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, small_batches, table
 
 K, EVERY = 20, 20
-SHARD_ROWS, QUERY_BLOCK = 20_000, 2048
+SHARD_ROWS, QUERY_BLOCK, DEALT = 20_000, 2048, 20_000
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, STEP, SEED_NODES = 32, 64, 160, 1.2, 4, 256
 
 
@@ -149,7 +149,7 @@ def usable(vectors: pa.Array) -> list[np.ndarray | None]:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (vec_id, embedding) its k nearest of all other vectors found.
 
-    Score is the inner product in double precision, ties go to the smaller vec_id. Rows without vec_id and vectors
+    Score is the inner product in double precision, summed in the order of the components, ties go to the smaller vec_id. Rows without vec_id and vectors
     that are null, empty, zero or hold null or non-finite components take no part; vectors of different lengths are
     not compared. Repeated rows count once; a vec_id with several vectors has the best score of any. Empty tables give
     no rows. Equal vectors are one node, which keeps the k + 1 smallest ids: no query can need more of them.
@@ -157,21 +157,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Vectors are dealt into shards by a hash of their bytes, so that copies meet, and a graph is built for each.
     Blocks of queries meet each shard once.
     """
-    spark = vectors.sparkSession
-    count = vectors.count()
+    count = small_batches(vectors).count()
     shards = max(1, math.ceil(count / SHARD_ROWS))
     double = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
     kind = np.float64 if double else np.float32
 
     def deal(batches):
+        kept: dict[bytes, list[int]] = {}
+
+        def dealt():
+            rows = [(len(v) // np.dtype(kind).itemsize, xxhash.xxh3_64_intdigest(v) % shards, i, v) for v, ids in kept.items() for i in least(ids)]
+            kept.clear()
+            dim, shard, ids, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+            return pa.record_batch({"dim": pa.array(dim, pa.int32()), "shard": pa.array(shard, pa.int32()), "vec_id": pa.array(ids, pa.int64()), "vec": pa.array(data, pa.binary())})
+
+        def least(ids):
+            return sorted(set(ids))[: k + 1]
+
         for b in batches:
-            kept: dict[bytes, list[int]] = {}
             for i, v in zip(b.column(0).to_pylist(), usable(b.column(1)), strict=True):
                 if v is not None and i is not None:
-                    kept.setdefault((v + 0).astype(kind).tobytes(), []).append(i)
-            rows = [(len(v) // np.dtype(kind).itemsize, xxhash.xxh3_64_intdigest(v) % shards, i, v) for v, ids in kept.items() for i in sorted(set(ids))[: k + 1]]
-            dim, shard, ids, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch({"dim": pa.array(dim, pa.int32()), "shard": pa.array(shard, pa.int32()), "vec_id": pa.array(ids, pa.int64()), "vec": pa.array(data, pa.binary())})
+                    ids = kept.setdefault((v + 0).astype(kind).tobytes(), [])
+                    ids.append(i)
+                    if len(ids) > 64 * (k + 1):
+                        ids[:] = least(ids)
+            if len(kept) > DEALT:
+                yield dealt()
+        yield dealt()
+        release()
 
     graph_schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("vecs", pa.binary()), ("links", pa.binary()), ("start", pa.int32()), ("ids", pa.list_(pa.list_(pa.int64())))])
 
@@ -197,11 +210,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     yield pa.record_batch({"dim": pa.array([dim], pa.int32()), "query_ids": pa.array([[i for i, _ in part]], pa.list_(pa.int64())), "queries": pa.array([b"".join(v.tobytes() for _, v in part)], pa.binary())})
 
     def search(batches):
+        held = None  # the shard of the rows before
         for b in batches:
             for r in b.to_pylist():
                 dim = r["dim"]
-                x = np.frombuffer(r["vecs"], kind).reshape(-1, dim)
-                graph = Graph(x, np.frombuffer(r["links"], np.int32).reshape(len(x), -1), r["start"])
+                if held != (dim, r["shard"]):
+                    held = (dim, r["shard"])
+                    x = np.frombuffer(r["vecs"], kind).reshape(-1, dim)
+                    graph, wide = Graph(x, np.frombuffer(r["links"], np.int32).reshape(len(x), -1), r["start"]), x.astype(np.float64)
                 q = np.frombuffer(r["queries"], kind).reshape(-1, dim)
                 out = ([], [], [])
                 for at in range(0, len(q), 256):
@@ -210,7 +226,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     ids, _ = graph.search(lifted, max(SEARCH_BEAM, 2 * k))
                     for query, vector, near in zip(r["query_ids"][at : at + 256], some.astype(np.float64), ids, strict=True):
                         near = near[near >= 0][: 2 * k]
-                        score = x[near].astype(np.float64) @ vector
+                        score = np.cumsum(wide[near] * vector, axis=1)[:, -1]  # added up in order
                         best = sorted((-s, i) for s, n in zip(score.tolist(), near.tolist(), strict=True) for i in r["ids"][n] if i != query)[:k]
                         out[0].extend([query] * len(best))
                         out[1].extend(i for _, i in best)

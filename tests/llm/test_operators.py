@@ -604,6 +604,29 @@ def test_nearest_recall(spark, sf_dir):
     assert hits / total >= 0.95
 
 
+def test_nearest_over_many_shards(spark, monkeypatch):
+    """Recall over all shards, copies of a vector in several tasks, and the merge of what the shards find."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", 300)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "DEALT", 50)
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    hot = frame.filter("vec_id = 7").select(F.explode(F.sequence(F.lit(10_001), F.lit(11_000))).cast("long").alias("vec_id"), "embedding")
+    frame = frame.unionAll(hot).repartition(5)
+    rows = frame.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    asked = ids[(ids % 20 == 0) & (ids < 10_000) | (ids == 10_020)]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, frame.filter(F.col("vec_id").isin(asked.tolist()))).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    hits = 0
+    for q in asked.tolist():
+        scores = np.cumsum(x * x[ids == q][0], axis=1)[:, -1]
+        want = [int(ids[j]) for j in np.lexsort((ids, -scores)) if ids[j] != q][:20]
+        assert [r for r, _ in sorted(got[q])] == list(range(1, 21))
+        hits += len({v for _, v in got[q]} & set(want))
+    assert hits / (20 * len(asked)) >= 0.98
+
+
 def test_nearest_of_large_sets_and_of_uneven_lengths():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 24)).astype(np.float32) * rng.random((3000, 1)).astype(np.float32)
