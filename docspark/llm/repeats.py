@@ -45,7 +45,8 @@ _CODED = "bucket int, g int, kind int, data binary"
 class Repeats:
     """What a repeat is: the window, its seeds and which earlier starts count."""
 
-    units: Callable[[str], tuple[np.ndarray, object]]  # 64-bit units of a text, and what to cut them from
+    units: Callable[[str], tuple[np.ndarray, object]]  # units of a text, and what to cut them from
+    runs: Callable[[np.ndarray, int, np.ndarray], np.ndarray]  # 64-bit hashes of the runs of so many units at some places
     window: int
     seed: int
     sent: Callable[[int], np.ndarray] | None  # which of n seed positions are sent; None: all
@@ -115,9 +116,10 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
 
     def seeds_of(units):
         """Seeds of a text that are sent, where they start, which are in the index, and how many places there are."""
-        seeds = rolling_hash(units, spec.seed) >> np.uint64(64 - bits)
-        at = np.arange(len(seeds)) if spec.sent is None else spec.sent(len(seeds))
-        return seeds[at], at, np.ones(len(at), bool) if spec.indexed is None else spec.indexed(len(seeds)), len(seeds)
+        n = max(0, len(units) - spec.seed + 1)
+        at = np.arange(n) if spec.sent is None else spec.sent(n)
+        seeds = spec.runs(units, spec.seed, at) >> np.uint64(64 - bits)
+        return seeds, at, np.ones(len(at), bool) if spec.indexed is None else spec.indexed(n), n
 
     def send_seeds(table: pa.Table) -> pa.Table:
         g, out = table["g"][0].as_py(), []
@@ -203,7 +205,7 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
             if n and not flags[i]:
                 own = np.flatnonzero(mask[start : start + n])
                 if len(own):
-                    found.append(rolling_hash(units, spec.window)[own])
+                    found.append(spec.runs(units, spec.window, own))
                     places.append((i, own))
                 start += n
         return sources, found, places
@@ -331,14 +333,16 @@ def unpack_state(data: bytes, docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 # --- words: fixed blocks ------------------------------------------------------------------------------------
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
 
 def word_units(text: str) -> tuple[np.ndarray, str]:
     """The 64-bit hash of each word."""
     return word_hashes(text.encode("utf-8", "surrogatepass"))[0], text
 
 
+def word_runs(units: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    return rolling_hash(units, length)[at]
+
+
 def spans_of(removed: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], removed.view(np.int8), [0]])))
     return [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
@@ -353,7 +357,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 20) -> DataFrame:
     not looked at.
     """
     block = window // 2
-    spec = Repeats(word_units, window, block, None, lambda n: np.arange(n) % block == 0, True)
+    spec = Repeats(word_units, word_runs, window, block, None, lambda n: np.arange(n) % block == 0, True)
 
     def finish(doc_id, text, removed):
         words = split_words(text)
@@ -392,7 +396,17 @@ def difference_cover(period: int) -> tuple[int, ...]:
 
 def byte_units(text: str) -> tuple[np.ndarray, bytes]:
     raw = text.encode("utf-8", "surrogatepass")
-    return _BYTES[np.frombuffer(raw, np.uint8)], raw
+    return np.frombuffer(raw, np.uint8), raw
+
+
+def byte_runs(units: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """Eight bytes at a time, of at least eight; the last eight end with the run."""
+    padded = np.concatenate([units, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(units) + 1,), "<u8", padded.data, 0, (1,))
+    out = eight[at]
+    for step in [*range(8, length - 8, 8), length - 8]:
+        out = mix64(out + np.uint64(step)) + eight[at + step]
+    return mix64(out)
 
 
 def remove_repeated_bytes(docs: DataFrame, window: int = 50, period: int = 21) -> DataFrame:
@@ -408,7 +422,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, period: int = 21) -
         at = (np.arange(0, n, period)[:, None] + cover[None, :]).ravel()
         return at[at < n]
 
-    spec = Repeats(byte_units, window, window - period + 1, sent, None, False)
+    spec = Repeats(byte_units, byte_runs, window, window - period + 1, sent, None, False)
 
     def finish(doc_id, raw, removed):
         kept = np.frombuffer(raw, np.uint8)[~removed].tobytes() if removed.any() else raw

@@ -610,7 +610,7 @@ def test_nearest_over_many_shards(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
     monkeypatch.setattr(ann, "DEALT", 50)
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    hot = frame.filter("vec_id = 7").select(F.explode(F.sequence(F.lit(10_001), F.lit(11_000))).cast("long").alias("vec_id"), "embedding")
+    hot = frame.filter("vec_id = 7").select(F.explode(F.sequence(F.lit(10_001).cast("long"), F.lit(11_000).cast("long"))).alias("vec_id"), "embedding")
     frame = frame.unionAll(hot).repartition(5)
     rows = frame.collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
