@@ -20,6 +20,11 @@ def xml(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def wiki_literal(c: Column) -> Column:
+    """Wiki text that is read as just these characters: all that can be escaped is."""
+    return F.regexp_replace(c, r"([*_\-~+^{}\[\]|\\!?])", r"\\$1")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, lines) of all documents."""
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"), lines().alias("lines"))

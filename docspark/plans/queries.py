@@ -12,7 +12,7 @@ from ..functions.native import is_refused
 from ..markup.options import Options
 from ..operators import assets, nodes, publish
 from ..streaming.convert import convert_stream
-from .pages import DOCUMENTS, documents, each, read, xml
+from .pages import DOCUMENTS, documents, each, lines, read, wiki_literal, xml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,17 +76,10 @@ def storage_to_jira(spark, sf_dir):
     return xhtml_pages(spark, sf_dir).select("page_id", fn.to_jira("xhtml", source_format="xhtml", nodes=False)["jira_wiki"].alias("jira_wiki"))
 
 
-PLAIN = "[^A-Za-z0-9 .,*_]"
-
-
-@query(
-    f"WITH d AS ({DOCUMENTS}), p AS (SELECT page_id, list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '{PLAIN}', '', 'g'))), lambda x: x <> '') AS lines FROM d)"
-    f" SELECT page_id, '## Page ' || page_id || CASE WHEN len(lines) > 0 THEN chr(10) || {joined('lines', NL + '- ', '', MD)} ELSE '' END || chr(10) AS markdown FROM p"
-)
+@query(f"WITH d AS ({DOCUMENTS}) SELECT page_id, '## Page ' || page_id || CASE WHEN len(lines) > 0 THEN chr(10) || {joined('lines', NL + '- ', '', MD)} ELSE '' END || chr(10) AS markdown FROM d")
 def jira_to_markdown(spark, sf_dir):
-    kept = F.filter(F.transform("lines", lambda x: F.trim(F.regexp_replace(x, PLAIN, ""))), lambda x: x != "")
-    d = documents(spark, sf_dir).select("page_id", kept.alias("lines"))
-    wiki = F.concat(F.lit("h2. Page "), F.col("page_id").cast("string"), F.lit("\n\n"), each("lines", "* ", "\n", fn.escape_jira))
+    d = documents(spark, sf_dir)
+    wiki = F.concat(F.lit("h2. Page "), F.col("page_id").cast("string"), F.lit("\n\n"), each("lines", "* ", "\n", wiki_literal))
     return d.select("page_id", fn.from_jira(wiki, nodes=False)["markdown"].alias("markdown"))
 
 
@@ -131,14 +124,14 @@ def outline(spark, sf_dir):
 def conversation_pages(spark, sf_dir) -> DataFrame:
     """A page for each conversation, a section for each turn."""
     turns = read(spark, sf_dir, "conversations")
-    body = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n\n"), fn.escape_markdown(F.trim(F.regexp_replace("text", "[^A-Za-z0-9 ]+", " "))), F.lit("\n\n"))
+    body = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.col("role"), F.lit("\n\n"), each(lines("text"), "", "\n\n", fn.escape_markdown))
     parts = turns.groupBy(F.col("conv_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", body.alias("body")))).alias("parts"))
     return parts.select("page_id", F.array_join(F.transform("parts", lambda p: p["body"]), "").alias("markdown"))
 
 
 @query(
-    "SELECT conv_id AS page_id, CAST(turn AS VARCHAR) || ' ' || role AS section, CAST(count(*) AS BIGINT) AS blocks FROM conversations"
-    " WHERE trim(regexp_replace(text, '[^A-Za-z0-9 ]+', ' ', 'g')) <> '' GROUP BY ALL"
+    "SELECT conv_id AS page_id, CAST(turn AS VARCHAR) || ' ' || role AS section, CAST(sum(len(list_filter(list_transform(string_split(text, chr(10)),"
+    " lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> ''))) AS BIGINT) AS blocks FROM conversations GROUP BY ALL HAVING blocks > 0"
 )
 def section_blocks(spark, sf_dir):
     pages = conversation_pages(spark, sf_dir).select("page_id", fn.to_storage("markdown")["nodes"].alias("nodes"))
@@ -157,12 +150,15 @@ def refused_natively(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", is_refused("html").alias("refused"))
 
 
-@query(f"WITH d AS ({DOCUMENTS}) SELECT page_id, CAST(NULL AS VARCHAR) AS jira_wiki, CAST(0 AS BIGINT) AS n_warnings FROM d WHERE page_id % 2 = 0 UNION ALL SELECT page_id, {joined('lines[1:1]', '', NL, WIKI)}, 0 FROM d WHERE page_id % 2 = 1")
+WANTED = f"CASE WHEN len(lines) > 0 THEN rtrim({joined('lines', '', NL + NL, WIKI)}, chr(10)) || chr(10) ELSE '' END"
+
+
+@query(f"WITH d AS ({DOCUMENTS}) SELECT page_id, CAST(NULL AS VARCHAR) AS jira_wiki, CAST(0 AS BIGINT) AS n_warnings FROM d WHERE page_id % 2 = 0 UNION ALL SELECT page_id, {WANTED}, 0 FROM d WHERE page_id % 2 = 1")
 def jira_section(spark, sf_dir):
     """A section by name: pages with odd ids have it."""
     d = documents(spark, sf_dir)
     name = F.when(F.col("page_id") % 2 == 1, "Wanted").otherwise("Other")
-    page = F.concat(F.lit("intro\n\n## "), name, F.lit("\n\n"), F.array_join(F.transform(F.slice("lines", 1, 1), fn.escape_markdown), ""), F.lit("\n\n## Next\n\nrest\n"))
+    page = F.concat(F.lit("intro\n\n## "), name, F.lit("\n\n"), each("lines", "", "\n\n", fn.escape_markdown), F.lit("## Next\n\nrest\n"))
     r = d.select("page_id", fn.to_jira(page, section="Wanted", nodes=False).alias("r"))
     return r.select("page_id", "r.jira_wiki", F.size("r.warnings").cast("long").alias("n_warnings"))
 
@@ -221,12 +217,11 @@ def order_pages(spark, sf_dir) -> DataFrame:
     return items.select("page_id", F.concat(F.lit(decoy), F.array_join(F.transform("items", image), "")).alias("xhtml"))
 
 
-@query(f"SELECT doc_id, 'keep' || chr(10) || 'x' AS clean, '# T' || chr(10) AS body FROM documents")
+@query("SELECT doc_id, text || chr(10) || 'x' AS clean, '# T' || chr(10) || text AS body FROM documents")
 def comment_and_notice_removal(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    text = F.replace(F.replace(F.col("text"), F.lit("-->"), F.lit("")), F.lit("<!--"), F.lit(""))
-    noted = F.concat(F.lit("keep\n<!-- workflow:meta "), text, F.lit(" -->  \nx"))
-    body = F.concat(F.lit(f"<!-- {M}:notice "), text, F.lit(" -->\n\n\n# T\n"))
+    noted = F.concat("text", F.lit("\n<!-- workflow:meta "), F.col("doc_id").cast("string"), F.lit(" -->  \nx"))
+    body = F.concat(F.lit(f"<!-- {M}:notice "), F.col("doc_id").cast("string"), F.lit(" -->\n\n\n# T\n"), "text")
     return d.select("doc_id", fn.strip_comments(noted, ("workflow:",)).alias("clean"), fn.strip_notice(body).alias("body"))
 
 
@@ -355,3 +350,6 @@ def changed(spark, sf_dir):
 def streamed_to_storage(spark, sf_dir):
     """The same conversion over a stream of the pages."""
     return convert_stream(spark, markdown_pages(spark, sf_dir), "markdown", lambda c: fn.to_storage(c, nodes=False)["xhtml"], "xhtml")
+
+
+from . import blocks  # noqa: E402, F401  (registers more queries)
