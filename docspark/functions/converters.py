@@ -91,3 +91,14 @@ def canonical_storage(source: Column | str) -> Column:
 def normalize_markdown(source: Column | str) -> Column:
     """Markdown read and written again with default options, in `markdown`."""
     return converter(convert.normal_markdown)(as_column(source))
+
+
+def storage_hash(source: Column | str, source_format: str) -> Column:
+    """(hash, error): SHA-256 of the canonical storage form of `markdown` or `xhtml` text."""
+
+    @F.arrow_udf("struct<hash:string,error:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [convert.hashed(t, source_format) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], ["hash", "error"])
+
+    return run.asNondeterministic()(as_column(source))

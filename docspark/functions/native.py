@@ -10,18 +10,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..markup.assets import PACKED, media_types
 from ..markup.fragments import FENCE_INFO, LINK_SCHEME
 from ..markup.jira import PROMOTIONS
 from ..markup.options import Options
 
 MARKER = Options().marker
 CDATA = r"(?s)<!\[CDATA\[.*?\]\]>"
-#: Media types by extension; all others are octet streams.
-MEDIA = {
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp",
-    "bmp": "image/bmp", "tiff": "image/tiff", "ico": "image/vnd.microsoft.icon", "pdf": "application/pdf", "txt": "text/plain",
-}
-
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -188,8 +183,11 @@ def filename_problem(name: Column | str) -> Column:
 
 def data_uri(name: Column | str, data: Column | str) -> Column:
     """The bytes as a data URI; Spark breaks base64 into lines, which are joined again."""
-    extension = F.lower(F.regexp_extract(_c(name), r"\.([^./]*)$", 1))
-    media = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair]), extension), F.lit("application/octet-stream"))
+    base = F.element_at(F.split(_c(name), "/"), -1)
+    for packed in PACKED:
+        base = F.regexp_replace(base, rf"\.{packed}\z", "")
+    extension = F.lower(F.regexp_extract(base, r"\.([^.]*)\z", 1))
+    media = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in media_types().items() for x in pair]), extension), F.lit("application/octet-stream"))
     return F.concat(F.lit("data:"), media, F.lit(";base64,"), F.regexp_replace(F.base64(_c(data)), r"[\r\n]", ""))
 
 

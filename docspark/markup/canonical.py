@@ -98,11 +98,10 @@ def blank(s: str) -> bool:
 
 
 def is_cosmetic(style: str, tag: str) -> bool:
-    for part in filter(None, (p.strip() for p in style.split(";"))):
-        name = part.partition(":")[0].strip().lower()
-        if ":" not in part or not (DEFAULT_COLOR.match(part) if name == "color" else name in STYLES or name in TABLE_STYLES and tag in TABLE_TAGS):
-            return False
-    return True
+    """Whether all declarations only say how things look: layout, sizes of tables, the default colour."""
+    layout = STYLES | TABLE_STYLES if tag in TABLE_TAGS else STYLES
+    declarations = [(d, d.split(":")[0].strip().lower()) for d in map(str.strip, style.split(";")) if d]
+    return all(":" in d and (bool(DEFAULT_COLOR.match(d)) if name == "color" else name in layout) for d, name in declarations)
 
 
 def scrub_attributes(root: Element) -> None:

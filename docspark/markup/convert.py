@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from .canonical import canonical_storage
@@ -99,3 +100,13 @@ def canonical(source: str) -> dict:
 def normal_markdown(source: str) -> dict:
     tree, warnings = parse_markdown(source, Options())
     return result(markdown=render_markdown(tree, Options()), warnings=warnings)
+
+
+def hashed(source: str | None, source_format: str) -> tuple[str | None, str | None]:
+    """SHA-256 of the canonical storage form, and what is wrong with the source."""
+    made = to_storage(source, nodes=False) if source_format == "markdown" else result(xhtml=source)
+    if made["error"] is None:
+        made = canonical(made["xhtml"])
+    if made["error"] is not None or made["xhtml"] is None:
+        return None, made["error"] and made["error"]["message"]
+    return hashlib.sha256(made["xhtml"].encode("utf-8", "surrogatepass")).hexdigest(), None

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class Macro:
-    """A storage macro and its directive; `rich` if it holds blocks."""
+    """A storage macro and its directive; `rich` if it holds blocks.
+
+    `read(element, blocks)` makes the node itself, or None, upon which the macro is kept as an opaque fragment;
+    `write(node, blocks)` makes the element. `blocks` converts a body, elements to nodes or nodes to elements.
+    Either may raise MacroError, which becomes the page's error. Without them parameters and body are taken as they are.
+    """
 
     name: str
     directive: str
     rich: bool = False
+    read: Callable | None = None
+    write: Callable | None = None
 
 
 class MacroRegistry:

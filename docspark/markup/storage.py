@@ -205,6 +205,9 @@ class StorageReader:
         known = self.macros.by_name(name)
         if known is None:
             return opaque(el)
+        if known.read is not None:
+            made = known.read(el, self.blocks)
+            return opaque(el) if made is None else made
         node = Node("directive", attrs={"name": known.directive})
         for k in el.elements():
             if k.local == "parameter" and k.get("ac:name"):
@@ -402,6 +405,8 @@ class StorageWriter:
         known = self.macros.by_directive(n.get("name") or "")
         if known is None:
             raise ConversionError(f"no macro handler registered for directive {n.get('name')!r}")
+        if known.write is not None:
+            return known.write(n, self.blocks)
         if n.kids and not known.rich:
             self.blocks(n.kids)
             self.warnings.append(f"directive '::: {n.get('name')}' ignores body content; move values to header parameters (e.g. ``::: {n.get('name')} key=\"...\"``).")

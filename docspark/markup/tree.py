@@ -19,6 +19,10 @@ class ConversionError(MarkupError):
     """The tree can't be written in the target format."""
 
 
+class MacroError(MarkupError):
+    """A macro's own reader or writer can't go on."""
+
+
 class AssetSecurityError(MarkupError):
     """An attachment's name is not safe to write to."""
 

@@ -8,8 +8,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.native import MARKER, asset_pattern, attachment_files, data_uri, filename_problem
-from ..markup.tree import AssetSecurityError
+from ..functions.native import MARKER, asset_markers, asset_pattern, attachment_files, data_uri, filename_problem
+from ..markup.assets import safe_path
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as far as the frame has columns so called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def page_files(pages: DataFrame, body: str = "xhtml") -> DataFrame:
@@ -27,57 +38,58 @@ def resolve_assets(
     strict: bool = True,
     marker: str = MARKER,
 ) -> DataFrame:
-    """Pages (page_id, markdown) with the link before each asset marker pointing to the file's bytes or its copy.
+    """Pages (page_id, markdown, ...) with the link before each asset marker pointing to the file's bytes or its copy.
 
-    assets: (page_id, filename, bytes). Markers stay, so the step can be repeated. Files that are missing leave
-    their link alone; with strict, names that are unsafe to write to fail the page: `asset_error` says why.
-    The text is cut at the markers; only the pieces before markers meet the files in a join, by page and name, and
-    are put together again by a grouped sort of the page's own pieces.
+    assets: (page_id, filename, bytes); of several rows for a file the one with the least bytes counts, rows without
+    bytes are none. Markers stay, so the step can be repeated. Files that are missing leave their link alone; with
+    strict, names that are unsafe to write to fail the page: `asset_error` says why, null if there is no such name.
+    Every row of pages stays, with all its columns, also if page_id is repeated or null.
+    The files that a page asks for become one map of the page, which meets the text in one join; the text is cut at
+    its markers and put together again within its row.
     """
     if mode not in ("sidecar", "inline"):
         raise ValueError("mode is sidecar or inline")
     pattern = asset_pattern(marker)
-    cut = F.split(F.regexp_replace("markdown", f"({pattern})", "\x02$1\x02"), "\x02")
-    pieces = pages.select("page_id", F.posexplode(cut).alias("place", "piece"))
-    pieces = pieces.withColumn("src", F.when(F.col("piece").rlike(f"^{pattern}$"), F.regexp_extract("piece", pattern, 1)))
-    problem = filename_problem("src")
+    key, src, held, target, targets = fresh(pages, "asset_page", "src", "bytes", "target", "asset_targets")
+    wanted = pages.select(F.col("page_id").alias(key), F.explode(F.array_distinct(asset_markers("markdown", marker))).alias(src)).distinct()
+    if strict:
+        wanted = wanted.filter(filename_problem(src).isNull())
+    files = assets.filter("bytes IS NOT NULL").groupBy(F.col("page_id").alias(key), F.col("filename").alias(src)).agg(F.min("bytes").alias(held))
     base = posixpath.relpath(asset_dir, page_dir) if page_dir else asset_dir
-    if mode == "inline":
-        target = data_uri("src", "bytes")
-    else:
-        target = F.concat(F.lit(f"{base}/"), F.col("src"))
-    wanted = pieces.filter(F.col("src").isNotNull()).withColumn("problem", problem if strict else F.lit(None).cast("string"))
-    found = wanted.join(assets.select("page_id", F.col("filename").alias("src"), "bytes"), ["page_id", "src"], "left")
-    found = found.select("page_id", F.col("place"), F.when(F.col("bytes").isNotNull() & F.col("problem").isNull(), target).alias("target"), "problem")
-    rows = pieces.join(found.select("page_id", (F.col("place") - 1).alias("place"), "target", "problem"), ["page_id", "place"], "left")
+    new = data_uri(src, held) if mode == "inline" else F.concat(F.lit(f"{base}/"), F.col(src))
+    found = wanted.join(files, [key, src]).select(key, src, new.alias(target))
+    found = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(src, target))).alias(targets))
+    rows = pages.join(found, F.col("page_id") == F.col(key), "left")
     # only an image link that stands right before the marker is rewritten
     link = r'(?s)(!\[(?:[^\]\\]++|\\.)*+\]\()([^)\s]*+)((?:\s++"(?:[^"\\]++|\\.)*+")?+\)[ \t]*)\z'
-    quoted = F.replace(F.replace(F.col("target"), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    new = F.when(F.col("target").isNotNull(), F.regexp_replace("piece", F.lit(link), F.concat(F.lit("$1"), quoted, F.lit("$3")))).otherwise(F.col("piece"))
-    whole = rows.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", new.alias("piece")))), lambda p: p["piece"]), "").alias("markdown"),
-        F.max("problem").alias("asset_error"),
-    )
-    return whole if strict else whole.drop("asset_error")
+    markers, names = F.regexp_extract_all("markdown", F.lit(pattern), F.lit(0)), asset_markers("markdown", marker)
+    pieces = F.arrays_zip(F.slice(F.split("markdown", pattern, -1), 1, F.size(markers)).alias("piece"), markers.alias("marker"), names.alias("name"))
+
+    def rewritten(p):
+        to = F.try_element_at(F.col(targets), p["name"])
+        quoted = F.replace(F.replace(to, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        return F.concat(F.when(to.isNotNull(), F.regexp_replace(p["piece"], F.lit(link), F.concat(F.lit("$1"), quoted, F.lit("$3")))).otherwise(p["piece"]), p["marker"])
+
+    whole = F.concat(F.array_join(F.transform(pieces, rewritten), ""), F.element_at(F.split("markdown", pattern, -1), -1))
+    text = F.when(F.col(targets).isNull(), F.col("markdown")).otherwise(whole).alias("markdown")
+    columns = [text if c == "markdown" else F.col(f"`{c}`") for c in pages.columns]
+    if strict:
+        columns.append(F.array_max(F.transform(names, filename_problem)).alias("asset_error"))
+    return rows.select(*columns)
 
 
 def write_assets(assets: DataFrame, folder: str, *, strict: bool = True) -> None:
     """Writes (page_id, filename, bytes) below a folder that all executors share, one folder for each page.
 
-    Unsafe names fail the job if strict, else they are skipped. A repeated task writes the same files again.
+    Unsafe names fail the job if strict, else they are logged and skipped. A repeated task writes the same files again.
     """
 
     def save(rows) -> None:
-        base = Path(folder).resolve()
         for r in rows:
-            if r["problem"] is not None:
-                if strict:
-                    raise AssetSecurityError(f"{r['filename']!r}: {r['problem']}")
+            path = safe_path(Path(folder) / str(r["page_id"]), r["filename"], strict=strict)
+            if path is None:
                 continue
-            path = (base / str(r["page_id"]) / r["filename"]).resolve()
-            if not path.is_relative_to(base):
-                raise AssetSecurityError(f"{r['filename']!r}: leaves the folder")
             path.parent.mkdir(parents=True, exist_ok=True)
             path.write_bytes(r["bytes"])
 
-    assets.select("page_id", "filename", "bytes", filename_problem("filename").alias("problem")).foreachPartition(save)
+    assets.select("page_id", "filename", "bytes").foreachPartition(save)

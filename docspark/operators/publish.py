@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.converters import canonical_storage, to_markdown, to_storage
+from ..functions.converters import storage_hash, to_markdown
 from ..markup.options import Options
 from .assets import resolve_assets
 
@@ -14,16 +14,12 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(page_id, action, version, error) for local (page_id, markdown) against remote (page_id, xhtml, version).
 
     action: `create` without a remote page, `update` if the canonical forms differ, `none` if they agree, `error` if
-    either side can't be read. Each side is canonicalised before the join, so that only hashes are shuffled.
+    either side can't be read. Each side is converted and hashed in one call before the join, so that only hashes are
+    shuffled.
     """
-    ours = local.select("page_id", to_storage("markdown", nodes=False).alias("r"))
-    ours = ours.select("page_id", F.col("r.xhtml").alias("xhtml"), F.col("r.error.message").alias("error"))
-    ours = ours.withColumn("c", canonical_storage("xhtml")).select(
-        "page_id", F.sha2("c.xhtml", 256).alias("ours"), F.coalesce("error", "c.error.message").alias("error")
-    )
-    theirs = remote.withColumn("c", canonical_storage("xhtml")).select(
-        "page_id", "version", F.sha2("c.xhtml", 256).alias("theirs"), F.col("c.error.message").alias("remote_error"), F.lit(True).alias("there")
-    )
+    ours = local.select("page_id", storage_hash("markdown", "markdown").alias("r")).select("page_id", F.col("r.hash").alias("ours"), F.col("r.error").alias("error"))
+    theirs = remote.select("page_id", "version", storage_hash("xhtml", "xhtml").alias("r"))
+    theirs = theirs.select("page_id", "version", F.col("r.hash").alias("theirs"), F.col("r.error").alias("remote_error"), F.lit(True).alias("there"))
     both = ours.join(theirs, "page_id", "left")
     action = (
         F.when(F.coalesce("error", "remote_error").isNotNull(), "error")
@@ -47,8 +43,8 @@ def upload_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def changed_pages(before: DataFrame, after: DataFrame, key: str = "page_id") -> DataFrame:
     """Pages of `after` whose canonical form is new or differs from `before`: both hold (key, xhtml)."""
-    old = before.select(key, F.sha2(canonical_storage("xhtml")["xhtml"], 256).alias("h"))
-    new = after.select(key, F.sha2(canonical_storage("xhtml")["xhtml"], 256).alias("h"))
+    old = before.select(key, storage_hash("xhtml", "xhtml")["hash"].alias("h"))
+    new = after.select(key, storage_hash("xhtml", "xhtml")["hash"].alias("h"))
     return new.join(old, [key, "h"], "left_anti").select(key)
 
 
@@ -62,5 +58,4 @@ def pull(remote: DataFrame, files: DataFrame | None = None, options: Options | N
     pages = pages.select("page_id", "version", "r.markdown", "r.warnings", F.col("r.error.message").alias("error"))
     if files is None:
         return pages
-    shown = resolve_assets(pages.select("page_id", "markdown"), files, marker=options.marker, **how)
-    return pages.drop("markdown").join(shown, "page_id", "left")
+    return resolve_assets(pages, files, marker=options.marker, **how)

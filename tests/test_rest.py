@@ -6,11 +6,13 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
-from docspark.sources.rest import HTTPError, VersionConflict, WikiClient, bearer, push_markdown, register
+from docspark.markup.tree import AssetSecurityError
+from docspark.sources.rest import HTTPError, VersionConflict, WikiClient, bearer, pull_markdown, push_markdown, register
 
 
 class Wiki(BaseHTTPRequestHandler):
     page = {"id": "1", "title": "T", "version": {"number": 3}, "body": {"storage": {"value": "<p>old</p>"}}}
+    pictures = {"id": "3", "title": "P", "version": {"number": 8}, "body": {"storage": {"value": "".join(f'<p><ac:image><ri:attachment ri:filename="{n}.png"/></ac:image></p>' for n in ("same", "far", "none"))}}}
     calls: list = []
     conflicts = 0
 
@@ -21,7 +23,15 @@ class Wiki(BaseHTTPRequestHandler):
 
     def do_GET(self):
         if "/attachment" in self.path:
-            return self.answer(200, {"results": [{"title": "same.png", "extensions": {"fileSize": 2}}]})
+            Wiki.calls.append("list")
+            links = {"download": "/download/same.png"}
+            return self.answer(200, {"results": [{"title": "same.png", "extensions": {"fileSize": 2}, "_links": links}, {"title": "far.png", "_links": {"download": "http://elsewhere.invalid/x"}}]})
+        if "/download/" in self.path:
+            self.send_response(200)
+            self.end_headers()
+            return self.wfile.write(b"12")
+        if "/content/3" in self.path:
+            return self.answer(200, self.pictures)
         if "/content/1" in self.path:
             return self.answer(200, self.page)
         return self.answer(404, {"message": "x" * 9000})
@@ -31,12 +41,14 @@ class Wiki(BaseHTTPRequestHandler):
         if Wiki.conflicts:
             Wiki.conflicts -= 1
             return self.answer(409, {})
-        Wiki.calls.append(("PUT", body["version"]["number"], body["body"]["storage"]["value"]))
+        Wiki.calls.append(("PUT", *body["version"].values(), body["body"]["storage"]["value"]))
         return self.answer(200, body)
 
     def do_POST(self):
         data = self.rfile.read(int(self.headers["Content-Length"]))
-        Wiki.calls.append(("POST", b'filename="new.png"' in data, self.headers.get("X-Atlassian-Token")))
+        if b'filename="bad.png"' in data:
+            return self.answer(500, {})
+        Wiki.calls.append(("POST", b'filename="new.png"' in data, b"Content-Type: image/png" in data, self.headers.get("X-Atlassian-Token")))
         return self.answer(200, {})
 
     def log_message(self, *args):
@@ -56,10 +68,77 @@ def test_nothing_is_written_when_the_canonical_forms_agree(client):
     assert not push_markdown(client, "1", "old\n").changed and Wiki.calls == []
 
 
-def test_update_and_uploads(client):
-    r = push_markdown(client, "1", "new\n", {"img/same.png": b"12", "img/new.png": b"123"})
-    assert r.changed and r.new_version == 4 and r.uploaded == ["new.png"] and not r.has_partial_failure
-    assert Wiki.calls == [("PUT", 4, "<p>new</p>"), ("POST", True, "no-check")]
+PICTURES = "new ![](img/same.png)![](img/new.png)\n"
+
+
+def test_update_and_uploads(client, tmp_path):
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "same.png").write_bytes(b"12")
+    (tmp_path / "img" / "new.png").write_bytes(b"123")
+    r = push_markdown(client, "1", PICTURES, tmp_path, message="why")
+    assert r.changed and r.new_version == 4 and r.uploaded == ["new.png"] and not r.has_partial_failure and r.page["version"] == {"number": 4, "message": "why"}
+    assert Wiki.calls[0][:3] == ("PUT", 4, "why") and Wiki.calls[1:] == ["list", ("POST", True, True, "no-check")]
+
+
+def test_uploads_count_as_a_change_and_failures_are_told(client):
+    page = 'old ![](img/same.png)![](img/new.png)![](bad.png)![](none.png)\n'
+    Wiki.page = Wiki.page | {"body": {"storage": {"value": push_xhtml(page)}}}
+    try:
+        r = push_markdown(client, "1", page, {"img/same.png": b"other size", "img/new.png": b"1", "bad.png": b"1"})
+        assert r.changed and r.new_version == 3 and r.uploaded == ["same.png", "new.png"]
+        assert [(n, type(e)) for n, e in r.failed] == [("bad.png", HTTPError), ("none.png", FileNotFoundError)] and r.has_partial_failure
+        r = push_markdown(client, "1", page, lambda name: b"12" if "same" in name else None)
+        assert not r.changed and r.new_version == 3 and [n for n, _ in r.failed] == ["new.png", "bad.png", "none.png"]
+    finally:
+        Wiki.page = Wiki.page | {"body": {"storage": {"value": "<p>old</p>"}}}
+
+
+def push_xhtml(page):
+    from docspark.markup.convert import to_storage
+
+    return to_storage(page, nodes=False)["xhtml"]
+
+
+@pytest.mark.parametrize("name", ["../../etc/passwd", "/etc/passwd", "a/../../b", "a\\b.png"])
+def test_unsafe_names_are_refused_before_anything_is_asked_for(client, tmp_path, name):
+    import dataclasses
+
+    nowhere = dataclasses.replace(client, base_url="http://127.0.0.1:9")
+    page = f'![](x.png)<!-- docspark:asset src="{name}" -->\n'
+    with pytest.raises(AssetSecurityError):
+        push_markdown(nowhere, "1", page, tmp_path)
+    r = push_markdown(client, "1", page, tmp_path, strict=False)
+    assert [type(e) for _, e in r.failed] == [AssetSecurityError] and not r.uploaded
+
+
+def test_links_out_of_the_folder_are_not_read(client, tmp_path):
+    (tmp_path / "secret").write_bytes(b"s")
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site" / "x.png").symlink_to(tmp_path / "secret")
+    r = push_markdown(client, "1", "![](x.png)\n", tmp_path / "site")
+    assert [type(e) for _, e in r.failed] == [AssetSecurityError]
+
+
+def test_pulling_a_page_with_its_files(client, tmp_path):
+    plain = pull_markdown(client, "3")
+    assert plain.resolved_asset_count == 0 and plain.page["version"]["number"] == 8 and "(same.png)" in plain.markdown and Wiki.calls == []
+    r = pull_markdown(client, "3", assets="sidecar", asset_dir=tmp_path / "files", page_dir=tmp_path)
+    assert r.resolved_asset_count == 1 and "(files/same.png)" in r.markdown and "(far.png)" in r.markdown and "(none.png)" in r.markdown
+    assert (tmp_path / "files" / "same.png").read_bytes() == b"12" and Wiki.calls == ["list"]
+    r = pull_markdown(client, "3", assets="inline")
+    assert "(data:image/png;base64,MTI=)" in r.markdown and r.resolved_asset_count == 1
+    with pytest.raises(ValueError):
+        pull_markdown(client, "3", assets="sidecar")
+
+
+def test_settings_from_the_environment(monkeypatch, caplog):
+    monkeypatch.setenv("DOCSPARK_HTTP_TIMEOUT", "7.5")
+    monkeypatch.setenv("DOCSPARK_HTTP_ERROR_LIMIT", "nonsense")
+    c = WikiClient("http://x.invalid", bearer("t"))
+    assert c.timeout == 7.5 and c.error_limit == 4096 and "not encrypted" in caplog.text
+    monkeypatch.setenv("DOCSPARK_HTTP_ERROR_LIMIT", "10")
+    assert WikiClient("https://x.invalid", bearer("t"), timeout=3).error_limit == 10
+    assert caplog.text.count("not encrypted") == 1
 
 
 def test_conflicts(client):
@@ -79,6 +158,14 @@ def test_errors_and_foreign_hosts(client):
         WikiClient("ftp://x", bearer("t"))
 
 
+def test_pages_are_pushed_from_a_table(spark, client):
+    from docspark.sources.rest import push_pages
+
+    pages = spark.createDataFrame([(1, "old ![](a.png)\n"), (2, "x\n")], "page_id long, markdown string")
+    got = {r.page_id: r for r in push_pages(pages, client).collect()}
+    assert got["1"].changed and got["1"].failed == ["a.png"] and got["1"].error is None and "404" in got["2"].error
+
+
 def test_data_source(spark, client):
     register(spark)
     got = spark.read.format("wiki_pages").option("base_url", client.base_url).option("ids", "1,2").load().collect()
