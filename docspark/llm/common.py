@@ -132,11 +132,16 @@ def hashed_words(texts: list[str], *, lower: bool = False) -> Iterator[tuple[int
         yield first, hashes, np.searchsorted(start, ends)
 
 
+def spelled(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The words at these places."""
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 class WordNumbers:
     """Numbers 0, 1, 2, ... for words by their 64-bit hash, in order of arrival; a whole array is looked up at once."""
 
     def __init__(self, most: int):
-        self.bits = (2 * most - 1).bit_length()
+        self.most, self.bits = most, (most + most // 3).bit_length()
         self.keys, self.numbers, self.n = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
@@ -156,7 +161,7 @@ class WordNumbers:
         return out
 
     def add(self, hashes: np.ndarray) -> None:
-        """Number distinct hashes that have none yet."""
+        """Number distinct hashes that have none yet; there must be room for them."""
         number = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
         self.n += len(hashes)
         at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)

@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, split_words, table
+from .common import CHUNK, WordNumbers, release, small_batches, spelled, table, word_hashes
 from .tokens import vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
 WORD_START = "▁"
-NODES, WORDS = 400_000, 600_000
+NODES, WORDS = 400_000, 700_000
 
 
 @cache
@@ -36,7 +37,8 @@ class Trie:
 
     A node's score needs only what its parent knows: the parent's own best, and the pieces that began earlier on the
     path and are not yet complete. So a prefix that words share is computed once; the count at a word's last node is
-    its answer. Ties go to fewer tokens. Beyond `most` nodes, further ones are forgotten after each call of `trim`.
+    its answer. Ties go to fewer tokens. Beyond `most` nodes no more are kept, and what follows a kept prefix is
+    computed for the word alone.
     """
 
     def __init__(self, scores: dict[str, float], byte_score: float, most: int = NODES):
@@ -55,48 +57,76 @@ class Trie:
         self.singles = {p for p in scores if len(p) == 1}
         self.step: dict[tuple[int, str], int] = {}
         self.best: list[tuple] = [(0.0, 0, ((0.0, 0, 0),))]  # score, minus the number of tokens, open pieces
-        self.late: list[tuple[int, str]] = []
 
     def insert(self, word: str) -> int:
         """Number of tokens of the word."""
-        node, step, best, inside, ends = 0, self.step, self.best, self.inside, self.ends
+        step, best, inside, ends, singles = self.step, self.best, self.inside, self.ends, self.singles
+        node, here = 0, best[0]
         for char in word:
-            key = (node, char)
-            child = step.get(key)
-            if child is None:
-                score, n, started = best[node]
-                if char in self.singles:
-                    top = None
-                else:
-                    size = len(char.encode("utf-8", "surrogatepass"))
-                    top = (score + size * self.byte_score, n - size)
-                open_ = []
-                for s, m, at in started:
-                    at = inside[at].get(char)
-                    if at is not None:
-                        open_.append((s, m, at))
-                        end = ends[at]
-                        if end is not None and (top is None or (s + end, m - 1) > top):
-                            top = (s + end, m - 1)
-                open_.append((*top, 0))
-                child = step[key] = len(best)
+            if node >= 0:
+                child = step.get((node, char))
+                if child is not None:
+                    node, here = child, best[child]
+                    continue
+            score, n, started = here
+            top = None
+            if char not in singles:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                top = (score + size * self.byte_score, n - size)
+            open_ = []
+            for s, m, at in started:
+                at = inside[at].get(char)
+                if at is not None:
+                    open_.append((s, m, at))
+                    end = ends[at]
+                    if end is not None and (top is None or (s + end, m - 1) > top):
+                        top = (s + end, m - 1)
+            open_.append((*top, 0))
+            here = (*top, open_)
+            if node >= 0 and len(best) <= self.most:
+                step[node, char] = len(best)
+                node = len(best)
                 best.append((*top, tuple(open_)))
-                if child > self.most:
-                    self.late.append(key)
-            node = child
-        return -best[node][1]
+            else:
+                node = -1
+        return -here[1]
 
-    def trim(self) -> None:
-        for key in self.late:
-            del self.step[key]
-        del self.best[self.most + 1 :]
-        self.late.clear()
+
+class Counter:
+    """Token counts of words, kept by the word's 64-bit hash; new words go through the trie.
+
+    A worker keeps one from task to task. Words that come when the bounded memory is full are not kept, which changes
+    no count.
+    """
+
+    def __init__(self, path: str, most: int = WORDS):
+        self.trie = Trie(*piece_scores(path))
+        self.words, self.counts = WordNumbers(most), np.zeros(most, np.int32)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many words and tokens each text has."""
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"\n".join(coded)
+        hashes, start, end = word_hashes(raw)
+        number = self.words.of(hashes)
+        found = self.counts[number]
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            new, first, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
+            first = unknown[first]
+            made = np.array([self.trie.insert(WORD_START + w) for w in spelled(raw, start[first], end[first])], np.int32)
+            found[unknown] = made[back]
+            room = self.words.most - self.words.n
+            self.counts[self.words.n : self.words.n + len(new[:room])] = made[:room]
+            self.words.add(new[:room])
+        tokens = np.concatenate([np.zeros(1, np.int64), np.cumsum(found, dtype=np.int64)])
+        ends = np.searchsorted(start, np.cumsum([0, *[len(c) + 1 for c in coded]]))
+        return np.diff(ends), np.diff(tokens[ends])
 
 
 @cache
-def shared_trie(path: str) -> tuple[Trie, dict[str, int]]:
-    """The trie and the counts of words that a Python worker keeps from task to task."""
-    return Trie(*piece_scores(path)), {}
+def counter(path: str) -> Counter:
+    return Counter(path)
 
 
 def count_tokens(docs: DataFrame, *, path: str | None = None) -> DataFrame:
@@ -104,26 +134,25 @@ def count_tokens(docs: DataFrame, *, path: str | None = None) -> DataFrame:
 
     Words are split at white space; a word with the sign of a word start before it is segmented by the best sum of
     piece scores, characters without a piece as bytes. Null text has no words. Repeated rows get equal results, an
-    empty table gives no rows, other columns are not looked at. One pass without a shuffle; a worker's trie and its
-    table of words are bounded, which changes no count.
+    empty table gives no rows, other columns, whatever their names, are not looked at. One pass without a shuffle; a
+    worker's trie and its table of words are bounded, which changes no count.
     """
     path = path or vocabulary_path(PIECES)
 
     def run(batches):
-        trie, known = shared_trie(path)
+        held = counter(path)
         for b in batches:
-            words_n, tokens_n = [], []
-            for text in b.column(1):
-                words = split_words(text.as_py() or "")
-                new = {w: trie.insert(WORD_START + w) for w in set(words).difference(known)}
-                words_n.append(len(words))
-                if len(known) < WORDS:
-                    known.update(new)
-                    tokens_n.append(sum(map(known.__getitem__, words)))
-                else:
-                    tokens_n.append(sum([known[w] if w in known else new[w] for w in words]))
-                trie.trim()
-            yield pa.record_batch({"doc_id": b.column(0), "n_words": pa.array(words_n, pa.int64()), "n_tokens": pa.array(tokens_n, pa.int64())})
+            texts, words, tokens, at = [t or "" for t in b.column(1).to_pylist()], [], [], 0
+            while at < len(texts):
+                first, size = at, 0
+                while at < len(texts) and size < CHUNK:
+                    size += len(texts[at])
+                    at += 1
+                for out, found in zip((words, tokens), held.of(texts[first:at]), strict=True):
+                    out.append(found)
+            none = [np.empty(0, np.int64)]
+            yield pa.record_batch({"doc_id": b.column(0), "n_words": pa.array(np.concatenate(words or none)), "n_tokens": pa.array(np.concatenate(tokens or none))})
+        release()
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 

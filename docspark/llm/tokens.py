@@ -9,10 +9,10 @@ from functools import cache
 
 import numpy as np
 
-from .common import CHUNK, WordNumbers, word_hashes
+from .common import CHUNK, WordNumbers, spelled, word_hashes
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 _SPLIT_AT = np.isin(np.arange(256), [ord(c) for c in " \t\n\r"])
 LAST_PLAIN = "ɏ"  # up to here Unicode's rules for case and composition are the same everywhere
 
@@ -34,9 +34,9 @@ class WordEncoder:
     """encode_all(texts) -> ids as uint32, equal to those of `tokenizers` without special tokens.
 
     The tokenizer splits at white space before all else, so each word's ids are found once and remembered by the
-    word's 64-bit hash; when the bounded memory is full it starts anew. Words of plain letters are merged here from
-    the vocabulary's own merge table, all others, and texts that hold a special token's string, are given to
-    `tokenizers`.
+    word's 64-bit hash; words that come when the bounded memory is full are encoded anew each time. Words of plain
+    letters are merged here from the vocabulary's own merge table, all others, and texts that hold a special token's
+    string, are given to `tokenizers`.
     """
 
     def __init__(self, path: str):
@@ -63,22 +63,23 @@ class WordEncoder:
         self.pairs, self.none = keys[self.order], 1 << 40
         # ranks of two bytes, and of two of which the second ends a piece
         self.byte_ranks = np.stack([self._rank(self.inner[:, None], x[None, :]) for x in (self.inner, self.final)])
-        self._forget()
+        # the ids of word n are `ids` from `starts[n]` to `starts[n + 1]`
+        self.words, self.starts, self.ids, self.used = WordNumbers(KEPT_WORDS), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint32), 0
 
-    def _forget(self, most: int = KEPT_WORDS) -> None:
-        """Ids of word n are `ids` from `starts[n]` to `starts[n + 1]`."""
-        self.most, self.words, self.starts, self.ids, self.used = most, WordNumbers(most), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.uint32), 0
-
-    def _remember(self, hashes: np.ndarray, found: list[bytes]) -> None:
+    def _remember(self, hashes: np.ndarray, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new words begin and end in `ids`; those for which there is no room are there until the next call."""
         n, new = self.words.n, np.frombuffer(b"".join(found), "<u4")
         for name, size in (("starts", n + len(found) + 1), ("ids", self.used + len(new))):
             held = getattr(self, name)
             if size > len(held):
                 setattr(self, name, np.concatenate([held, np.zeros((1 << size.bit_length()) - len(held), held.dtype)]))
-        self.words.add(hashes)
         self.ids[self.used : self.used + len(new)] = new
-        self.starts[n + 1 : n + len(found) + 1] = self.used + np.cumsum([len(f) // 4 for f in found])
-        self.used += len(new)
+        edges = self.used + np.cumsum([0, *[len(f) // 4 for f in found]])
+        kept = min(len(hashes), self.words.most - n)
+        self.words.add(hashes[:kept])
+        self.starts[n : n + kept + 1] = edges[: kept + 1]
+        self.used = int(edges[kept])
+        return edges[:-1], edges[1:]
 
     def _merge_all(self, pieces: list[str]) -> list[bytes]:
         """Ids of pre-tokens: byte signs merged pair by pair, lowest rank and then leftmost first, all at once.
@@ -164,18 +165,14 @@ class WordEncoder:
         raw = b" ".join(coded)
         hashes, start, end = word_hashes(raw, _SPLIT_AT)
         number = self.words.of(hashes)
+        begin, end_of = self.starts[number], self.starts[number + 1]
         unknown = np.flatnonzero(number < 0)
         if len(unknown):
-            new, first = np.unique(hashes[unknown], return_index=True)
-            if self.words.n + len(new) > self.most:
-                self._forget(max(KEPT_WORDS, len(np.unique(hashes))))
-                return self._encode(texts)
+            new, first, back = np.unique(hashes[unknown], return_index=True, return_inverse=True)
             first = unknown[first]
-            found = self._learn([raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-            self._remember(new, found)
-            number[unknown] = self.words.of(hashes[unknown])
-        begin = self.starts[number]
-        sizes = self.starts[number + 1] - begin
+            made = self._remember(new, self._learn(spelled(raw, start[first], end[first])))
+            begin[unknown], end_of[unknown] = made[0][back], made[1][back]
+        sizes = end_of - begin
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         ids = self.ids[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
         edge = ends[np.searchsorted(start, np.cumsum([0, *[len(c) + 1 for c in coded]]))].tolist()

@@ -230,6 +230,34 @@ def test_anchors_by_definition():
     assert {i + 17 for i in want} <= set(shifted.tolist())
 
 
+def test_likeness_is_that_of_the_passages_themselves(spark, docs, texts):
+    """Syncmers as strings: each text's own substrings at its anchors, chosen by a plain search for the least part."""
+    k, s = fingerprints.K, fingerprints.S
+
+    def passages(text):
+        order = {}
+
+        def rank(part):
+            if part not in order:
+                order[part] = int(common.rolling_hash(common.mix64(np.array([ord(c) for c in part], np.uint64) + np.uint64(1)), s)[0])
+            return order[part]
+
+        found = set()
+        for i in range(len(text) - k + 1):
+            inner = [rank(text[j : j + s]) for j in range(i, i + k - s + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                found.add(text[i : i + k])
+        return found or ({text} if text else set())
+
+    some = dict(sorted(texts.items())[:25])
+    frame = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    order = sorted(some, reverse=True)
+    for r in fingerprints.with_next(frame).collect():
+        after = some[order[(order.index(r.doc_id) + 1) % len(order)]]
+        a, b = passages(some[r.doc_id]), passages(after)
+        assert r.near_next == (len(a & b) / len(a | b) if a | b else 1.0) and len(set(r.anchors)) == len(a)
+
+
 def test_fingerprints_of_next_documents(spark, docs, texts):
     got = {r.doc_id: r for r in QUERIES["op2_syncmers"](spark, "/root/testdata/sf0.001").collect()}
     order = sorted(texts, reverse=True)
@@ -240,7 +268,7 @@ def test_fingerprints_of_next_documents(spark, docs, texts):
         edited = text[: len(text) - m] + after[:m]
         assert got[d].n_chars == len(text) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b, c = (set(fingerprints.anchors(x)[1].tolist()) for x in (text, edited, after))
-        assert abs(got[d].near_edited - len(a & b) / len(a | b)) < 0.2 and abs(got[d].near_next - len(a & c) / len(a | c)) < 0.2
+        assert got[d].near_edited == len(a & b) / len(a | b) and got[d].near_next == len(a & c) / len(a | c)
         assert got[d].fingerprint == fingerprints.to_text(fingerprints.sketch(fingerprints.anchors(text)[1]))
 
 
@@ -455,8 +483,7 @@ def test_token_counts_equal_plain_forward_scores(spark, docs, texts):
         assert r.n_tokens == sum(cached.setdefault(w, plain("▁" + w)) if w not in cached else cached[w] for w in words)
     tiny = counting.Trie(scores, byte, most=40)
     for w in list(cached)[:400]:
-        assert tiny.insert("▁" + w) == cached[w]
-        tiny.trim()
+        assert tiny.insert("▁" + w) == cached[w] and len(tiny.best) <= 41
 
 
 def test_token_count_edges(spark, edge):
@@ -657,6 +684,40 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows]) > 0.97
 
 
+def test_language_equals_plain_bundles(spark, docs):
+    """Each trigram of each document bound and added by itself, with dictionaries for the prototypes."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.orderBy("doc_id").limit(60).collect()]
+    sign, vector = language.signs_of_letters(), language.sign_vectors().astype(np.int64)
+
+    def bundle(text):
+        letters, total = [0], np.zeros(language.DIMENSIONS, np.int64)
+        for c in text:
+            s = int(sign[ord(c)])
+            if s or letters[-1]:
+                letters.append(s)
+        letters += [0] if letters[-1] else []
+        for i in range(len(letters) - 2):
+            a, b, c = letters[i : i + 3]
+            total += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+        return total
+
+    bundles = {i: bundle(t or "") for i, t, _ in rows}
+    sums = {}
+    for i, _, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5 and lang is not None:
+            sums[lang] = sums.get(lang, 0) + bundles[i]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.profiles(frame.filter(~language.held_out()))
+    assert set(known) == set(sums)
+    for r in language.identify(frame, known).collect():
+        b = bundles[r.doc_id]
+        if not b.any():
+            assert (r.lang_pred, r.lang_score) == ("und", 0.0)
+            continue
+        cosine = {lang: float(b @ s / np.linalg.norm(b) / np.linalg.norm(s)) for lang, s in sums.items()}
+        assert r.lang_pred == max(sorted(cosine), key=cosine.get) and abs(r.lang_score - max(0.0, cosine[r.lang_pred])) < 1e-4
+
+
 def test_language_edges(spark, edge):
     known = language.profiles(edge)
     got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.identify(edge, known).collect()}
@@ -664,3 +725,16 @@ def test_language_edges(spark, edge):
     assert {r.lang_pred for r in language.identify(edge, {}).collect()} == {"und"}
     assert language.profiles(edge.limit(0)) == {}
     assert language.trigrams("Ab, c").tolist() == language.trigrams(" ab   C!").tolist()
+
+
+def test_full_memories_change_nothing(texts, monkeypatch):
+    some = list(texts.values())[:40]
+    path = tokens.vocabulary_path(tokens.VOCABULARY)
+    want, counts = tokens.WordEncoder(path).encode_all(some), counting.Counter(tokens.vocabulary_path(counting.PIECES)).of(some)
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 500)
+    small = tokens.WordEncoder(path)
+    few = counting.Counter(tokens.vocabulary_path(counting.PIECES), 500)
+    for at in range(0, 40, 4):
+        assert all((a == b).all() for a, b in zip(small.encode_all(some[at : at + 4]), want[at : at + 4], strict=True))
+        assert all((a == b[at : at + 4]).all() for a, b in zip(few.of(some[at : at + 4]), counts, strict=True))
+    assert small.words.n == few.words.n == 500
