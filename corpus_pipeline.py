@@ -92,12 +92,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each returns is written to the shared checkpoint folder."""
+    """All stages over `documents`; what each returns is written to the shared checkpoint folder, and taken away when
+    the next stage is written. The last one's rows stay there, as the frame reads them."""
     ensure_checkpoint_dir(spark)
-    home = spark.sparkContext.getCheckpointDir()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    jvm = spark.sparkContext._jvm
+    home = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{jvm.java.util.UUID.randomUUID()}"
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{home}/pipeline-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}/{number}-{name}"
+        path = f"{home}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done is not None:
+            old = jvm.org.apache.hadoop.fs.Path(done)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        docs, done = spark.read.parquet(path), path
     return docs
