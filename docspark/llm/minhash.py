@@ -359,7 +359,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stars = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("s")).select("band", F.col("s.node").alias("star"))
     members = cut(members.join(stars, "band"))
     met = members.select("node").distinct()
-    texts = cut(only_these(weighed, met).dropDuplicates(["node"]))
+    texts = cut(only_these(weighed, met))
     pairs = members.filter("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()
     found = cut(compared(pairs, texts, idf))
     label = components(found.filter(F.col("similarity") >= similarity))
@@ -396,8 +396,8 @@ def placed_at(rows: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def only_these(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows whose node is among the nodes. Most others are left out by a bit for each of 2^26 values before rows
-    move; the filter has a fixed size and lets some rows through, which the join then takes out."""
+    """One row for each of the nodes. Most others are left out by a bit for each of 2^26 values before rows move; the
+    filter has a fixed size and lets some rows through, which the join then takes out. Copies meet in tasks first."""
     bit = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1) + 1
     bits = nodes.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("bit"))
     parts = bits.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
@@ -413,7 +413,7 @@ def only_these(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             at = b.column(0).to_numpy() & mask
             yield b.filter(pa.array((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-    return rows.mapInArrow(pick, rows.schema).join(nodes, "node", "left_semi")
+    return rows.mapInArrow(pick, rows.schema).dropDuplicates(["node"]).join(nodes, "node", "left_semi")
 
 
 def own_weights(texts: DataFrame, idf) -> DataFrame:
