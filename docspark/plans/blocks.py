@@ -209,19 +209,19 @@ def colours_to_markdown(spark, sf_dir):
 # --- images, macros, opaque fragments -----------------------------------------------------------------------
 
 
-@query(D + f"'![' || title || '](f ' || page_id || '.png#{M}:w=30,h=' || page_id % 7 || ' \"ti \\\"q\\\"\")<!-- {M}:asset src=\"f ' || page_id || '.png\" -->![](http://x.y/z.png)' || chr(10) AS markdown, ['f ' || page_id || '.png'] AS attachments FROM d")
+@query(D + f"'![' || title || '](f ' || page_id || '.png#{M}:w=30,h=' || page_id % 7 || ' \"ti \\\"q\\\"\")<!-- {M}:asset src=\"f ' || page_id || '.png\" -->![](http://x.y/z.png)' || chr(10) AS markdown, 'f ' || page_id || '.png' AS attachments FROM d")
 def images_to_markdown(spark, sf_dir):
     page = text('<p><ac:image ac:width="30" ac:height="', (F.col("page_id") % 7).cast("string"), '" ac:alt="', title(), '" ac:title="ti &quot;q&quot;"><ri:attachment ri:filename="f ', F.col("page_id").cast("string"), '.png"/></ac:image><ac:image><ri:url ri:value="http://x.y/z.png"/></ac:image></p>')
     r = documents(spark, sf_dir).select("page_id", fn.to_markdown(page, nodes=False).alias("r"))
-    return r.select("page_id", "r.markdown", "r.attachments")
+    return r.select("page_id", "r.markdown", F.array_join("r.attachments", ",").alias("attachments"))
 
 
-@query(D + "'<p><ac:image ac:alt=\"' || title || '\" ac:title=\"ti &amp; &quot;q&quot;\" ac:width=\"30\" ac:height=\"' || page_id % 7 || '\"><ri:attachment ri:filename=\"f ' || page_id || '.png\"/></ac:image> <ac:image ac:alt=\"r\"><ri:url ri:value=\"http://x.y/z.png\"/></ac:image></p>' AS xhtml, ['f ' || page_id || '.png'] AS attachments FROM d")
+@query(D + "'<p><ac:image ac:alt=\"' || title || '\" ac:title=\"ti &amp; &quot;q&quot;\" ac:width=\"30\" ac:height=\"' || page_id % 7 || '\"><ri:attachment ri:filename=\"f ' || page_id || '.png\"/></ac:image> <ac:image ac:alt=\"r\"><ri:url ri:value=\"http://x.y/z.png\"/></ac:image></p>' AS xhtml, 'f ' || page_id || '.png' AS attachments FROM d")
 def images_to_storage(spark, sf_dir):
     name = F.col("page_id").cast("string")
     page = text("![", title(), "](f.png#", f"{M}:w=30,h=", (F.col("page_id") % 7).cast("string"), ' "ti & \\"q\\"")', fn.write_asset_marker(text("f ", name, ".png")), " ![r](http://x.y/z.png)\n")
     r = documents(spark, sf_dir).select("page_id", fn.to_storage(page, nodes=False).alias("r"))
-    return r.select("page_id", "r.xhtml", "r.attachments")
+    return r.select("page_id", "r.xhtml", F.array_join("r.attachments", ",").alias("attachments"))
 
 
 MACROS = [("info", "info"), ("note", "note"), ("warning", "warning"), ("tip", "tip"), ("expand", "expand")]
