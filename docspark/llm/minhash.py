@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, hashed_words, mix64, release, rolling_hash, small_batches, table
+from .common import cut, fresh, hashed_words, mix64, release, rolling_hash, small_batches, table, unique_sorted
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 16, 3, 1
 SAMPLES = BANDS * ROWS
@@ -277,7 +277,7 @@ def with_light_words(texts: DataFrame, counted: DataFrame, idf) -> DataFrame:
             for first, hashes, ends in hashed_words(b.column(1).to_pylist(), lower=True):
                 start = 0
                 for i, end in enumerate(ends.tolist(), first):
-                    own = np.unique(hashes[start:end])
+                    own = unique_sorted(hashes[start:end])
                     own = own[~idf.value.held(own)[0]]
                     yield pa.record_batch({"node": pa.array(np.full(len(own), nodes[i])), "word": pa.array(own.view(np.int64))})
                     start = end

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, doc_bounds, group_docs, mix64, packed, release, rolling_hash, split_words, word_hashes
+from .common import GROUP_BYTES, doc_bounds, group_docs, mix64, packed, release, rolling_hash, split_words, unique_sorted, word_hashes
 
 SPARE_BITS = 9  # a seed seems to recur by chance once in about 2 ** (SPARE_BITS + 2)
 _CODED = "bucket int, g int, kind int, data binary"
@@ -135,7 +135,7 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
                 out.append((b, g, PROBE, pack_sorted(v)))
                 out.append((b, g, FLAGS, pack_bits(np.concatenate([indexed[part], n[part] > 1]))))
                 done += len(v)
-        whole = np.unique(np.array([text_hash(t) for t in texts], np.uint64))
+        whole = unique_sorted(np.array([text_hash(t) for t in texts], np.uint64))
         out += [(b, g, WHOLE, pack_sorted(v)) for b, v in slices(whole, 64, buckets)]
         return pa.Table.from_batches([rows(out)])
 
@@ -220,11 +220,11 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
             else:
                 copies.append(unpack_sorted(data))
         ids, texts, _ = group_docs(table["blob"])
-        flags, mask = candidates(texts, np.unique(np.concatenate(copies)), hits, ranks_of(ids))
+        flags, mask = candidates(texts, unique_sorted(np.concatenate(copies)), hits, ranks_of(ids))
         _, found, _ = windows_of(texts, flags, mask)
         out = [(-1 - g, g, STATE, pack_state(flags, mask))]
         if found:
-            out += [(b, g, WINDOWS, pack_sorted(v)) for b, v in slices(np.unique(np.concatenate(found)), 64, buckets)]
+            out += [(b, g, WINDOWS, pack_sorted(v)) for b, v in slices(unique_sorted(np.concatenate(found)), 64, buckets)]
         return pa.Table.from_batches([rows(out)])
 
     def answer_windows(part: pa.Table) -> pa.Table:
@@ -296,7 +296,7 @@ def earlier(sent: list[tuple[int, np.ndarray]]) -> list[tuple[int, tuple[np.ndar
     """For each (group, ascending distinct values): the values and whether a smaller group sent them too."""
     merged: dict[int, np.ndarray] = {}
     for g, v in sent:  # a group may send in several parts
-        merged[g] = np.unique(np.concatenate([merged[g], v])) if g in merged else v
+        merged[g] = unique_sorted(np.concatenate([merged[g], v])) if g in merged else v
     ordered = sorted(merged.items())
     if not ordered:
         return []
