@@ -278,10 +278,11 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
         return out
 
     arrow_schema = to_arrow(docs, schema)
+    # as many tasks as slices of the hash range, so that a task's share stays the same however large the input is
     seeds = groups.groupBy("g").applyInArrow(send_seeds, _CODED)
-    replies = seeds.groupBy("bucket").applyInArrow(answer_seeds, _CODED)
+    replies = seeds.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer_seeds, _CODED)
     windows = groups.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(send_windows, _CODED)
-    decided = windows.groupBy("bucket").applyInArrow(answer_windows, _CODED)
+    decided = windows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer_windows, _CODED)
     return groups.groupBy("g").cogroup(decided.groupBy("g")).applyInArrow(remove, schema)
 
 
