@@ -1,12 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
 from .ann import op8_ann
+from .centroids import op12_centroids
 from .counting import op5_token_counts
 from .fingerprints import op2_syncmers
 from .language import op10_language
 from .minhash import op1_minhash
 from .mixing import op3_mixing
+from .negatives import op13_hard_negatives
 from .packing import op4_packing
+from .pieces import op11_pieces
 from .repeats import op7_substring_dedup, op9_suffix_dedup
 from .secrets import op6_secrets
 
@@ -21,6 +24,9 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_language": op10_language,
+    "op11_pieces": op11_pieces,
+    "op12_centroids": op12_centroids,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 WORDS_SQL = r"""
@@ -77,5 +83,36 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+
+def _lloyd_sql() -> str:
+    """Plain Lloyd rounds, one after the other; sums of products of whole numbers are exact as doubles."""
+    steps = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY c LIMIT 16)",
+    ]
+    for i in range(4):
+        steps.append(f"""d{i} AS (SELECT vec_id, c, v.x, (list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, k.x) + list_inner_product(k.x, k.x))::BIGINT AS d FROM v, c{i} AS k),
+a{i} AS (SELECT vec_id, min_by(c, (d, c)) AS c, min(d) AS d, any_value(x) AS x FROM d{i} GROUP BY vec_id)""")
+        if i < 3:
+            steps.append(f"""m{i} AS (SELECT c, p, floor(sum(u) / count(*)) AS y FROM (SELECT c, unnest(x) AS u, unnest(range(64)) AS p FROM a{i}) GROUP BY c, p),
+c{i + 1} AS (SELECT c, coalesce(y, x) AS x FROM c{i} LEFT JOIN (SELECT c, list(y ORDER BY p) AS y FROM m{i} GROUP BY c) USING (c))""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, a.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(k.x, lambda y: y::BIGINT), ',')) AS centroid_sha256
+FROM a3 AS a JOIN c3 AS k ON k.c = a.c
+"""
+
+
+#: All products of the anchors with all rows.
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS s FROM v AS a JOIN v AS b ON len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b AS p, s AS t FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, (row_number() OVER w)::INT AS rank, b AS negative_id, t AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 30 * t <= 100 * s AND 100 * s <= 90 * t WINDOW w AS (PARTITION BY a, p ORDER BY s DESC, b) QUALIFY row_number() OVER w <= 10
+"""
+
 #: doc_ids are taken as unique here, as they are in the tables.
-ORACLE_SQL: dict[str, str] = {"op1_minhash": NEAR_SQL, "op7_substring_dedup": WORDS_SQL, "op8_ann": NEAREST_SQL, "op9_suffix_dedup": BYTES_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": NEAR_SQL, "op7_substring_dedup": WORDS_SQL, "op8_ann": NEAREST_SQL, "op9_suffix_dedup": BYTES_SQL, "op12_centroids": _lloyd_sql(), "op13_hard_negatives": NEGATIVES_SQL}
