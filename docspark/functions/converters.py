@@ -18,7 +18,7 @@ from ..markup.macros import DEFAULT_MACROS, MacroRegistry
 from ..markup.options import Options
 
 NODES = (
-    "array<struct<id:int,parent:int,depth:int,ord:int,kind:string,text:string,level:int,"
+    "array<struct<id:int,last:int,parent:int,depth:int,ord:int,kind:string,text:string,level:int,"
     "attrs:map<string,string>,params:array<struct<k:string,v:string>>>>"
 )
 RESULT = f"struct<xhtml:string,markdown:string,jira_wiki:string,attachments:array<string>,warnings:array<string>,nodes:{NODES},error:struct<class:string,message:string>>"
@@ -40,7 +40,7 @@ def result_type() -> pa.DataType:
     text, size = pa.string(), pa.int32()
     pair = pa.struct([("k", text), ("v", text)])
     node = pa.struct([
-        ("id", size), ("parent", size), ("depth", size), ("ord", size), ("kind", text), ("text", text), ("level", size),
+        ("id", size), ("last", size), ("parent", size), ("depth", size), ("ord", size), ("kind", text), ("text", text), ("level", size),
         ("attrs", pa.map_(text, text)), ("params", pa.list_(pair)),
     ])
     return pa.struct([

@@ -70,17 +70,21 @@ def walk(nodes: list[Node]):
 
 
 def to_rows(nodes: list[Node]) -> list[dict]:
-    """The tree in pre-order: a subtree is a contiguous range of ids."""
+    """The tree in pre-order: a subtree is the contiguous range of ids from a node's own to its `last`."""
     rows: list[dict] = []
     stack = [(n, -1, 0, i) for i, n in reversed(list(enumerate(nodes)))]
     while stack:
         n, parent, depth, place = stack.pop()
         number = len(rows)
         rows.append({
-            "id": number, "parent": None if parent < 0 else parent, "depth": depth, "ord": place, "kind": n.kind, "text": n.text,
+            "id": number, "last": number, "parent": None if parent < 0 else parent, "depth": depth, "ord": place, "kind": n.kind, "text": n.text,
             "level": n.level, "attrs": list(n.attrs.items()), "params": [{"k": k, "v": v} for k, v in n.params],
         })
         stack.extend((k, number, depth + 1, i) for i, k in reversed(list(enumerate(n.kids))))
+    for r in reversed(rows):
+        if r["parent"] is not None:
+            above = rows[r["parent"]]
+            above["last"] = max(above["last"], r["last"])
     return rows
 
 

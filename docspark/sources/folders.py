@@ -34,3 +34,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         home = tempfile.mkdtemp(prefix="docspark-")
     return f"{home}/{purpose}-{sc._jvm.java.util.UUID.randomUUID()}"
+
+
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame, written to a new shared folder and read again: what is used twice is made once, and lost executors cost
+    no second run. The folder stays until whoever set it clears it."""
+    home = shared_folder(frame.sparkSession, purpose)
+    frame.write.parquet(home)
+    return frame.sparkSession.read.parquet(home)
