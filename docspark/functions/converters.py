@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..markup import convert
+from ..markup import convert, diff
 from ..markup.jira import PROMOTIONS
 from ..markup.macros import DEFAULT_MACROS, MacroRegistry
 from ..markup.options import Options
@@ -102,3 +102,61 @@ def storage_hash(source: Column | str, source_format: str) -> Column:
         return pa.StructArray.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], ["hash", "error"])
 
     return run.asNondeterministic()(as_column(source))
+
+
+def storage_blocks(source: Column | str, source_format: str) -> Column:
+    """(hash, blocks, error): SHA-256 of the canonical storage form of `markdown` or `xhtml` text, and hashes of its
+    top-level parts in order."""
+
+    @F.arrow_udf("struct<hash:string,blocks:array<string>,error:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = list(zip(*[convert.canonical_blocks(t, source_format) for t in texts.to_pylist()], strict=True)) or [[], [], []]
+        return pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.list_(pa.string())), pa.array(found[2], pa.string())], ["hash", "blocks", "error"])
+
+    return run.asNondeterministic()(as_column(source))
+
+
+SCRIPT = pa.struct([("script", pa.string()), *[(n, pa.int32()) for n in ("kept", "moved", "changed", "inserted", "deleted")], ("error", pa.string())])
+
+
+def page_script(old: Column | str, new: Column | str) -> Column:
+    """(script, kept, moved, changed, inserted, deleted, error): what makes one storage page the other, in canonical form."""
+
+    @F.arrow_udf("struct<script:string,kept:int,moved:int,changed:int,inserted:int,deleted:int,error:string>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([convert.page_script(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], SCRIPT)
+
+    return run.asNondeterministic()(as_column(old), as_column(new))
+
+
+def patch_page(old: Column | str, script: Column | str) -> Column:
+    """The canonical form, in `xhtml`, of a storage page after a script of `page_script`."""
+
+    @F.arrow_udf("struct<xhtml:string,error:struct<class:string,message:string>>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        made = [convert.patched(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        return pa.array([{k: m[k] for k in ("xhtml", "error")} for m in made], pa.struct([("xhtml", pa.string()), ("error", pa.struct([("class", pa.string()), ("message", pa.string())]))]))
+
+    return run.asNondeterministic()(as_column(old), as_column(script))
+
+
+PLACES = "struct<inserted:array<int>,deleted:array<int>,moved:array<struct<source:int,target:int>>>"
+
+
+def block_changes(old: Column | str, new: Column | str) -> Column:
+    """Places of the items of an array that come, go and move between two arrays of hashes; null if either is null."""
+
+    @F.arrow_udf(PLACES)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            kept, moved = diff.aligned(x, y)
+            gone, come = set(range(len(x))) - {i for i, _ in kept + moved}, set(range(len(y))) - {j for _, j in kept + moved}
+            out.append({"inserted": sorted(come), "deleted": sorted(gone), "moved": [{"source": i, "target": j} for i, j in moved]})
+        ints, pair = pa.list_(pa.int32()), pa.struct([("source", pa.int32()), ("target", pa.int32())])
+        return pa.array(out, pa.struct([("inserted", ints), ("deleted", ints), ("moved", pa.list_(pair))]))
+
+    return run.asNondeterministic()(as_column(old), as_column(new))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+from . import diff
 from .canonical import canonical_storage
 from .jira import parse_jira, render_jira
 from .macros import DEFAULT_MACROS, MacroRegistry
@@ -110,3 +111,42 @@ def hashed(source: str | None, source_format: str) -> tuple[str | None, str | No
     if made["error"] is not None or made["xhtml"] is None:
         return None, made["error"] and made["error"]["message"]
     return hashlib.sha256(made["xhtml"].encode("utf-8", "surrogatepass")).hexdigest(), None
+
+
+def canonical_blocks(source: str | None, source_format: str) -> tuple[str | None, list[str] | None, str | None]:
+    """SHA-256 of the canonical storage form, hashes of its top-level parts in order, and what is wrong with the source."""
+    made = to_storage(source, nodes=False) if source_format == "markdown" else result(xhtml=source)
+    if made["error"] is None:
+        made = canonical(made["xhtml"])
+    if made["error"] is not None or made["xhtml"] is None:
+        return None, None, made["error"] and made["error"]["message"]
+    digests = diff.Digests()
+    return hashlib.sha256(made["xhtml"].encode("utf-8", "surrogatepass")).hexdigest(), [digests.of(p).hex()[:32] for p in diff.parsed(made["xhtml"])], None
+
+
+def page_script(old: str | None, new: str | None) -> dict:
+    """What makes one storage page the other, both in canonical form; null if either is null."""
+    empty = {"script": None, "kept": None, "moved": None, "changed": None, "inserted": None, "deleted": None, "error": None}
+    if old is None or new is None:
+        return empty
+    a, b = canonical(old), canonical(new)
+    if error := a["error"] or b["error"]:
+        return empty | {"error": error["message"]}
+    try:
+        steps, n = diff.page_script(a["xhtml"], b["xhtml"])
+    except (MarkupError, RecursionError) as ex:
+        return empty | {"error": str(ex)}
+    return empty | {"script": steps} | n
+
+
+def patched(old: str | None, steps: str | None) -> dict:
+    """The canonical form of a storage page after a script."""
+    if old is None or steps is None:
+        return result(warnings=None)
+    made = canonical(old)
+    if made["error"]:
+        return made
+    try:
+        return result(xhtml=diff.patched(made["xhtml"], steps))
+    except (MarkupError, RecursionError) as ex:
+        return result(error={"class": type(ex).__name__, "message": str(ex)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.converters import storage_hash, to_markdown
+from ..functions.converters import block_changes, page_script, storage_blocks, storage_hash, to_markdown
 from ..markup.options import Options
 from .assets import resolve_assets
 
@@ -30,6 +30,39 @@ def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     return both.select("page_id", action.alias("action"), "version", F.coalesce("error", "remote_error").alias("error"))
 
 
+def block_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """`push_plan` with the blocks that an update touches: (page_id, action, version, inserted, deleted, moved, error).
+
+    inserted: places of new top-level blocks in the local page; deleted: places in the remote page; moved: places of equal
+    blocks there (source) and here (target). All three are empty where nothing is to be done, and null for `create` and
+    `error`. Only hashes of blocks are shuffled, and only pages that differ are aligned.
+    """
+    ours = local.select("page_id", storage_blocks("markdown", "markdown").alias("o"))
+    theirs = remote.select("page_id", "version", storage_blocks("xhtml", "xhtml").alias("t"), F.lit(True).alias("there"))
+    both = ours.join(theirs, "page_id", "left").withColumn("error", F.coalesce("o.error", "t.error"))
+    both = both.withColumn(
+        "action", F.when(F.col("error").isNotNull(), "error").when(F.col("there").isNull(), "create").when(F.col("o.hash").eqNullSafe(F.col("t.hash")), "none").otherwise("update")
+    )
+    differs = lambda c: F.when(F.col("action") == "update", F.col(c))
+    both = both.withColumn("c", block_changes(differs("t.blocks"), differs("o.blocks")))
+    none = F.col("action") == "none"
+    places = [F.when(none, F.array().cast(kind)).otherwise(F.col(f"c.{n}")).alias(n) for n, kind in (("inserted", "array<int>"), ("deleted", "array<int>"), ("moved", "array<struct<source:int,target:int>>"))]
+    return both.select("page_id", "action", "version", *places, "error")
+
+
+def edit_scripts(before: DataFrame, after: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, script, kept, moved, changed, inserted, deleted, error) for pages (key, xhtml) that are in both frames and whose
+    canonical forms differ; `patch_page` applies a script to the page before.
+
+    Hashes are compared first, so only the texts of pages that differ are shuffled. Keys should be unique in each frame.
+    """
+    hashed = lambda frame: frame.select(key, storage_hash("xhtml", "xhtml").alias("h")).select(key, F.coalesce("h.hash", F.lit("")).alias("h"))
+    old, new = hashed(before), hashed(after).withColumnRenamed("h", "other")
+    differ = old.join(new, key).filter((F.col("h") != F.col("other")) | (F.col("h") == "")).select(key)
+    texts = before.join(differ, key, "left_semi").select(key, F.col("xhtml").alias("old")).join(after.select(key, F.col("xhtml").alias("new")), key)
+    return texts.select(key, page_script("old", "new").alias("s")).select(key, "s.*")
+
+
 def upload_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(page_id, path, basename, upload) for local (page_id, path, size) against remote (page_id, title, file_size).
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import nodes
+from ..operators import nodes, publish
 from ..sources.folders import stored
-from .pages import each, lines, read
+from .pages import each, lines, read, xml
 from .queries import query
 
 
@@ -19,13 +19,13 @@ def nodes_of(pages: DataFrame, source: str = "markdown") -> DataFrame:
 
 # --- outlines -----------------------------------------------------------------------------------------------
 
-#: Headings of the pages below and the one that each stands under; market segments skip a level.
+#: Headings of the pages below and the one that each stands under; turns skip a level.
 TREE = """
 WITH RECURSIVE h(page_id, name, above, level) AS (
-  SELECT r_regionkey, r_name, NULL, 1 FROM region
-  UNION ALL SELECT n_regionkey, n_name, r_name, 2 FROM nation JOIN region ON r_regionkey = n_regionkey
-  UNION ALL SELECT DISTINCT n_regionkey, n_name || ' ' || c_mktsegment, n_name, 4 FROM customer JOIN nation ON n_nationkey = c_nationkey
-  UNION ALL SELECT n_regionkey, c_name, n_name || ' ' || c_mktsegment, 6 FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  SELECT DISTINCT conv_id // 10, 'block ' || (conv_id // 10), NULL, 1 FROM conversations
+  UNION ALL SELECT DISTINCT conv_id // 10, 'talk ' || conv_id, 'block ' || (conv_id // 10), 2 FROM conversations
+  UNION ALL SELECT conv_id // 10, 'turn ' || conv_id || ' ' || turn, 'talk ' || conv_id, 4 FROM conversations
+  UNION ALL SELECT conv_id // 10, 'said ' || conv_id || ' ' || turn, 'turn ' || conv_id || ' ' || turn, 6 FROM conversations),
 path(page_id, name, level, path) AS (
   SELECT page_id, name, level, name FROM h WHERE above IS NULL
   UNION ALL SELECT h.page_id, h.name, h.level, path.path || ' > ' || h.name FROM h JOIN path ON h.page_id = path.page_id AND h.above = path.name),
@@ -35,31 +35,28 @@ reach(page_id, name, other) AS (
 """
 
 
-def region_pages(spark, sf_dir) -> DataFrame:
-    """A page for each region with its nations, their market segments and their customers as headings."""
-    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    heading = lambda sign, name: F.concat(F.lit(sign + " "), fn.escape_markdown(name), F.lit("\n\n"))
-    body = F.concat(heading("######", F.col("c_name")), F.lit("balance\n\n"))
-    part = c.groupBy("n_regionkey", "n_name", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_list(body)), "").alias("body"))
-    part = part.withColumn("body", F.concat(heading("####", F.concat_ws(" ", "n_name", "c_mktsegment")), "body"))
-    nation = part.groupBy("n_regionkey", "n_name").agg(F.array_join(F.array_sort(F.collect_list("body")), "").alias("body"))
-    nation = read(spark, sf_dir, "nation").join(nation, ["n_regionkey", "n_name"], "left").withColumn("body", F.concat(heading("##", F.col("n_name")), F.coalesce("body", F.lit(""))))
-    page = nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("body")), "").alias("body"))
-    page = read(spark, sf_dir, "region").join(page, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return page.select(F.col("r_regionkey").alias("page_id"), F.concat(heading("#", F.col("r_name")), F.coalesce("body", F.lit(""))).alias("markdown"))
+def block_pages(spark, sf_dir) -> DataFrame:
+    """A page for ten conversations each, with headings for these, for their turns and for what was said."""
+    t = read(spark, sf_dir, "conversations")
+    number = F.concat_ws(" ", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    said = F.concat(F.lit("#### turn "), number, F.lit("\n\n###### said "), number, F.lit("\n\n"), each(lines("text"), "", "\n\n", fn.escape_markdown))
+    talk = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "").alias("body"))
+    talk = talk.withColumn("body", F.concat(F.lit("## talk "), F.col("conv_id").cast("string"), F.lit("\n\n"), "body"))
+    page = talk.groupBy(F.floor(F.col("conv_id") / 10).alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "body"))), lambda x: x["body"]), "").alias("body"))
+    return page.select("page_id", F.concat(F.lit("# block "), F.col("page_id").cast("string"), F.lit("\n\n"), "body").alias("markdown"))
 
 
 @query(TREE + "SELECT page_id, level::INT AS level, name AS title, path FROM path")
 def outline_paths(spark, sf_dir):
     """Each heading with the headings that it stands under."""
-    rows = nodes.outline(nodes_of(region_pages(spark, sf_dir)))
+    rows = nodes.outline(nodes_of(block_pages(spark, sf_dir)))
     return rows.select("page_id", "level", "title", F.array_join("path", " > ").alias("path"))
 
 
 @query(TREE + "SELECT page_id, name AS title, count(*) - 1 AS headings FROM reach GROUP BY ALL")
 def section_sizes(spark, sf_dir):
     """How many headings stand inside each heading's section."""
-    rows = nodes.outline(nodes_of(region_pages(spark, sf_dir)))
+    rows = nodes.outline(nodes_of(block_pages(spark, sf_dir)))
     inside = nodes.within(rows.select("page_id", "id"), rows.select("page_id", "id", "last")).groupBy("page_id", F.col("outer_id").alias("id")).agg(F.count("*").alias("headings"))
     return rows.join(inside, ["page_id", "id"], "left").select("page_id", "title", F.coalesce("headings", F.lit(0)).alias("headings"))
 
@@ -67,25 +64,25 @@ def section_sizes(spark, sf_dir):
 # --- what stands inside what --------------------------------------------------------------------------------
 
 
-def customer_pages(spark, sf_dir) -> DataFrame:
-    """A page for each nation: a table whose cells link its customers' segments, a list whose items link them, a bare link."""
-    items = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("items"))
-    rows = each("items", "| **[s](/segment/", ")** | 1 |\n", lambda x: x["c_mktsegment"])
-    listed = each("items", "- of [c](/customer/", ")\n", lambda x: x["c_custkey"].cast("string"))
-    return items.select("page_id", F.concat(F.lit("| part | n |\n| --- | --- |\n"), rows, F.lit("\n"), listed, F.lit("\n[all](/all)\n")).alias("markdown"))
+def linked_pages(spark, sf_dir) -> DataFrame:
+    """A page for each conversation: a table whose cells link the roles, a list whose items link the turns, a bare link."""
+    items = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("items"))
+    rows = each("items", "| **[s](/role/", " |\n", lambda x: F.concat(x["role"], F.lit(")** | "), fn.escape_markdown(F.array_join(lines(x["text"]), " "))))
+    listed = each("items", "- of [c](/turn/", ")\n", lambda x: x["turn"].cast("string"))
+    return items.select("page_id", F.concat(F.lit("| role | said |\n| --- | --- |\n"), rows, F.lit("\n"), listed, F.lit("\n[all](/all)\n")).alias("markdown"))
 
 
 #: Nodes of these pages by hand: what each stands in.
 HELD = """
 WITH RECURSIVE n(page, me, above, kind, href) AS (
-  SELECT DISTINCT c_nationkey, 'table', 'page', 'table', NULL FROM customer
-  UNION ALL SELECT DISTINCT c_nationkey, 'list', 'page', 'list', NULL FROM customer
-  UNION ALL SELECT DISTINCT c_nationkey, 'all', 'page', 'link', '/all' FROM customer
-  UNION ALL SELECT c_nationkey, 'cell' || c_custkey, 'table', 'cell', NULL FROM customer
-  UNION ALL SELECT c_nationkey, 'strong' || c_custkey, 'cell' || c_custkey, 'strong', NULL FROM customer
-  UNION ALL SELECT c_nationkey, 'link' || c_custkey, 'strong' || c_custkey, 'link', '/segment/' || c_mktsegment FROM customer
-  UNION ALL SELECT c_nationkey, 'item' || c_custkey, 'list', 'list_item', NULL FROM customer
-  UNION ALL SELECT c_nationkey, 'own' || c_custkey, 'item' || c_custkey, 'link', '/customer/' || c_custkey FROM customer),
+  SELECT DISTINCT conv_id, 'table', 'page', 'table', NULL FROM conversations
+  UNION ALL SELECT DISTINCT conv_id, 'list', 'page', 'list', NULL FROM conversations
+  UNION ALL SELECT DISTINCT conv_id, 'all', 'page', 'link', '/all' FROM conversations
+  UNION ALL SELECT conv_id, 'cell' || turn, 'table', 'cell', NULL FROM conversations
+  UNION ALL SELECT conv_id, 'strong' || turn, 'cell' || turn, 'strong', NULL FROM conversations
+  UNION ALL SELECT conv_id, 'link' || turn, 'strong' || turn, 'link', '/role/' || role FROM conversations
+  UNION ALL SELECT conv_id, 'item' || turn, 'list', 'list_item', NULL FROM conversations
+  UNION ALL SELECT conv_id, 'own' || turn, 'item' || turn, 'link', '/turn/' || turn FROM conversations),
 up(page, me, href, kind, above) AS (
   SELECT page, me, href, kind, above FROM n WHERE kind = 'link'
   UNION ALL SELECT up.page, up.me, up.href, n.kind, n.above FROM up JOIN n ON n.page = up.page AND n.me = up.above)
@@ -99,14 +96,14 @@ def links(rows: DataFrame) -> DataFrame:
 @query(HELD + "SELECT page AS page_id, href, count(*) AS n FROM up WHERE kind = 'cell' GROUP BY ALL")
 def links_in_cells(spark, sf_dir):
     """Links at any depth inside table cells."""
-    rows = nodes.explode_nodes(nodes_of(customer_pages(spark, sf_dir)))
+    rows = nodes.explode_nodes(nodes_of(linked_pages(spark, sf_dir)))
     return nodes.within(links(rows), rows.filter("kind = 'cell'"), how="some").groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
 @query(HELD + ", k AS (SELECT page, me, href, max(CASE WHEN kind IN ('table', 'list') THEN kind END) AS holder FROM up GROUP BY ALL) SELECT page AS page_id, href, coalesce(holder, 'page') AS holder, count(*) AS n FROM k GROUP BY ALL")
 def link_holders(spark, sf_dir):
     """The innermost table or list of each link."""
-    rows = nodes.explode_nodes(nodes_of(customer_pages(spark, sf_dir)))
+    rows = nodes.explode_nodes(nodes_of(linked_pages(spark, sf_dir)))
     blocks = rows.filter("kind IN ('table', 'list')")
     placed = nodes.within(links(rows), blocks, how="nearest").join(blocks.select("page_id", F.col("id").alias("outer_id"), F.col("kind").alias("holder")), ["page_id", "outer_id"], "left")
     return placed.select("page_id", "href", F.coalesce("holder", F.lit("page")).alias("holder")).groupBy("page_id", "href", "holder").agg(F.count("*").alias("n"))
@@ -133,3 +130,56 @@ def code_below_headings(spark, sf_dir):
     quoted = nodes.within(code, rows.filter("kind = 'blockquote'"), how="some").select("page_id", "id", F.lit(True).alias("quoted"))
     placed = placed.select("page_id", "id", "title").join(quoted, ["page_id", "id"], "left")
     return placed.groupBy("page_id", F.col("title").alias("section"), F.coalesce("quoted", F.lit(False)).alias("quoted")).agg(F.count("*").alias("n"))
+
+
+# --- what a push changes ------------------------------------------------------------------------------------
+
+
+def turns_of(spark, sf_dir) -> DataFrame:
+    """(page_id, turns): what was said in each conversation, in order."""
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("page_id"))
+    said = F.regexp_replace(F.trim(F.array_join(lines("text"), " ")), "^$", "-")
+    return turns.agg(F.array_sort(F.collect_list(F.struct("turn", "role", said.alias("said")))).alias("t")).select("page_id", F.transform("t", lambda x: x["said"]).alias("turns"))
+
+
+def edited(turns):
+    """Pages by turns: unchanged, with one paragraph more, without the first, with the last one first."""
+    n = F.size(turns)
+    return (
+        F.when(F.col("page_id") % 4 == 1, F.concat(turns, F.array(F.lit("one more"))))
+        .when(F.col("page_id") % 4 == 2, F.slice(turns, 2, n)).when(F.col("page_id") % 4 == 3, F.concat(F.slice(turns, n, 1), F.slice(turns, 1, n - 1))).otherwise(turns)
+    )
+
+
+#: Turns as one line each, and how many different ones a page has.
+TURNS = """
+WITH t AS (SELECT conv_id AS page_id, CASE WHEN s = '' THEN '-' ELSE s END AS said FROM (SELECT conv_id,
+  trim(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g'))), lambda x: x <> ''), ' ')) AS s FROM conversations)),
+p AS (SELECT page_id, count(*) AS n, count(DISTINCT said) AS d FROM t GROUP BY 1)
+"""
+
+
+@query(TURNS + """SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 4 = 3 AND d = 1 THEN 'none' ELSE 'update' END AS action, (page_id % 4 = 1)::INT AS inserted,
+  (page_id % 4 = 2)::INT AS deleted, (page_id % 4 = 3 AND d > 1)::INT AS moved FROM p""")
+def pushed_blocks(spark, sf_dir):
+    """Blocks that a push of edited Markdown inserts, deletes and moves."""
+    t = turns_of(spark, sf_dir)
+    local = t.select("page_id", each(edited(F.col("turns")), "", "\n\n", fn.escape_markdown).alias("markdown"))
+    remote = t.select("page_id", each("turns", "<p>", "</p>\n", xml).alias("xhtml"), F.lit(1).alias("version"))
+    return publish.block_plan(local, remote).select("page_id", "action", *[F.size(c).alias(c) for c in ("inserted", "deleted", "moved")])
+
+
+@query(TURNS + """SELECT page_id, (page_id % 4 = 1)::INT AS inserted, (page_id % 4 = 2)::INT AS deleted, (page_id % 4 = 3 AND d > 1)::INT AS moved, (page_id % 3 = 0)::INT AS changed, TRUE AS restored
+  FROM p WHERE page_id % 4 IN (1, 2) OR page_id % 4 = 3 AND d > 1 OR page_id % 3 = 0""")
+def patched_pages(spark, sf_dir):
+    """Scripts between two states of each page, and that they make the one the other: turns come, go and move, and in every
+    third page a cell of a table changes."""
+    t = turns_of(spark, sf_dir)
+    table = lambda word: F.concat(F.lit("<table><tbody><tr><td>same</td><td>"), word, F.lit("</td></tr></tbody></table>"))
+    before = t.select("page_id", F.concat(table(F.lit("old")), each("turns", "<p>", "</p>", xml)).alias("xhtml"))
+    after = t.select("page_id", F.concat(table(F.when(F.col("page_id") % 3 == 0, "new").otherwise("old")), each(edited(F.col("turns")), "<p>", "</p>", xml)).alias("xhtml"))
+    steps = stored(publish.edit_scripts(before, after), "scripts")
+    made = steps.join(before, "page_id").select("page_id", fn.patch_page("xhtml", "script")["xhtml"].alias("made"))
+    same = made.join(after.select("page_id", fn.canonical_storage("xhtml")["xhtml"].alias("wanted")), "page_id")
+    same = same.select("page_id", (F.col("made") == F.col("wanted")).alias("restored"))
+    return steps.select("page_id", "inserted", "deleted", "moved", "changed").join(same, "page_id")
