@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import datetime
+import email.utils
 import json
 import logging
 import os
@@ -16,7 +18,6 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..markup.assets import check_name, media_type, name_problem, resolve_page
 from ..markup.convert import canonical, to_markdown, to_storage
@@ -135,6 +136,25 @@ class WikiClient:
     def get_page(self, page_id: str, expand: str = EXPAND) -> dict:
         return self.call("GET", self.content(page_id, f"?expand={urllib.parse.quote(expand)}"))
 
+    def search(self, cql: str, start: int = 0, limit: int = 50, expand: str = "version") -> dict:
+        """Pages found, from a place on: `results` and, of all that there are, `totalSize`."""
+        return self.call("GET", f"{self.api}/content/search?" + urllib.parse.urlencode({"cql": cql, "start": start, "limit": limit, "expand": expand}))
+
+    def find_page(self, space: str, title: str) -> dict | None:
+        """The page of that title."""
+        found = self.call("GET", self.content(None, "?" + urllib.parse.urlencode({"spaceKey": space, "title": title, "expand": EXPAND})))
+        return next(iter(found.get("results", [])), None)
+
+    def now(self) -> datetime.datetime:
+        """The time by the wiki's clock, as far as its answers tell."""
+        request = urllib.request.Request(self.base_url.rstrip("/") + self.content(None, "?limit=1"), None, {"Accept": "application/json"} | self.auth())
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                told = answer.headers.get("Date")
+        except (urllib.error.URLError, TimeoutError, OSError) as ex:
+            raise HTTPError(getattr(ex, "code", -1), request.full_url, str(ex)) from ex
+        return email.utils.parsedate_to_datetime(told) if told else datetime.datetime.now(datetime.timezone.utc)
+
     def create_page(self, space: str, title: str, xhtml: str, parent: str | None = None) -> dict:
         page = {"type": "page", "title": title, "space": {"key": space}, "body": {"storage": {"value": xhtml, "representation": "storage"}}}
         return self.send("POST", self.content(), page | ({"ancestors": [{"id": parent}]} if parent else {}))
@@ -305,6 +325,9 @@ def pull_markdown(client: WikiClient, page_id: str, *, assets: str = "none", ass
 def push_pages(pages: DataFrame, client: WikiClient, **how) -> DataFrame:
     """(page_id, changed, new_version, failed, error) of pages (page_id, markdown), a call for each; errors don't stop others.
 
+    Each action on the frame asks the wiki again; a page that is as wanted is not written again. To write once from a job
+    whose tasks may be repeated, and keep what came of it, use the sink in `sources.wiki`.
+
     how: options of `push_markdown`; files that pages refer to are looked up in `files`, which every executor must
     reach; without it they are in `failed`.
     """
@@ -326,44 +349,8 @@ def push_pages(pages: DataFrame, client: WikiClient, **how) -> DataFrame:
     return pages.select("page_id", "markdown").mapInPandas(run, "page_id string, changed boolean, new_version long, failed array<string>, error string")
 
 
-# --- as a data source ---------------------------------------------------------------------------------------
-
-
-class WikiPages(DataSource):
-    """spark.read.format("wiki_pages").option("base_url", ...).option("token", ...).option("ids", "1,2").load()
-
-    A partition for each `batch` ids (default 50). A page that can't be read has its error in a column.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "wiki_pages"
-
-    def schema(self) -> str:
-        return "page_id string, title string, version int, xhtml string, error string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return WikiReader(self.options)
-
-
-class WikiReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = dict(options)
-
-    def partitions(self) -> list[InputPartition]:
-        ids = [i.strip() for i in self.options.get("ids", "").split(",") if i.strip()]
-        step = int(self.options.get("batch", "50"))
-        return [InputPartition(ids[i : i + step]) for i in range(0, len(ids), step)] or [InputPartition([])]
-
-    def read(self, partition: InputPartition):
-        client = WikiClient(self.options["base_url"], bearer(self.options.get("token", "")), timeout=float(self.options.get("timeout", "30")))
-        for page_id in partition.value:
-            try:
-                p = client.get_page(page_id)
-                yield page_id, p.get("title"), p["version"]["number"], p["body"]["storage"]["value"], None
-            except HTTPError as ex:
-                yield page_id, None, None, None, str(ex)
-
-
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(WikiPages)
+    """Make the data source `wiki_pages` known."""
+    from . import wiki
+
+    wiki.register(spark)
