@@ -88,6 +88,19 @@ def canonical_storage(source: Column | str) -> Column:
     return converter(convert.canonical)(as_column(source))
 
 
+TRACE = pa.struct([("xhtml", pa.string()), ("rules", pa.list_(pa.struct([("rule", pa.string()), ("taken", pa.int64())]))), ("error", pa.string())])
+
+
+def canonical_trace(source: Column | str) -> Column:
+    """(xhtml, rules, error): the canonical form, and the rules that changed the page with the characters each took away."""
+
+    @F.arrow_udf("struct<xhtml:string,rules:array<struct<rule:string,taken:long>>,error:string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([convert.traced(t) for t in texts.to_pylist()], TRACE)
+
+    return run.asNondeterministic()(as_column(source))
+
+
 def normalize_markdown(source: Column | str) -> Column:
     """Markdown read and written again with default options, in `markdown`."""
     return converter(convert.normal_markdown)(as_column(source))

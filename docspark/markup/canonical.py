@@ -360,3 +360,18 @@ def canonical_storage(source: str) -> str:
     for rule in RULES:
         rule(root)
     return "".join([c14n(k) for k in root.elements()])
+
+
+def traced_storage(source: str) -> tuple[str, list[tuple[str, int]]]:
+    """The canonical form, and which rules changed the page: each with the number of characters that it took away (below
+    0 if it added some). Writes the tree after every rule, so it costs more than the form alone."""
+    root = parse_fragment(source)
+    root.kids = joined(root.kids)
+    shown, out = c14n(root), []
+    for rule in RULES:
+        rule(root)
+        now = c14n(root)
+        if now != shown:
+            out.append((rule.__name__, len(shown) - len(now)))
+        shown = now
+    return "".join([c14n(k) for k in root.elements()]), out

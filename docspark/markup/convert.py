@@ -6,7 +6,7 @@ import hashlib
 import re
 
 from . import diff
-from .canonical import canonical_storage
+from .canonical import canonical_storage, traced_storage
 from .jira import parse_jira, render_jira
 from .macros import DEFAULT_MACROS, MacroRegistry
 from .markdown_parse import parse_markdown
@@ -19,7 +19,7 @@ _CDATA = re.compile(r"<!\[CDATA\[.*?\]\]>", re.S)
 _FILE = re.compile(r'ri:filename="([^"]*)"')
 _XHTML_START = re.compile(r"^<(?:\?xml|!DOCTYPE|ac:|ri:)")
 _FIRST_TAG = re.compile(r"^<[^>]*\bxmlns")
-GUESS_WARNING = "input starts with '<' but does not look like Confluence storage format; treated as markdown"
+GUESS_WARNING = "the text begins with '<', but not as a storage page does, and is read as Markdown"
 
 
 def result(**values) -> dict:
@@ -97,6 +97,20 @@ def canonical(source: str) -> dict:
     return result(xhtml=canonical_storage(source))
 
 
+def traced(source: str | None) -> dict:
+    """The canonical form and the rules that made it: xhtml, rules as (rule, taken), error."""
+    none = {"xhtml": None, "rules": None, "error": None}
+    if source is None:
+        return none
+    try:
+        xhtml, rules = traced_storage(source)
+    except MarkupError as ex:
+        return none | {"error": str(ex)}
+    except RecursionError:
+        return none | {"error": "the document is nested too deeply"}
+    return none | {"xhtml": xhtml, "rules": [{"rule": r, "taken": n} for r, n in rules]}
+
+
 @guarded
 def normal_markdown(source: str) -> dict:
     tree, warnings = parse_markdown(source, Options())

@@ -170,9 +170,9 @@ class MarkdownReader:
                 inner, at = self._paired(nodes, at, "span")
                 out.append(Node("color", inner, attrs={"color": color[1].strip()}))
             elif kind:
-                self.warnings.append(f"inline HTML tag <{tag}> dropped — no equivalent in Confluence")
+                self.warnings.append(f"the tag <{tag}> has no form in storage pages and is left out")
             else:
-                self.warnings.append("unmatched inline HTML span dropped")
+                self.warnings.append("an inline tag without its partner is left out")
         return out, at
 
     def link(self, url: str, title: str | None, kids: list[Node]) -> Node:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.converters import block_changes, page_script, storage_blocks, storage_hash, to_markdown
+from ..functions.converters import block_changes, canonical_trace, page_script, storage_blocks, storage_hash, to_markdown
+from ..markup.canonical import RULES
 from ..markup.options import Options
 from .assets import resolve_assets
 
@@ -63,6 +64,16 @@ def edit_scripts(before: DataFrame, after: DataFrame, key: str = "page_id") -> D
     return texts.select(key, page_script("old", "new").alias("s")).select(key, "s.*")
 
 
+def rule_counts(pages: DataFrame, body: str = "xhtml") -> DataFrame:
+    """(rule, pages, taken) for each of the canonical rules, in no order: how many pages it changes, and how many characters
+    it takes away in all. Counts are added up before the shuffle, which moves a row for each rule and task."""
+    spark = pages.sparkSession
+    found = pages.select(F.explode(canonical_trace(body)["rules"]).alias("r")).select("r.*")
+    sums = found.groupBy("rule").agg(F.count(F.lit(1)).alias("pages"), F.sum("taken").alias("taken"))
+    every = spark.createDataFrame([(r.__name__,) for r in RULES], "rule string")
+    return every.join(F.broadcast(sums), "rule", "left").select("rule", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def upload_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     """(page_id, path, basename, upload) for local (page_id, path, size) against remote (page_id, title, file_size).
 

@@ -129,14 +129,14 @@ def test_jira_to_markdown(wiki, markdown):
 
 def test_jira_details():
     r = from_jira("[^f.png] [^d.doc] !i.png|width=3,alt=x! [~u] {panel}\n{panel}")
-    assert r["attachments"] == ["f.png", "d.doc", "i.png"] and r["warnings"] == ["user mention [~u] dropped"]
+    assert r["attachments"] == ["f.png", "d.doc", "i.png"] and r["warnings"] == ["the user u is mentioned, which has no form here and is left out"]
     assert to_jira("# a\n\n### b", promotion="jira")["jira_wiki"] == "h1. a\n\nh3. b\n"
     assert to_jira("### b")["jira_wiki"] == "h2. b\n"
     assert to_jira("## A\n\nx\n\n## B\n\ny", section="B")["jira_wiki"] == "y\n"
     assert to_jira("## A", section="B")["jira_wiki"] is None
     assert to_jira("note: x\n\ny", drop_leading=("^note",))["jira_wiki"] == "y\n"
     assert to_jira("```ts\nx\n```", languages={"ts": "javascript"})["jira_wiki"].startswith("{code:javascript}")
-    assert to_jira(KEPT[1])["warnings"] == ["<opaque>x1 will be dropped"]
+    assert to_jira(KEPT[1])["warnings"] == ["left out: 1 of <opaque>"]
 
 
 @pytest.mark.parametrize("wiki", ["h1. a\n\ntext *b*\n\n* x\n*# y\n\n|a|b|", "{quote}\na\n\nb\n{quote}\n----\nbq. c", "{info:title=t}\nx\n{info}"])
