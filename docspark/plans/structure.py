@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import nodes, publish
 from ..sources.folders import stored
+from ..streaming import history
 from .pages import each, lines, read, xml
 from .queries import query
 
@@ -183,3 +184,34 @@ def patched_pages(spark, sf_dir):
     same = made.join(after.select("page_id", fn.canonical_storage("xhtml")["xhtml"].alias("wanted")), "page_id")
     same = same.select("page_id", (F.col("made") == F.col("wanted")).alias("restored"))
     return steps.select("page_id", "inserted", "deleted", "moved", "changed").join(same, "page_id")
+
+
+# --- versions of pages over time ----------------------------------------------------------------------------
+
+#: State that a page is in after each turn, and minutes between versions.
+STATES, PAUSES = [0, 1, 1, 0, 2], [10, 40, 10]
+
+
+def versions_of(spark, sf_dir) -> DataFrame:
+    """A page for each conversation and a version for each turn; what was said stands in an attribute that does not count."""
+    t = read(spark, sf_dir, "conversations")
+    state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("turn") % 5 + 1).cast("int")).cast("string")
+    minutes = F.col("turn") * 10 + F.floor(F.col("turn") / 3) * 30 + F.col("conv_id") % 1000
+    body = F.concat(F.lit('<p data-uuid="'), F.replace(xml(F.array_join(lines("text"), " ")), F.lit('"'), F.lit("&quot;")), F.lit('">'), state, F.lit("</p>"))
+    found = t.select(F.col("conv_id").alias("page_id"), F.timestamp_seconds(F.lit(1704067200) + minutes * 60).alias("ts"), body.alias("xhtml"))
+    # time goes on, so that all sessions end
+    return found.unionAll(spark.createDataFrame([(-1, "<p/>")], "page_id long, xhtml string").select("page_id", F.timestamp_seconds(F.lit(1893456000)).alias("ts"), "xhtml"))
+
+
+@query("""
+WITH v AS (SELECT conv_id AS page_id, turn, turn * 10 + turn // 3 * 30 AS m, [0, 1, 1, 0, 2][turn % 5 + 1] AS s FROM conversations),
+w AS (SELECT *, lag(s) OVER p AS before, row_number() OVER (PARTITION BY page_id, s ORDER BY turn) AS k FROM v WINDOW p AS (PARTITION BY page_id ORDER BY turn)),
+e AS (SELECT *, CASE WHEN before IS NULL THEN 'new' WHEN before = s THEN 'repeat' WHEN k > 1 THEN 'revert' ELSE 'edit' END AS event FROM w),
+g AS (SELECT *, coalesce(m - lag(m) OVER (PARTITION BY page_id ORDER BY turn) >= 30, TRUE) AS opens FROM e WHERE event <> 'repeat')
+SELECT page_id, event, count(*) AS n, NULL::BIGINT AS edits FROM e GROUP BY ALL
+UNION ALL SELECT page_id, 'session', count(*) FILTER (opens), count(*) FROM g GROUP BY ALL
+""")
+def page_history(spark, sf_dir):
+    """What each version is to its page, and sessions of edits, by keyed state over a stream of the versions."""
+    rows = history.events_of(spark, versions_of(spark, sf_dir)).filter("page_id >= 0")
+    return rows.groupBy("page_id", "event").agg(F.count(F.lit(1)).alias("n"), F.sum("edits").alias("edits"))
