@@ -11,93 +11,117 @@ from pyspark.sql import functions as F
 
 from .common import fresh, mix64, release, small_batches, table
 
-DIMENSIONS, SIGNS, ORDER, SEED = 1024, 64, 3, 10
+DIMENSIONS, ORDER, SEED = 1024, 3, 10
 UNKNOWN = "und"
-_SIZE = SIGNS**ORDER
+_LETTER = 21  # bits of a code point
+_WORDS = DIMENSIONS // 64
+#: Letters below this have their vectors in a table; others' are made as they come.
+PLAIN = 0x250
+#: Trigrams of a language that a task counts together.
+SETTLE = 500_000
 
 
 @cache
-def signs_of_letters() -> np.ndarray:
-    """Sign of every code point: 0 for what is no letter, 1 to 26 for a to z, else one of the others by a hash."""
-    out = np.zeros(0x110000, np.uint8)
+def letters_of_code_points() -> np.ndarray:
+    """The lower-cased letter of every code point, 0 for what is no letter."""
+    out = np.zeros(0x110000, np.uint32)
     for code in range(0x110000):
         char = chr(code)
         if char.isalpha():
-            low = ord(char.lower()[0])
-            out[code] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 7) % (SIGNS - 27)
+            out[code] = ord(char.lower()[0])
     return out
 
 
-@cache
-def sign_vectors() -> np.ndarray:
-    """A random vector of +1 and -1 for each sign; the gap between words has one as well."""
-    raw = mix64(np.arange(SIGNS * DIMENSIONS // 64, dtype=np.uint64) + np.uint64(SEED << 32))
-    bits = np.unpackbits(raw.view(np.uint8)).reshape(SIGNS, DIMENSIONS)
-    return (bits.astype(np.int8) * 2 - 1).astype(np.int8)
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """A random vector of +1 and -1 for each letter, from a hash of its code point; 0, the gap between words, has one too."""
+    place = letters.astype(np.uint64)[:, None] * np.uint64(_WORDS) + np.arange(_WORDS, dtype=np.uint64)
+    bits = np.unpackbits(mix64(place + np.uint64(SEED << 32)).astype("<u8").view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
 
 
-@cache
-def permuted() -> tuple[np.ndarray, ...]:
+def permuted(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter vectors by place in the trigram: the first is permuted twice, the second once."""
-    v = sign_vectors()
+    v = letter_vectors(letters)
     return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
 
 
+@cache
+def plain_letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return permuted(np.arange(PLAIN))
+
+
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     """Permuted letter vectors of each trigram, bound by multiplication."""
-    a, b, c = permuted()
-    return a[codes // (SIGNS * SIGNS)] * b[codes // SIGNS % SIGNS] * c[codes % SIGNS]
+    mask = (1 << _LETTER) - 1
+    letters = np.stack([codes >> 2 * _LETTER, codes >> _LETTER & mask, codes & mask])
+    if letters.max(initial=0) < PLAIN:
+        a, b, c = plain_letters()
+    else:
+        distinct, letters = np.unique(letters, return_inverse=True)
+        letters = letters.reshape(3, -1)
+        a, b, c = permuted(distinct)
+    return a[letters[0]] * b[letters[1]] * c[letters[2]]
 
 
 def trigrams(text: str) -> np.ndarray:
     """Codes of all trigrams of letters; what stands between words counts as one gap. Empty without letters."""
-    sign = signs_of_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    if not sign.any():
-        return np.empty(0, np.int32)
-    sign = np.concatenate([[0], sign, [0]]).astype(np.int32)
-    sign = sign[(sign != 0) | np.concatenate([[True], sign[1:] != sign[:-1]])]
-    return sign[:-2] * (SIGNS * SIGNS) + sign[1:-1] * SIGNS + sign[2:]
+    letter = letters_of_code_points()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    if not letter.any():
+        return np.empty(0, np.int64)
+    letter = np.concatenate([[0], letter, [0]]).astype(np.int64)
+    letter = letter[(letter != 0) | np.concatenate([[True], letter[1:] != letter[:-1]])]
+    return letter[:-2] << 2 * _LETTER | letter[1:-1] << _LETTER | letter[2:]
+
+
+def _weighed(n: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Vectors by their counts, added up without rounding: sums of whole numbers below 2^24, or else 2^53, are exact."""
+    kind = np.float32 if n.sum() < 1 << 24 else np.float64
+    return (n.astype(kind) @ vectors.astype(kind)).astype(np.int64)
+
+
+def bundle(codes: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of all trigrams, as whole numbers."""
+    distinct, n = np.unique(codes, return_counts=True)
+    total = np.zeros(DIMENSIONS, np.int64)
+    for at in range(0, len(distinct), 2048):
+        total += _weighed(n[at : at + 2048], trigram_vectors(distinct[at : at + 2048]))
+    return total
 
 
 def profiles(labelled: DataFrame) -> dict[str, np.ndarray]:
     """A unit prototype for each language from (text, lang) rows, all of them.
 
-    A prototype bundles the trigram vectors of all its documents. Trigram counts add up over documents, so a task
-    sends at most one row for each language and trigram, and the driver gets that bounded table, never documents.
+    A prototype bundles the trigram vectors of all its documents. Bundles are whole numbers and add up in any order, so a
+    task sends one of them for each language that it met, and the driver gets DIMENSIONS numbers a language, never
+    documents or trigrams.
     """
 
-    def count(batches):
+    def add_up(batches):
         kept: dict[str, np.ndarray] = {}
         waiting: dict[str, list[np.ndarray]] = {}
 
         def settle(lang):
             if pieces := waiting.pop(lang, None):
-                kept[lang] = kept.get(lang, 0) + np.bincount(np.concatenate(pieces), minlength=_SIZE)
+                kept[lang] = kept.get(lang, 0) + bundle(np.concatenate(pieces))
 
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 codes = trigrams(text.as_py() or "")
                 if len(codes):
                     waiting.setdefault(lang, []).append(codes)
-                    if sum(map(len, waiting[lang])) > 500_000 or len(waiting[lang]) > 500:
+                    if sum(map(len, waiting[lang])) > SETTLE or len(waiting[lang]) > 500:
                         settle(lang)
         for lang in list(waiting):
             settle(lang)
-        for lang, counts in kept.items():
-            at = np.flatnonzero(counts)
-            yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "code": pa.array(at.astype(np.int32)), "n": pa.array(counts[at])})
+        for lang, total in kept.items():
+            yield pa.record_batch({"lang": pa.array([lang] * DIMENSIONS, pa.string()), "at": pa.array(np.arange(DIMENSIONS, dtype=np.int32)), "n": pa.array(total)})
         release()
 
     rows = small_batches(labelled).select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(add_up, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).orderBy("lang", "at").toArrow()
     out = {}
     for lang in sorted(set(found["lang"].to_pylist())):
-        part = found.filter(pa.compute.equal(found["lang"], lang))
-        codes, n = part["code"].to_numpy(), part["n"].to_numpy().astype(np.float64)
-        total = np.zeros(DIMENSIONS)
-        order = np.argsort(codes)
-        for piece in np.array_split(order, max(1, len(order) // 4096)):
-            total += n[piece] @ trigram_vectors(codes[piece]).astype(np.float64)
+        total = found.filter(pa.compute.equal(found["lang"], lang))["n"].to_numpy().astype(np.float64)
         if length := np.linalg.norm(total):
             out[lang] = (total / length).astype(np.float32)
     return out
@@ -123,11 +147,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: tuple[
             codes = trigrams(text.as_py() or "")
             lang, score = UNKNOWN, 0.0
             if len(codes) and names:
-                distinct, n = np.unique(codes, return_counts=True)
-                bundle = np.zeros(DIMENSIONS, np.float32)
-                for at in range(0, len(distinct), 2048):
-                    bundle += n[at : at + 2048].astype(np.float32) @ trigram_vectors(distinct[at : at + 2048]).astype(np.float32)
-                cosine = known @ bundle / max(float(np.linalg.norm(bundle)), 1e-12)
+                own = bundle(codes).astype(np.float32)
+                cosine = known @ own / max(float(np.linalg.norm(own)), 1e-12)
                 best = int(np.argmax(cosine))
                 lang, score = names[best], min(1.0, max(0.0, float(cosine[best])))
             langs.append(lang)

@@ -684,21 +684,60 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows]) > 0.97
 
 
+def plain_vector(letter):
+    """The vector of a letter by whole numbers of any size: bits of scrambled code points."""
+    out = []
+    for word in range(16):
+        x, full = letter * 16 + word + (10 << 32), (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        x ^= x >> 31
+        out += [1 if x >> 8 * byte + 7 - bit & 1 else -1 for byte in range(8) for bit in range(8)]
+    return np.array(out, np.int64)
+
+
+def test_every_letter_has_a_vector_of_its_own():
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "的一是不了人我在有他", "abcdefghijklmnopqrstuvwxyz"]
+    letters = [ord(c) for c in "".join(alphabets)]
+    found = language.letter_vectors(np.array(letters))
+    assert len(np.unique(found, axis=0)) == len(letters)
+    assert all((v == plain_vector(c)).all() for v, c in zip(found, letters, strict=True))
+    likeness = found.astype(int) @ found.T.astype(int) - 1024 * np.eye(len(letters), dtype=int)
+    assert np.abs(likeness).max() < 200  # as of independent vectors
+    assert language.trigrams("Я").tolist() == language.trigrams("я").tolist() != language.trigrams("ю").tolist()
+
+
+def test_languages_in_one_script_are_told_apart(spark):
+    r = np.random.default_rng(3)
+    alphabet = list("абвгдежзийклмнопрстуфхцчшщъыьэюя")
+    weights = {lang: r.dirichlet(np.full(32, 0.5)) for lang in ("one", "two", "three")}
+    rows = [(i, " ".join("".join(r.choice(alphabet, 6, p=weights[lang])) for _ in range(40)), lang) for i in range(60) for lang in weights]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.profiles(frame.filter("doc_id < 30"))
+    assert all(x.lang == x.lang_pred for x in language.identify(frame.filter("doc_id >= 30"), known).collect())
+
+
 def test_language_equals_plain_bundles(spark, docs):
     """Each trigram of each document bound and added by itself, with dictionaries for the prototypes."""
     rows = [(r.doc_id, r.text, r.lang) for r in docs.orderBy("doc_id").limit(60).collect()]
-    sign, vector = language.signs_of_letters(), language.sign_vectors().astype(np.int64)
+    rows += [(1000, "Привет мир, как дела", "ru"), (1001, "\u4e2d\u6587 abc", "zh"), (1002, "ΩΣ ως", None), (1003, "как мир", None)]
+    vectors = {}
+
+    def vector(letter):
+        if letter not in vectors:
+            vectors[letter] = plain_vector(letter)
+        return vectors[letter]
 
     def bundle(text):
         letters, total = [0], np.zeros(language.DIMENSIONS, np.int64)
         for c in text:
-            s = int(sign[ord(c)])
+            s = ord(c.lower()[0]) if c.isalpha() else 0
             if s or letters[-1]:
                 letters.append(s)
         letters += [0] if letters[-1] else []
         for i in range(len(letters) - 2):
             a, b, c = letters[i : i + 3]
-            total += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+            total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
         return total
 
     bundles = {i: bundle(t or "") for i, t, _ in rows}
