@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.native import MARKER, asset_markers, asset_pattern, attachment_files, data_uri, filename_problem
-from ..markup.assets import safe_path
+from ..markup.assets import name_problem, safe_path
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -90,6 +92,67 @@ def write_assets(assets: DataFrame, folder: str, *, strict: bool = True) -> None
             if path is None:
                 continue
             path.parent.mkdir(parents=True, exist_ok=True)
-            path.write_bytes(r["bytes"])
+            part = path.with_name(f".{uuid.uuid4().hex}")  # seen by nobody until it is whole
+            part.write_bytes(r["bytes"])
+            part.replace(path)
 
     assets.select("page_id", "filename", "bytes").foreachPartition(save)
+
+
+# --- files by content ---------------------------------------------------------------------------------------
+
+MANIFEST = "page_id string, filename string, sha256 string, size long, error string"
+
+
+def store_assets(assets: DataFrame, folder: str) -> DataFrame:
+    """Keeps the files (page_id, filename, bytes) below a folder, each content once, and gives the new manifest.
+
+    Contents are `objects/ab/abcd...` by their SHA-256. A file is written under another name and then moved, so that a lost
+    task leaves no torn object, and a repeated one finds it there; equal bytes need no shuffle to be stored once. The manifest
+    (page_id, filename, sha256, size, error) is written by Spark as `manifests/<id>` after all objects and lists what counts;
+    names that are unsafe to write to and files without bytes have an error there and no object. folder: any address that Arrow can
+    open and that all executors share.
+    """
+    spark = assets.sparkSession
+    place = f"{folder.rstrip('/')}/manifests/{uuid.uuid4().hex}"
+
+    def save(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, home = fs.FileSystem.from_uri(folder)
+        home = home.rstrip("/")
+        for b in batches:
+            out = []
+            for page, name, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                problem = "no name" if name is None else "no bytes" if data is None else name_problem(name)
+                if problem:
+                    out.append((page, name, None, None, problem))
+                    continue
+                sha = hashlib.sha256(data).hexdigest()
+                path = f"{home}/objects/{sha[:2]}/{sha}"
+                if files.get_file_info(path).type == fs.FileType.NotFound:
+                    files.create_dir(f"{home}/objects/{sha[:2]}", recursive=True)
+                    part = f"{home}/objects/{sha[:2]}/.{uuid.uuid4().hex}"
+                    with files.open_output_stream(part) as f:
+                        f.write(data)
+                    files.move(part, path)
+                out.append((page, name, sha, len(data), None))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["page_id", "filename", "sha256", "size", "error"])
+
+    rows = assets.select(F.col("page_id").cast("string").alias("page_id"), "filename", "bytes")
+    rows.mapInArrow(save, MANIFEST).write.parquet(place)
+    return spark.read.schema(MANIFEST).parquet(place)
+
+
+def stored_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """(sha256, size, bytes) of the objects of a store; the empty one is none, as Spark reads no empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder.rstrip('/')}/objects")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("sha256"), F.col("length").alias("size"), F.col("content").alias("bytes"))
+
+
+def read_stored(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """(page_id, filename, bytes) of a manifest's files, by hash; bytes are null if the object is gone."""
+    named = manifest.filter("sha256 IS NOT NULL").join(stored_objects(spark, folder).select("sha256", "bytes"), "sha256", "left")
+    return named.select("page_id", "filename", F.when(F.col("size") == 0, F.lit(b"")).otherwise(F.col("bytes")).alias("bytes"))
