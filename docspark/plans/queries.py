@@ -352,4 +352,4 @@ def streamed_to_storage(spark, sf_dir):
     return convert_stream(spark, markdown_pages(spark, sf_dir), "markdown", lambda c: fn.to_storage(c, nodes=False)["xhtml"], "xhtml")
 
 
-from . import blocks, graph, rules, structure  # noqa: E402, F401  (register more queries)
+from . import blocks, graph, marks, rules, structure  # noqa: E402, F401  (register more queries)
