@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..functions.blocks import register as register_blocks
 from .pages import lines, read, wiki_literal, xml
 from .queries import MD, WIKI, XML, M, query
 
@@ -87,3 +88,17 @@ def inline_labels(spark, sf_dir):
     pages = said_pages(spark, sf_dir).select("page_id", F.array_join(F.transform("t", one), "").alias("xhtml"))
     found = pages.select("page_id", fn.to_markdown("xhtml", nodes=False)["markdown"].alias("markdown"))
     return found.select("page_id", F.explode(fn.inline_fragments("markdown")).alias("f")).select("page_id", "f.label").groupBy("page_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Nodes that a turn of the Markdown pages above gives.
+NODES = {"blockquote": 1, "paragraph": 2, "code_block": 1, "hr": 1, "link": 1, "image": 1, "code": 1}
+
+
+@query("SELECT conv_id AS page_id, kind, k * count(*) AS n FROM conversations, (VALUES " + ", ".join(f"('{kind}', {n})" for kind, n in NODES.items()) + ") AS v(kind, k) GROUP BY conv_id, kind, k")
+def lateral_blocks(spark, sf_dir):
+    """Blocks of each page by a table function that gives them one by one; text and breaks are left out of the counts."""
+    register_blocks(spark)
+    one = lambda x: F.concat(F.lit("> "), fn.escape_markdown(x["said"]), F.lit("\n\n    "), x["said"], F.lit("\n\n***\n\n[a][1] ![i][p] ``b`c``\n\n"))
+    said_pages(spark, sf_dir).select("page_id", F.concat(F.array_join(F.transform("t", one), ""), F.lit(ENDS)).alias("markdown")).createOrReplaceTempView("docspark_lateral_pages")
+    rows = spark.sql("SELECT p.page_id, b.kind FROM docspark_lateral_pages AS p, LATERAL parse_blocks(p.markdown, 'markdown') AS b WHERE b.kind NOT IN ('text', 'softbreak')")
+    return rows.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
