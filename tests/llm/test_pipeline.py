@@ -1,11 +1,15 @@
 """The pipeline's stages, each on what the stage before kept."""
 
 import collections
+import math
+import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
-from docspark.llm import minhash, secrets
+import test_operators as plain
+from docspark.llm import minhash, secrets, tokens
 from pyspark.sql import functions as F
 
 
@@ -104,3 +108,111 @@ def test_run_and_empty_tables(spark, sf_dir, stages, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == stages["pack_sequences"][1].count()
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_language(rows):
+    """doc_ids that stay, by trigrams bound and added one by one, with plain medians; and those too near a limit to tell."""
+    vectors = {}
+
+    def vector(letter):
+        if letter not in vectors:
+            vectors[letter] = plain.plain_vector(letter)
+        return vectors[letter]
+
+    def bundle(text):
+        letters = [0]
+        for c in text:
+            s = ord(c.lower()[0]) if c.isalpha() else 0
+            if s or letters[-1]:
+                letters.append(s)
+        letters += [0] if letters[-1] else []
+        count = collections.Counter(zip(letters, letters[1:], letters[2:], strict=False)) if any(letters) else {}
+        total = np.zeros(1024, np.int64)
+        for (a, b, c), n in count.items():
+            total += n * (np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c))
+        return total, sum(count.values())
+
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _, _ in rows}
+    bundles = {i: bundle(t or "") for i, t, _, _ in rows}
+    sums = collections.defaultdict(lambda: np.zeros(1024, np.int64))
+    for i, _, lang, _ in rows:
+        if not held[i] and lang is not None:
+            sums[lang] += bundles[i][0]
+    found = {}
+    for i, (b, n) in bundles.items():
+        if n:
+            cosine = {lang: float(b @ s / np.linalg.norm(b) / np.linalg.norm(s)) for lang, s in sums.items()}
+            best = max(sorted(cosine), key=cosine.get)
+            found[i] = best, max(0.0, cosine[best]), n
+    classes = collections.defaultdict(list)
+    for i, _, lang, _ in rows:
+        if held[i] and i in found and found[i][0] == lang:
+            classes[math.ceil(math.log2(found[i][2] + 1))].append(found[i][1])
+    least = {c: 0.2 * sorted(s)[math.ceil(len(s) / 2) - 1] for c, s in classes.items() if len(s) >= 5 and 1 << (c - 1) >= 64}
+    stay, unsure = set(), set()
+    for i, (_, score, n) in found.items():
+        own = [c for c in least if c <= math.ceil(math.log2(n + 1))]
+        limit = least[max(own)] if own else 0.0
+        if abs(score - limit) < 1e-4 and limit:
+            unsure.add(i)
+        elif score >= limit:
+            stay.add(i)
+    return stay, unsure
+
+
+def plain_redaction(text):
+    spans = plain.base_spans(text)
+    for m in re.finditer(r"(?:gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])", text):
+        if secrets.checksum62(m[1]) == m[2]:
+            spans.append(("token", *m.span()))
+    cover = np.zeros(len(text) + 1, bool)
+    starts = {a for _, a, _ in spans}
+    for _, a, b in spans:
+        cover[a:b] = True
+    out, i = [], 0
+    while i < len(text):
+        if cover[i]:
+            out.append("[SECRET]")
+            i += 1
+            while cover[i] and not (i in starts and not any(a < i < b for _, a, b in spans)):
+                i += 1
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def test_run_equals_a_plain_program(spark, sf_dir):
+    """The whole run against plain loops over the same documents: who stays, what their texts become, how much of each
+    source is taken, and every id of every copy."""
+    from tokenizers import Tokenizer
+
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    stay, unsure = plain_language(rows)
+    assert not unsure
+    texts = {i: t for i, t, _, _ in rows if i in stay}
+    classes = plain.classes_by_brute_force(texts)
+    kept = {i: plain_redaction(texts[i]) for i in set(classes.values())}
+    source = {i: s for i, _, _, s in rows}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in kept.items()}
+    sizes = collections.Counter()
+    for i, n in size.items():
+        sizes[source[i]] += n
+    wanted = plain.targets_by_sharing(sizes)
+    tokenizer = Tokenizer.from_file(tokens.vocabulary_path(tokens.VOCABULARY))
+    cover = {}
+    sequences = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        ids = [*tokenizer.encode(kept[r.doc_id], add_special_tokens=False).ids, 1]
+        assert list(r.ids) == ids[r.start : r.start + r.length] and len(r.ids) == r.length and r.doc_tokens == len(ids)
+        cover.setdefault(r.doc_id, np.zeros(len(ids), int))[r.start : r.start + r.length] += 1
+        sequences[r.sequence_id].append((r.offset, r.length))
+    copies = {i: int(c[0]) for i, c in cover.items()}
+    assert all((c == copies[i]).all() and 1 <= copies[i] <= 2 for i, c in cover.items())
+    taken = collections.Counter()
+    for i, n in copies.items():
+        taken[source[i]] += n * size[i]
+    assert all(abs(taken[s] - want) <= max(2, 0.01 * want) for s, want in wanted.items())
+    for parts in sequences.values():
+        ends = np.cumsum([0, *[n for _, n in sorted(parts)]])
+        assert [at for at, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 2048
