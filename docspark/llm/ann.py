@@ -15,6 +15,8 @@ from .common import cut, release, small_batches, table
 
 K, EVERY = 20, 20
 SHARD_ROWS, QUERY_BLOCK, DEALT = 20_000, 2048, 20_000
+#: Queries that meet a shard's graph in one task; the graph is sent once for so many.
+STRIPE = 1 << 16
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX, STEP, SEED_NODES = 32, 64, 160, 1.2, 4, 256
 
 
@@ -155,10 +157,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     no rows. Equal vectors are one node, which keeps the k + 1 smallest ids: no query can need more of them.
 
     Vectors are dealt into shards by a hash of their bytes, so that copies meet, and a graph is built for each.
-    Blocks of queries meet each shard once.
+    Blocks of queries meet each shard once, about STRIPE queries in a task, to which the graph is sent once.
     """
     count = small_batches(vectors).count()
     shards = max(1, math.ceil(count / SHARD_ROWS))
+    stripes = max(1, math.ceil(queries.count() / STRIPE))
     double = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
     kind = np.float64 if double else np.float32
 
@@ -199,6 +202,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pa.Table.from_pylist([row], schema=graph_schema)
 
     def block(batches):
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId()
         for b in batches:
             found: dict[int, list] = {}
             for i, v in zip(b.column(0).to_pylist(), usable(b.column(1)), strict=True):
@@ -207,38 +213,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             for dim, rows in found.items():
                 for at in range(0, len(rows), QUERY_BLOCK):
                     part = rows[at : at + QUERY_BLOCK]
-                    yield pa.record_batch({"dim": pa.array([dim], pa.int32()), "query_ids": pa.array([[i for i, _ in part]], pa.list_(pa.int64())), "queries": pa.array([b"".join(v.tobytes() for _, v in part)], pa.binary())})
+                    made += 1
+                    yield pa.record_batch({"dim": pa.array([dim], pa.int32()), "stripe": pa.array([made % stripes], pa.int32()), "query_ids": pa.array([[i for i, _ in part]], pa.list_(pa.int64())), "queries": pa.array([b"".join(v.tobytes() for _, v in part)], pa.binary())})
 
-    def search(batches):
-        held = None  # the shard of the rows before
-        for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                if held != (dim, r["shard"]):
-                    held = (dim, r["shard"])
-                    x = np.frombuffer(r["vecs"], kind).reshape(-1, dim)
-                    graph, wide = Graph(x, np.frombuffer(r["links"], np.int32).reshape(len(x), -1), r["start"]), x.astype(np.float64)
-                q = np.frombuffer(r["queries"], kind).reshape(-1, dim)
-                out = ([], [], [])
-                for at in range(0, len(q), 256):
-                    some = q[at : at + 256]
-                    lifted = np.concatenate([some, np.zeros((len(some), 1), some.dtype)], axis=1).astype(np.float32)
-                    ids, _ = graph.search(lifted, max(SEARCH_BEAM, 2 * k))
-                    for query, vector, near in zip(r["query_ids"][at : at + 256], some.astype(np.float64), ids, strict=True):
-                        near = near[near >= 0][: 2 * k]
-                        score = np.cumsum(wide[near] * vector, axis=1)[:, -1]  # added up in order
-                        best = sorted((-s, i) for s, n in zip(score.tolist(), near.tolist(), strict=True) for i in r["ids"][n] if i != query)[:k]
-                        out[0].extend([query] * len(best))
-                        out[1].extend(i for _, i in best)
-                        out[2].extend(-s for s, _ in best)
-                yield pa.record_batch({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+    found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def search(shard: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not (shard.num_rows and blocks.num_rows):
+            return found_schema.empty_table()
+        (s,) = shard.to_pylist()
+        x = np.frombuffer(s["vecs"], kind).reshape(-1, s["dim"])
+        graph, wide = Graph(x, np.frombuffer(s["links"], np.int32).reshape(len(x), -1), s["start"]), x.astype(np.float64)
+        out = []
+        for query_ids, data in zip(blocks["query_ids"].to_pylist(), blocks["queries"].to_pylist(), strict=True):
+            q = np.frombuffer(data, kind).reshape(-1, s["dim"])
+            columns = ([], [], [])
+            for at in range(0, len(q), 256):
+                some = q[at : at + 256]
+                lifted = np.concatenate([some, np.zeros((len(some), 1), some.dtype)], axis=1).astype(np.float32)
+                ids, _ = graph.search(lifted, max(SEARCH_BEAM, 2 * k))
+                for query, vector, near in zip(query_ids[at : at + 256], some.astype(np.float64), ids, strict=True):
+                    near = near[near >= 0][: 2 * k]
+                    score = np.cumsum(wide[near] * vector, axis=1)[:, -1]  # added up in order
+                    best = sorted((-v, i) for v, n in zip(score.tolist(), near.tolist(), strict=True) for i in s["ids"][n] if i != query)[:k]
+                    columns[0].extend([query] * len(best))
+                    columns[1].extend(i for _, i in best)
+                    columns[2].extend(-v for v, _ in best)
+            out.append(pa.table(list(columns), schema=found_schema))
+        return pa.concat_tables(out)
 
     parts = max(shards, 1)
     dealt = vectors.select("vec_id", "embedding").mapInArrow(deal, "dim int, shard int, vec_id long, vec binary")
     graphs = cut(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, vecs binary, links binary, start int, ids array<array<long>>"))
-    blocks = queries.select("vec_id", "embedding").mapInArrow(block, "dim int, query_ids array<long>, queries binary")
+    blocks = queries.select("vec_id", "embedding").mapInArrow(block, "dim int, stripe int, query_ids array<long>, queries binary")
     blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = blocks.join(graphs, ["dim", "shard"]).mapInArrow(search, "query_id long, vec_id long, score double")
+    every = graphs.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    keys = ("dim", "shard", "stripe")
+    met = every.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
     best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -206,3 +206,20 @@ def test_intervals_drop_candidates_and_no_result():
         a, b, score = negatives.products(anchors, negatives.Planes(rows, kind), np.ones(exact.shape, bool), keep)
         assert (score == exact[a, b]).all() and set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(exact >= 60_000)), strict=True))
         assert left[0] == exact.size and left[-1] < exact.size / 10
+
+
+# --- 8: stripes of queries ----------------------------------------------------------------------------------
+
+
+def test_neighbours_do_not_depend_on_stripes(spark, monkeypatch):
+    from docspark.llm import ann
+
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=8 if i % 3 else 5).astype(float).tolist()) for i in range(700)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = frame.filter("vec_id % 5 = 0")
+    monkeypatch.setattr(ann, "SHARD_ROWS", 150)
+    want = sorted(map(tuple, ann.nearest(frame, asked, 4).collect()))
+    monkeypatch.setattr(ann, "STRIPE", 20)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, ann.nearest(frame, asked, 4).collect())) == want
