@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..functions.blocks import register as register_blocks
+from ..markup.macros import DEFAULT_MACROS, Macro
+from ..markup.tree import Node
+from ..markup.xml import Element
 from .pages import lines, read, wiki_literal, xml
 from .queries import MD, WIKI, XML, M, query
 
@@ -102,3 +105,27 @@ def lateral_blocks(spark, sf_dir):
     said_pages(spark, sf_dir).select("page_id", F.concat(F.array_join(F.transform("t", one), ""), F.lit(ENDS)).alias("markdown")).createOrReplaceTempView("docspark_lateral_pages")
     rows = spark.sql("SELECT p.page_id, b.kind FROM docspark_lateral_pages AS p, LATERAL parse_blocks(p.markdown, 'markdown') AS b WHERE b.kind NOT IN ('text', 'softbreak')")
     return rows.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- macros with code of their own --------------------------------------------------------------------------
+
+
+def read_status(el, blocks):
+    """A status macro of storage pages: its words as blocks, and that it was read."""
+    body = next((k for k in el.elements() if k.local == "rich-text-body"), None)
+    return None if body is None else Node("directive", blocks(body.kids), attrs={"name": "status", "has_body": "true"}, params=[("state", "read")])
+
+
+def write_status(node, blocks):
+    return Element("ac:structured-macro", {"ac:name": "status", "state": dict(node.params)["state"]}, blocks(node.kids))
+
+
+@query(SAID + f"""SELECT page_id, string_agg('::: status state="read"' || chr(10) || {T_MD} || chr(10) || ':::' || chr(10), chr(10) ORDER BY turn) AS markdown,
+  string_agg('<ac:structured-macro ac:name="status" state="read"><p>' || {T_XML} || '</p></ac:structured-macro>', '' ORDER BY turn) AS xhtml FROM d GROUP BY 1""")
+def own_macros(spark, sf_dir):
+    """A macro with code of its own, from storage pages to Markdown and back."""
+    macros = DEFAULT_MACROS.with_macro(Macro("status", "status", read=read_status, write=write_status))
+    one = lambda x: F.concat(F.lit('<ac:structured-macro ac:name="status"><ac:rich-text-body><p>'), xml(x["said"]), F.lit("</p></ac:rich-text-body></ac:structured-macro>"))
+    pages = said_pages(spark, sf_dir).select("page_id", F.array_join(F.transform("t", one), "").alias("page"))
+    there = pages.select("page_id", fn.to_markdown("page", macros=macros, nodes=False)["markdown"].alias("markdown"))
+    return there.select("page_id", fn.strip_notice("markdown").alias("markdown"), fn.to_storage("markdown", macros=macros, nodes=False)["xhtml"].alias("xhtml"))
