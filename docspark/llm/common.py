@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import math
+import itertools
 import tempfile
 from collections.abc import Iterator
 
@@ -206,38 +206,140 @@ def rolling_hash(tokens: np.ndarray, length: int) -> np.ndarray:
 
 # --- groups of documents, dealt by ranges of doc_id ---------------------------------------------------------
 
+PART_BITS = 16
 
-def doc_bounds(docs: DataFrame, least_groups: int = 1) -> list[int]:
-    """Largest doc_id of each range of about GROUP_BYTES of text, ascending; every bound is an id that occurs.
 
-    One aggregate over the table; the driver receives one number for each range, as one for each partition.
-    """
-    size = docs.select(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.max("doc_id").alias("top")).first()
-    if not size["n"]:
-        return []
-    n = int(min(size["n"], max(least_groups, math.ceil((size["b"] or 0) / GROUP_BYTES))))
-    if n <= 1:
-        return [size["top"]]
-    parts = [i / n for i in range(1, n)]
-    found = docs.select(F.percentile_approx("doc_id", parts, max(10_000, 20 * n)).alias("q")).first()["q"]
-    return sorted({int(x) for x in found if x is not None} | {int(size["top"])})
-
-
-def group_of(ids: np.ndarray, is_null: np.ndarray, bounds: list[int]) -> np.ndarray:
-    """Group number of each id; null ids come first of all."""
-    g = np.searchsorted(np.asarray(bounds, np.int64), ids, side="left")
-    return np.where(is_null, 0, np.minimum(g, max(len(bounds) - 1, 0))).astype(np.int32)
+class Ranges:
+    """Groups of documents in order of doc_id, null ids first; groups share a `level` only if they share one doc_id.
 
+    ends: the largest doc_id of each level of known ids, ascending; every one is an id that occurs. nulls: whether
+    level 0 is that of null ids. cuts: by level, the ends of the groups of an id with more text than a group takes,
+    as parts of the hash range of texts.
+    """
 
-def packed(docs: DataFrame, bounds: list[int], *, lend_last: bool = False) -> DataFrame:
-    """Rows (g, blob): documents (doc_id, text; null text as empty) as compressed Arrow streams by range of doc_id.
-
-    lend_last: the last document of each range is also sent to the next range (that of the last range to the
+    def __init__(self, ends: list[int], nulls: bool, cuts: dict[int, list[int]]):
+        self.ends, self.nulls = np.asarray(ends, np.int64), nulls
+        self.cuts = {level: np.asarray(c, np.int64) for level, c in cuts.items()}
+        sizes = np.ones(len(ends) + nulls, np.int64)
+        for level, c in cuts.items():
+            sizes[level] = len(c)
+        self.first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        self.level = np.repeat(np.arange(len(sizes)), sizes)
+        self.shared = np.repeat(sizes > 1, sizes)
+
+    def __len__(self) -> int:
+        return len(self.level)
+
+    def groups(self, ids: np.ndarray, null: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The group of each document, by its id and its text's part of the hash range."""
+        level = np.searchsorted(self.ends, ids, side="left") + self.nulls
+        level[null] = 0
+        level = np.minimum(level, len(self.first) - 1)
+        out = self.first[level]
+        for hot in np.intersect1d(np.unique(level), list(self.cuts)).tolist():
+            here = level == hot
+            out[here] += np.minimum(np.searchsorted(self.cuts[hot], part[here], side="left"), len(self.cuts[hot]) - 1)
+        return out.astype(np.int32)
+
+    def closes(self, ids: np.ndarray, null: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Which documents have the largest id of their group."""
+        level = self.level[group] - self.nulls
+        return null | (ids == self.ends[np.maximum(level, 0)]) if len(self.ends) else null
+
+
+def text_part():
+    """The part of the hash range in which a text lies (a null text as empty)."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - PART_BITS).cast("int")
+
+
+def doc_ranges(docs: DataFrame) -> Ranges:
+    """Ranges of doc_id of at most GROUP_BYTES of text, but for a single document that is longer.
+
+    Ids and sizes only are sorted, by Spark, and each task cuts its own run of them; the driver receives a few numbers
+    for each range. An id with more text than that, as null ids may have together, is cut again by a hash of its
+    texts; so only rows that are equal in both stay together however many they are.
+    """
+    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), text_part().alias("part"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b"))
+    sizes = sizes.groupBy("id", "part").agg(F.sum("b").alias("b"))
+    runs = sizes.repartitionByRange("id").sortWithinPartitions("id", "part").mapInArrow(run_cutter(GROUP_BYTES), "id long, part int, b long")
+    found = sorted(((r["id"] is not None, r["id"] or 0, r["part"], r["b"]) for r in runs.collect()), key=lambda r: (r[:2], r[2]))
+    ends, levels, cuts, held = [], 0, {}, None  # held: bytes of the last range, if more may join it
+    for (known, number), group in itertools.groupby(found, key=lambda r: r[:2]):
+        own = list(group)
+        if len(own) > 1:
+            cuts[levels] = [part for _, _, part, _ in own]
+        joins = known and len(own) == 1 and held is not None and held + own[0][3] <= GROUP_BYTES
+        if joins:
+            ends[-1], held = number, held + own[0][3]
+            continue
+        levels += 1
+        if known:
+            ends.append(number)
+            held = own[0][3] if len(own) == 1 else None
+    return Ranges(ends, bool(found) and not found[0][0], cuts)
+
+
+def run_cutter(most: int):
+    """Cuts sorted (id, part, b) into runs of at most `most` bytes: (last id, last part, bytes) of each run. Null ids
+    and an id with more than that have runs of their own, cut at parts; other ids are not cut."""
+
+    def run(batches):
+        out = []  # finished runs
+        before = 0  # bytes of ids that wait for more
+        last = None  # the id before, if it waits
+        now, started, own, inner = None, False, 0, []  # the id that is read: bytes since its last cut, and its cuts
+
+        def finish():
+            nonlocal before, last, inner, own
+            if not started:
+                return
+            if inner or now is None or before + own > most:
+                if last is not None:
+                    out.append((last, 0, before))
+                before, last = 0, None
+            if inner or now is None:
+                out.extend(inner)
+                out.append((now, part_before, own))
+            else:
+                before, last = before + own, now
+
+        part_before = 0
+        for batch in batches:
+            for number, part, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not started or number != now:
+                    finish()
+                    now, started, own, inner = number, True, 0, []
+                elif own + b > most and own:
+                    inner.append((now, part_before, own))
+                    own = 0
+                own += b
+                part_before = part
+            if out:
+                yield coded(out)
+                out.clear()
+        finish()
+        if last is not None:
+            out.append((last, 0, before))
+        if out:
+            yield coded(out)
+
+    def coded(found):
+        number, part, b = zip(*found, strict=True)
+        return pa.record_batch({"id": pa.array(number, pa.int64()), "part": pa.array(part, pa.int32()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def packed(docs: DataFrame, ranges: Ranges, *, lend_last: bool = False) -> DataFrame:
+    """Rows (g, blob): documents (doc_id, text; null text as empty) as compressed Arrow streams by group.
+
+    lend_last: the last document of each group is also sent to the next group (that of the last group to the
     first), marked `lent`. Dealt by g; the exchange is the only movement of whole texts.
     """
+    held = docs.sparkSession.sparkContext.broadcast(ranges)
 
     def deal(batches):
-        ends = np.asarray(bounds, np.int64)
+        ranges = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -245,22 +347,28 @@ def packed(docs: DataFrame, bounds: list[int], *, lend_last: bool = False) -> Da
             text = text.cast(pa.large_string()).fill_null("")
             null = np.asarray(ids.is_null())
             number = np.asarray(ids.fill_null(0)).astype(np.int64)
-            g = group_of(number, null, bounds)
+            g = ranges.groups(number, null, np.asarray(batch.column(2)))
+            whole = pa.table({"doc_id": ids, "text": text})
             rows, to, lent = np.arange(len(g)), g, np.zeros(len(g), bool)
-            if lend_last and len(ends):
-                last = np.flatnonzero(~null & (number == ends[g]))
-                rows = np.concatenate([rows, last])
-                to = np.concatenate([to, (g[last] + 1) % len(ends)])
+            if lend_last and len(ranges):
+                # of several with the largest id of a group only that with the largest text here can be the last
+                last: dict[int, int] = {}
+                for i in np.flatnonzero(ranges.closes(number, null, g)).tolist():
+                    j = last.setdefault(int(g[i]), i)
+                    if j != i and text[j].as_py() < text[i].as_py():
+                        last[int(g[i])] = i
+                rows = np.concatenate([rows, np.fromiter(last.values(), np.int64, len(last))])
+                to = np.concatenate([to, (np.fromiter(last, np.int64, len(last)) + 1) % len(ranges)])
                 lent = np.concatenate([lent, np.ones(len(last), bool)])
-            whole = pa.table({"doc_id": ids, "text": text})
             order = np.argsort(to, kind="stable")
             edges = np.flatnonzero(np.diff(to[order])) + 1
             for part in np.split(order, edges):
                 piece = whole.take(pa.array(rows[part])).append_column("lent", pa.array(lent[part]))
                 yield pa.record_batch({"g": pa.array([int(to[part[0]])], pa.int32()), "blob": pa.array([to_blob(piece)], pa.binary())})
 
-    parts = max(1, len(bounds))
-    return small_batches(docs).select("doc_id", "text").mapInArrow(deal, "g int, blob binary").repartition(parts, "g")
+    parts = max(1, len(ranges))
+    rows = small_batches(docs).select("doc_id", "text", text_part().alias("part"))
+    return rows.mapInArrow(deal, "g int, blob binary").repartition(parts, "g")
 
 
 def to_blob(piece: pa.Table) -> bytes:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_bounds, group_docs, mix64, packed, rolling_hash, table
+from .common import doc_ranges, group_docs, mix64, packed, rolling_hash, table
 
 K, S, SKETCH = 16, 9, 128
 
@@ -93,7 +93,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     near_* and placed_* are those of `compared`, from all anchors; anchors are 64-bit hashes, as signed numbers.
     Documents are dealt by ranges of doc_id; each range also gets the last document of the range before it, so
     that every document meets its next one without a sort of the whole table. Null text counts as empty, null
-    doc_ids as smallest, ties follow the text; a single document is its own next. An empty table gives no rows.
+    doc_ids as smallest; ties follow the text, those of an id with more text than a group takes follow a hash of the
+    text first. A single document is its own next. An empty table gives no rows.
     """
 
     def compare(group: pa.Table) -> pa.Table:
@@ -124,7 +125,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             "edited_positions": lists([at for at, _ in changes], np.int32), "edited_anchors": lists([h for _, h in changes], np.int64),
         })
 
-    groups = packed(docs, doc_bounds(docs), lend_last=True)
+    groups = packed(docs, doc_ranges(docs), lend_last=True)
     return groups.groupBy("g").applyInArrow(compare, RESULT)
 
 

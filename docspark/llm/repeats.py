@@ -1,7 +1,8 @@
 """Exact repeats between and within documents, found in bounded memory.
 
-The table is dealt once into ranges of doc_id ("groups", about 8 MB of text each), so that an earlier group holds
-only smaller ids. Three passes over the groups follow; between them only sorted, delta-coded hashes move:
+The table is dealt once into ranges of doc_id ("groups", at most 8 MB of text each), so that an earlier group holds
+only smaller ids; groups that share an id with more text than that share a level, and a level counts as earlier, not
+a group. Three passes over the groups follow; between them only sorted, delta-coded hashes move:
 
 1. seeds: every group sends hashes of short seeds. A reducer holds one slice of the hash range and answers one bit
    for each: does it occur again anywhere. It also tells which whole texts an earlier group holds.
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, doc_bounds, group_docs, mix64, packed, release, rolling_hash, split_words, unique_sorted, word_hashes
+from .common import GROUP_BYTES, doc_ranges, group_docs, mix64, packed, release, rolling_hash, split_words, unique_sorted, word_hashes
 
 SPARE_BITS = 9  # a seed seems to recur by chance once in about 2 ** (SPARE_BITS + 2)
 _CODED = "bucket int, g int, kind int, data binary"
@@ -104,15 +105,16 @@ def rows(found: list[tuple]) -> pa.RecordBatch:
 
 # --- the passes ---------------------------------------------------------------------------------------------
 
-PROBE, FLAGS, WHOLE, HITS, COPIES, WINDOWS, STATE, LOST = range(8)
+PROBE, FLAGS, WHOLE, HITS, COPIES, WINDOWS, STATE, LOST, STARTS = range(9)
 
 
 def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
     """finish(doc_id, source, removed) makes a row of the schema from a document and the mask of its removed units."""
-    bounds = doc_bounds(docs)
-    groups = packed(docs, bounds)
-    buckets = max(1, len(bounds))
-    bits = min(62, max(32, (len(bounds) * GROUP_BYTES).bit_length() + SPARE_BITS))
+    ranges = doc_ranges(docs)
+    groups = packed(docs, ranges)
+    buckets = max(1, len(ranges))
+    bits = min(62, max(32, (len(ranges) * GROUP_BYTES).bit_length() + SPARE_BITS))
+    held = docs.sparkSession.sparkContext.broadcast((ranges.level, ranges.shared))
 
     def seeds_of(units):
         """Seeds of a text that are sent, where they start, which are in the index, and how many places there are."""
@@ -160,7 +162,7 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
             for g, mask in zip(groups_here, np.split(hit, np.cumsum([len(v) for v in sent])[:-1]), strict=True):
                 if mask.any():
                     out.append((bucket, g, HITS, pack_bits(mask)))
-        for g, (v, lost) in earlier([(g, unpack_sorted(d)) for g, d in by_kind[WHOLE].items()]):
+        for g, (v, lost) in earlier([(g, unpack_sorted(d)) for g, d in by_kind[WHOLE].items()], held.value[0]):
             if lost.any():
                 out.append((bucket, g, COPIES, pack_sorted(v[lost])))
         return pa.Table.from_batches([rows(out)])
@@ -221,21 +223,30 @@ def removals(docs: DataFrame, spec: Repeats, finish, schema: str) -> DataFrame:
                 copies.append(unpack_sorted(data))
         ids, texts, _ = group_docs(table["blob"])
         flags, mask = candidates(texts, unique_sorted(np.concatenate(copies)), hits, ranks_of(ids))
-        _, found, _ = windows_of(texts, flags, mask)
+        _, found, places = windows_of(texts, flags, mask)
         out = [(-1 - g, g, STATE, pack_state(flags, mask))]
-        if found:
+        if found and spec.same_doc and held.value[1][g]:
+            distinct, back = np.unique(np.concatenate(found), return_inverse=True)
+            least, done = np.full(len(distinct), 1 << 40, np.int64), 0
+            np.minimum.at(least, back, np.concatenate([own for _, own in places]))
+            for b, v in slices(distinct, 64, buckets):
+                out += [(b, g, WINDOWS, pack_sorted(v)), (b, g, STARTS, zstandard.compress(least[done : done + len(v)].tobytes(), 1))]
+                done += len(v)
+        elif found:
             out += [(b, g, WINDOWS, pack_sorted(v)) for b, v in slices(unique_sorted(np.concatenate(found)), 64, buckets)]
         return pa.Table.from_batches([rows(out)])
 
     def answer_windows(part: pa.Table) -> pa.Table:
-        out, sent = [], []
+        out, sent, starts = [], [], {}
         for b, g, kind, data in zip(*(part[c].to_pylist() for c in ("bucket", "g", "kind", "data")), strict=True):
             if kind == STATE:
                 out.append((b, g, kind, data))
+            elif kind == STARTS:
+                starts[g] = np.frombuffer(zstandard.decompress(data), np.int64)
             else:
                 sent.append((g, unpack_sorted(data)))
                 bucket = b
-        for g, (_, lost) in earlier(sent):
+        for g, (_, lost) in earlier(sent, held.value[0], starts):
             if lost.any():
                 out.append((bucket, g, LOST, pack_bits(lost)))
         return pa.Table.from_batches([rows(out)])
@@ -293,21 +304,23 @@ def to_arrow(docs: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def earlier(sent: list[tuple[int, np.ndarray]]) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """For each (group, ascending distinct values): the values and whether a smaller group sent them too."""
-    merged: dict[int, np.ndarray] = {}
-    for g, v in sent:  # a group may send in several parts
-        merged[g] = unique_sorted(np.concatenate([merged[g], v])) if g in merged else v
-    ordered = sorted(merged.items())
-    if not ordered:
+def earlier(sent: list[tuple[int, np.ndarray]], level: np.ndarray, starts: dict[int, np.ndarray] | None = None) -> list[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """For each (group, ascending distinct values): the values and whether a group of a smaller level sent them too, or
+    one of the same level from an earlier start (starts: by group, the least of each value)."""
+    if not sent:
         return []
-    every = np.concatenate([v for _, v in ordered])
-    order = np.argsort(every, kind="stable")
+    sent = sorted(sent, key=lambda x: x[0])
+    every = np.concatenate([v for _, v in sent])
+    place = np.concatenate([np.full(len(v), int(level[g]) << 41, np.int64) for g, v in sent])
+    if starts:
+        place += np.concatenate([starts.get(g, np.zeros(len(v), np.int64)) for g, v in sent])
+    order = np.argsort(every, kind="stable") if not starts else np.lexsort((place, every))
+    run, place = every[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))[: len(run)]
     lost = np.empty(len(every), bool)
-    run = every[order]
-    lost[order] = np.concatenate([[False], run[1:] == run[:-1]])
-    ends = np.cumsum([len(v) for _, v in ordered])[:-1]
-    return [(g, (v, part)) for (g, v), part in zip(ordered, np.split(lost, ends), strict=True)]
+    lost[order] = place > np.repeat(place[first], np.diff(np.append(first, len(run))))
+    ends = np.cumsum([len(v) for _, v in sent])[:-1]
+    return [(g, (v, part)) for (g, v), part in zip(sent, np.split(lost, ends), strict=True)]
 
 
 def ranks_of(ids: list) -> np.ndarray:
