@@ -184,14 +184,8 @@ class WordNumbers:
             left = left[self.numbers[at[left]] != number[left]]
 
 
-def rolling_hash(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Scrambled hashes of all runs of `length` tokens (64-bit values), in order; empty if there are fewer tokens.
-
-    Runs of 2n tokens are combined from runs of n, scrambled before, so that no structure of the tokens survives;
-    the cost is logarithmic in the length.
-    """
-    if len(tokens) < length:
-        return np.empty(0, np.uint64)
+def joined_runs(tokens: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of `length` tokens (64-bit values), in order, before their last scramble."""
     have, run = 1, tokens
     for bit in bin(length)[3:]:
         keep = len(run) - have
@@ -201,7 +195,18 @@ def rolling_hash(tokens: np.ndarray, length: int) -> np.ndarray:
             keep = len(tokens) - have
             run = mix64(run[:keep] + np.uint64(have)) + tokens[have : have + keep]
             have += 1
-    return mix64(run)
+    return run
+
+
+def rolling_hash(tokens: np.ndarray, length: int) -> np.ndarray:
+    """Scrambled hashes of all runs of `length` tokens (64-bit values), in order; empty if there are fewer tokens.
+
+    Runs of 2n tokens are combined from runs of n, scrambled before, so that no structure of the tokens survives;
+    the cost is logarithmic in the length.
+    """
+    if len(tokens) < length:
+        return np.empty(0, np.uint64)
+    return mix64(joined_runs(tokens, length))
 
 
 # --- groups of documents, dealt by ranges of doc_id ---------------------------------------------------------

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_ranges, group_docs, mix64, packed, rolling_hash, table
+from .common import doc_ranges, group_docs, joined_runs, mix64, packed, rolling_hash, table
 
-K, S, SKETCH = 16, 9, 128
+K, S = 16, 9
+
+
+def closed_syncmers(text: str, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the k-mers whose least s-mer stands first or last in them."""
+    code = mix64(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1))
+    if len(code) < k:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    half = s - 1
+    shared = k == 2 * half and not half & (half - 1)  # both hashes grow from the same runs, see `rolling_hash`
+    if shared:
+        run = joined_runs(code, half)
+        mixed = mix64(run + np.uint64(half))
+        small = mix64(mixed[:-1] + code[half:])
+    else:
+        small = rolling_hash(code, s)
+    width = k - s + 1
+    least, have = small, 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    at = np.flatnonzero((small[: len(least)] == least) | (small[width - 1 :] == least))
+    return at, mix64(mixed[at] + run[at + half]) if shared else rolling_hash(code, k)[at]
 
 
 def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -19,45 +43,54 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     Whether a k-mer is chosen depends on its own characters only, so equal passages have equal anchors wherever
     they stand. A non-empty text without any has one anchor, the whole text at position 0.
     """
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    small = rolling_hash(mix64(code + np.uint64(1)), s)
-    width = k - s + 1
-    if len(small) >= width:
-        least, have = small, 1
-        while have < width:
-            step = min(have, width - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        n = len(small) - width + 1
-        at = np.flatnonzero((small[:n] == least) | (small[width - 1 :] == least))
-        if len(at):
-            return at, rolling_hash(mix64(code + np.uint64(1)), k)[at]
+    at, hashes = closed_syncmers(text, k, s)
+    return (at, hashes) if len(at) else whole_text(text)
+
+
+def whole_text(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     return np.zeros(1, np.int64), np.array([whole], np.uint64)
 
 
-def sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
-    """The `size` least distinct 32-bit values of the anchors, ascending: a short key, not what texts are compared by."""
-    return np.unique((mix64(hashes) >> np.uint64(32)).astype(np.uint32))[:size]
+def edited_anchors(text: str, start: int, before: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a text that agrees with another up to `start`, from those of the other: they need no context, so
+    only what reaches beyond is looked at."""
+    if start < K:
+        return anchors(text)
+    first = start - K + 1  # of the k-mers that reach beyond
+    keep = int(np.searchsorted(before[0], first))
+    at, hashes = closed_syncmers(text[first:], K, S)
+    if not len(at) and (not keep or len(before[0]) == 1):  # perhaps the other's one anchor is its whole text
+        return anchors(text)
+    return np.concatenate([before[0][:keep], at + first]), np.concatenate([before[1][:keep], hashes])
 
 
 def to_text(values: np.ndarray) -> str:
-    return values.astype(">u4").tobytes().hex()
+    """64-bit values as base64 of their bytes, highest first."""
+    return binascii.b2a_base64(values.astype(">u8").tobytes(), newline=False).decode()
+
+
+def from_text(fingerprint: str) -> np.ndarray:
+    """The distinct anchors, ascending, of which the fingerprint consists."""
+    return np.frombuffer(binascii.a2b_base64(fingerprint), ">u8").astype(np.uint64)
 
 
 class Print:
     """All anchors of a text: `at` and `hashes` by position; `distinct` hashes, ascending, with `first` and `count`
-    of each among the positions `by_hash`, which are in order of hash and then of place."""
+    of each among the positions `by_hash`, which are in order of hash and then of place. `text` is the fingerprint."""
 
-    def __init__(self, text: str):
-        at, self.hashes = anchors(text)
+    def __init__(self, found: tuple[np.ndarray, np.ndarray]):
+        at, self.hashes = found
         self.at = at.astype(np.int32)
         order = np.argsort(self.hashes, kind="stable")
-        self.by_hash = self.at[order]
-        self.distinct, self.first, self.count = np.unique(self.hashes[order], return_index=True, return_counts=True)
-        self.text = to_text(sketch(self.distinct))
+        self.by_hash, ordered = self.at[order], self.hashes[order]
+        new = np.ones(len(ordered), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        self.first = np.flatnonzero(new)
+        self.distinct, self.count = ordered[self.first], np.diff(np.append(self.first, len(ordered)))
+        self.text = to_text(self.distinct)
 
 
 def compared(a: Print, b: Print) -> tuple[float, int]:
@@ -90,7 +123,8 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def with_next(docs: DataFrame) -> DataFrame:
     """Every anchor of each text and of its edited text with its position, and their likeness; see `op2_syncmers`.
 
-    near_* and placed_* are those of `compared`, from all anchors; anchors are 64-bit hashes, as signed numbers.
+    A fingerprint holds all distinct anchors of its text (`from_text`); near_* are the Jaccard similarities of
+    fingerprints, placed_* is that of `compared`. Anchors are 64-bit hashes, in the arrays as signed numbers.
     Documents are dealt by ranges of doc_id; each range also gets the last document of the range before it, so
     that every document meets its next one without a sort of the whole table. Null text counts as empty, null
     doc_ids as smallest; ties follow the text, those of an id with more text than a group takes follow a hash of the
@@ -104,13 +138,13 @@ def with_next(docs: DataFrame) -> DataFrame:
         rows, prints, changes = [], [], []
         if own:
             follower = before[-1] if before else own[-1]
-            next_print = Print(texts[follower])
+            next_print = Print(anchors(texts[follower]))
             for i in own:
                 text, after = texts[i], texts[follower]
-                mine = next_print if text == after else Print(text)
+                mine = next_print if text == after else Print(anchors(text))
                 m = len(text) // 3
                 edited = text[: len(text) - m] + after[:m] if m else text
-                changed = mine if edited == text else Print(edited)
+                changed = mine if edited == text else Print(edited_anchors(edited, len(text) - m, (mine.at, mine.hashes)))
                 rows.append((ids[i], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine.text, changed.text, compared(mine, changed), compared(mine, next_print)))
                 prints.append((mine.at, mine.hashes))
                 changes.append((changed.at, changed.hashes))

@@ -1,9 +1,11 @@
 """Operators against brute force, exact round trips and held-out accuracy, and on edge cases."""
 
+import base64
 import collections
 import hashlib
 import itertools
 import re
+import struct
 import zlib
 
 import duckdb
@@ -269,14 +271,14 @@ def test_fingerprints_of_next_documents(spark, docs, texts):
         assert got[d].n_chars == len(text) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b, c = (set(fingerprints.anchors(x)[1].tolist()) for x in (text, edited, after))
         assert got[d].near_edited == len(a & b) / len(a | b) and got[d].near_next == len(a & c) / len(a | c)
-        assert got[d].fingerprint == fingerprints.to_text(fingerprints.sketch(fingerprints.anchors(text)[1]))
+        mine, changed, other = ({h for h, in struct.iter_unpack(">Q", base64.b64decode(f))} for f in (got[d].fingerprint, got[d].edited_fingerprint, got[order[(i + 1) % len(order)]].fingerprint))
+        assert (mine, changed, other) == (a, b, c) and fingerprints.from_text(got[d].fingerprint).tolist() == sorted(a)
 
 
 def test_all_anchors_are_kept_and_compared(spark, docs, texts):
-    """Also of texts with more anchors than the short key holds."""
     got = {r.doc_id: r for r in fingerprints.with_next(docs).collect()}
     order = sorted(texts, reverse=True)
-    assert sum(len(r.anchors) > fingerprints.SKETCH for r in got.values()) > 50
+    assert sum(len(r.anchors) > 128 for r in got.values()) > 50
     for i, d in enumerate(order):
         text, after = texts[d], texts[order[(i + 1) % len(order)]]
         m = len(text) // 3
@@ -295,6 +297,18 @@ def test_all_anchors_are_kept_and_compared(spark, docs, texts):
             assert placed == max(shifts.values(), default=0)
 
 
+def test_anchors_of_edited_texts():
+    """Anchors taken over from the text before are those of the whole edited text, also of short and uniform ones."""
+    rng = np.random.default_rng(5)
+    for n in [*range(0, 60), 500]:
+        for letters in ("a", "ab", "abcdefgh é\U0001f600"):
+            text = "".join(rng.choice(list(letters), n))
+            for start in {0, n // 2, max(0, n - n // 3), n}:
+                edited = text[:start] + "".join(rng.choice(list("xyab"), n - start))
+                for got, want in zip(fingerprints.edited_anchors(edited, start, fingerprints.anchors(text)), fingerprints.anchors(edited), strict=True):
+                    assert got.tolist() == want.tolist()
+
+
 def test_fingerprints_edges(spark, edge):
     got = fingerprints.with_next(edge).collect()
     assert len(got) == edge.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
