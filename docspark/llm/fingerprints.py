@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,25 +118,44 @@ def lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(kind) if parts else np.empty(0, kind)))
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, placed_edited long, placed_next long, positions array<int>, anchors array<long>, edited_positions array<int>, edited_anchors array<long>"
+DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, placed_edited long, placed_next long"
+RESULT = DIGEST + ", positions array<int>, anchors array<long>, edited_positions array<int>, edited_anchors array<long>"
+#: Characters of the texts whose rows are sent together: a row holds several times its text.
+SENT_CHARS = 1 << 19
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, *, arrays: bool = True) -> DataFrame:
     """Every anchor of each text and of its edited text with its position, and their likeness; see `op2_syncmers`.
 
     A fingerprint holds all distinct anchors of its text (`from_text`); near_* are the Jaccard similarities of
-    fingerprints, placed_* is that of `compared`. Anchors are 64-bit hashes, in the arrays as signed numbers.
+    fingerprints, placed_* is that of `compared`. Anchors are 64-bit hashes, in the arrays as signed numbers; without
+    `arrays` the rows end before them, which is half their bytes.
     Documents are dealt by ranges of doc_id; each range also gets the last document of the range before it, so
     that every document meets its next one without a sort of the whole table. Null text counts as empty, null
     doc_ids as smallest; ties follow the text, those of an id with more text than a group takes follow a hash of the
     text first. A single document is its own next. An empty table gives no rows.
     """
 
-    def compare(group: pa.Table) -> pa.Table:
-        ids, texts, lent = group_docs(group["blob"])
+    def coded(rows: list[tuple], prints: list[tuple], changes: list[tuple]) -> pa.RecordBatch:
+        doc_id, n_chars, sha, key, edited_key, to_edited, to_next = zip(*rows, strict=True)
+        out = {
+            "doc_id": pa.array(doc_id, pa.int64()), "n_chars": pa.array(n_chars, pa.int64()), "edited_sha256": pa.array(sha, pa.string()),
+            "fingerprint": pa.array(key, pa.string()), "edited_fingerprint": pa.array(edited_key, pa.string()),
+            "near_edited": pa.array([x for x, _ in to_edited], pa.float64()), "near_next": pa.array([x for x, _ in to_next], pa.float64()),
+            "placed_edited": pa.array([n for _, n in to_edited], pa.int64()), "placed_next": pa.array([n for _, n in to_next], pa.int64()),
+        }
+        if arrays:
+            out |= {
+                "positions": lists([at for at, _ in prints], np.int32), "anchors": lists([h for _, h in prints], np.int64),
+                "edited_positions": lists([at for at, _ in changes], np.int32), "edited_anchors": lists([h for _, h in changes], np.int64),
+            }
+        return pa.record_batch(out)
+
+    def compare(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, lent = group_docs([b for batch in group for b in batch.column("blob")])
         own = [i for i, x in enumerate(lent) if not x]
         before = [i for i, x in enumerate(lent) if x]
-        rows, prints, changes = [], [], []
+        rows, prints, changes, held = [], [], [], 0
         if own:
             follower = before[-1] if before else own[-1]
             next_print = Print(anchors(texts[follower]))
@@ -146,22 +166,21 @@ def with_next(docs: DataFrame) -> DataFrame:
                 edited = text[: len(text) - m] + after[:m] if m else text
                 changed = mine if edited == text else Print(edited_anchors(edited, len(text) - m, (mine.at, mine.hashes)))
                 rows.append((ids[i], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mine.text, changed.text, compared(mine, changed), compared(mine, next_print)))
-                prints.append((mine.at, mine.hashes))
-                changes.append((changed.at, changed.hashes))
+                if arrays:
+                    prints.append((mine.at, mine.hashes))
+                    changes.append((changed.at, changed.hashes))
+                held += len(text)
                 follower, next_print = i, mine
-        doc_id, n_chars, sha, key, edited_key, to_edited, to_next = zip(*rows, strict=True) if rows else [()] * 7
-        return pa.table({
-            "doc_id": pa.array(doc_id, pa.int64()), "n_chars": pa.array(n_chars, pa.int64()), "edited_sha256": pa.array(sha, pa.string()),
-            "fingerprint": pa.array(key, pa.string()), "edited_fingerprint": pa.array(edited_key, pa.string()),
-            "near_edited": pa.array([x for x, _ in to_edited], pa.float64()), "near_next": pa.array([x for x, _ in to_next], pa.float64()),
-            "placed_edited": pa.array([n for _, n in to_edited], pa.int64()), "placed_next": pa.array([n for _, n in to_next], pa.int64()),
-            "positions": lists([at for at, _ in prints], np.int32), "anchors": lists([h for _, h in prints], np.int64),
-            "edited_positions": lists([at for at, _ in changes], np.int32), "edited_anchors": lists([h for _, h in changes], np.int64),
-        })
+                if held >= SENT_CHARS:
+                    yield coded(rows, prints, changes)
+                    rows, prints, changes, held = [], [], [], 0
+        if rows:
+            yield coded(rows, prints, changes)
 
     groups = packed(docs, doc_ranges(docs), lend_last=True)
-    return groups.groupBy("g").applyInArrow(compare, RESULT)
+    return groups.groupBy("g").applyInArrow(compare, RESULT if arrays else DIGEST)
 
 
 def op2_syncmers(spark, sf_dir):
-    return with_next(table(spark, sf_dir, "documents"))
+    """Without the arrays: their hashes are those of the fingerprints."""
+    return with_next(table(spark, sf_dir, "documents"), arrays=False)

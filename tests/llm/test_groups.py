@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docspark.llm import common, fingerprints, repeats
@@ -80,3 +81,33 @@ def test_next_documents_over_split_ids(skewed, monkeypatch):
         want.append((r.doc_id or -1, len(text), hashlib.sha256((text[: len(text) - m] + after[:m]).encode()).hexdigest()))
     got = [(r.doc_id or -1, r.n_chars, r.edited_sha256) for r in fingerprints.with_next(docs).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_fingerprints_are_sent_in_parts(spark, monkeypatch):
+    """A group's rows leave the worker a few at a time, and the query's rows end before the arrays."""
+    monkeypatch.setattr(fingerprints, "SENT_CHARS", 1 << 9)
+    rows = [(i, f"text {i} " * (i % 50)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent = []
+    whole = fingerprints.with_next(docs).collect()
+    monkeypatch.setattr(fingerprints, "packed", lambda docs, ranges, lend_last: Sent(common.packed(docs, ranges, lend_last=lend_last), sent))
+    fingerprints.with_next(docs)
+    assert sum(sent) == 300 and max(sent) < 100 and len(sent) > 10
+    monkeypatch.undo()
+    got = fingerprints.with_next(docs, arrays=False)
+    assert got.columns == [c.split()[0] for c in fingerprints.DIGEST.split(", ")]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r)[: len(got.columns)] for r in whole)
+
+
+class Sent:
+    """Stands for a frame of groups: notes how many rows each batch of a group's answer has."""
+
+    def __init__(self, groups, sent):
+        self.groups, self.sent = groups, sent
+
+    def groupBy(self, _):  # noqa: N802
+        return self
+
+    def applyInArrow(self, compare, _):  # noqa: N802
+        blobs = [bytes(r.blob) for r in self.groups.collect()]
+        self.sent += [b.num_rows for b in compare(iter([pa.record_batch({"blob": pa.array(blobs, pa.binary())})]))]
