@@ -7,6 +7,7 @@ from .converters import (
     from_jira,
     normalize_markdown,
     page_script,
+    passes,
     patch_page,
     storage_blocks,
     storage_hash,
@@ -45,6 +46,6 @@ from .native import (
 __all__ = [
     "asset_markers", "attachment_files", "authentic_blocks", "block_changes", "canonical_storage", "canonical_trace", "data_uri", "directive_params", "escape_jira",
     "escape_markdown", "filename_problem", "fragment_id", "from_jira", "heading_level", "image_size", "inline_fragments", "input_format",
-    "is_local_file", "macro_params", "normalize_markdown", "page_script", "patch_page", "payload_entries", "storage_blocks", "storage_hash", "strip_comments", "strip_notice", "strip_payloads", "to_jira",
+    "is_local_file", "macro_params", "normalize_markdown", "page_script", "passes", "patch_page", "payload_entries", "storage_blocks", "storage_hash", "strip_comments", "strip_notice", "strip_payloads", "to_jira",
     "to_markdown", "to_storage", "unescape_jira", "without_blocks", "write_asset_marker", "write_fragment", "write_fragment_link", "write_payloads",
 ]

@@ -1,12 +1,13 @@
 """Converters as columns. Each is one UDF call a page and returns a result struct; a page's error is in `error`.
 
 Filters on other columns should be written before a conversion: the UDFs are marked non-deterministic, so that
-projecting several fields and filtering on one still runs them once. A conversion needs no shuffle.
+projecting several fields and filtering on one still runs them once. A conversion needs no shuffle. A batch of pages is
+converted and sent back in parts, so that a worker holds the trees and rows of few pages, however many the batch has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -28,14 +29,39 @@ def as_column(source: Column | str) -> Column:
     return F.col(source) if isinstance(source, str) else source
 
 
-def converter(fn: Callable[[str | None], dict]) -> Callable[[Column], Column]:
-    @F.arrow_udf(RESULT)
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fn(t) for t in texts.to_pylist()], result_type())
+#: Pages, and characters of text, after which a part of a batch is sent back.
+PART_PAGES, PART_CHARS = 256, 1 << 18
+
+
+def parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, a few at a time; a text that is longer than a part alone or last in one."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t.as_py())
+        held += len(part[-1] or "")
+        if len(part) >= PART_PAGES or held >= PART_CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def by_parts(kind: str, fn: Callable[[list[str | None]], pa.Array]) -> Callable[[Column], Column]:
+    """A column function from one that makes an array of a few texts."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in parts(texts):
+                yield fn(part)
 
     return run.asNondeterministic()
 
 
+def converter(fn: Callable[[str | None], dict]) -> Callable[[Column], Column]:
+    return by_parts(RESULT, lambda part: pa.array([fn(t) for t in part], result_type()))
+
+
 def result_type() -> pa.DataType:
     text, size = pa.string(), pa.int32()
     pair = pa.struct([("k", text), ("v", text)])
@@ -94,11 +120,8 @@ TRACE = pa.struct([("xhtml", pa.string()), ("rules", pa.list_(pa.struct([("rule"
 def canonical_trace(source: Column | str) -> Column:
     """(xhtml, rules, error): the canonical form, and the rules that changed the page with the characters each took away."""
 
-    @F.arrow_udf("struct<xhtml:string,rules:array<struct<rule:string,taken:long>>,error:string>")
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([convert.traced(t) for t in texts.to_pylist()], TRACE)
-
-    return run.asNondeterministic()(as_column(source))
+    kind = "struct<xhtml:string,rules:array<struct<rule:string,taken:long>>,error:string>"
+    return by_parts(kind, lambda part: pa.array([convert.traced(t) for t in part], TRACE))(as_column(source))
 
 
 def normalize_markdown(source: Column | str) -> Column:
@@ -109,24 +132,47 @@ def normalize_markdown(source: Column | str) -> Column:
 def storage_hash(source: Column | str, source_format: str) -> Column:
     """(hash, error): SHA-256 of the canonical storage form of `markdown` or `xhtml` text."""
 
-    @F.arrow_udf("struct<hash:string,error:string>")
-    def run(texts: pa.Array) -> pa.Array:
-        found = [convert.hashed(t, source_format) for t in texts.to_pylist()]
+    def run(part: list[str | None]) -> pa.Array:
+        found = [convert.hashed(t, source_format) for t in part]
         return pa.StructArray.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], ["hash", "error"])
 
-    return run.asNondeterministic()(as_column(source))
+    return by_parts("struct<hash:string,error:string>", run)(as_column(source))
 
 
 def storage_blocks(source: Column | str, source_format: str) -> Column:
     """(hash, blocks, error): SHA-256 of the canonical storage form of `markdown` or `xhtml` text, and hashes of its
     top-level parts in order."""
 
-    @F.arrow_udf("struct<hash:string,blocks:array<string>,error:string>")
-    def run(texts: pa.Array) -> pa.Array:
-        found = list(zip(*[convert.canonical_blocks(t, source_format) for t in texts.to_pylist()], strict=True)) or [[], [], []]
+    def run(part: list[str | None]) -> pa.Array:
+        found = list(zip(*[convert.canonical_blocks(t, source_format) for t in part], strict=True))
         return pa.StructArray.from_arrays([pa.array(found[0], pa.string()), pa.array(found[1], pa.list_(pa.string())), pa.array(found[2], pa.string())], ["hash", "blocks", "error"])
 
-    return run.asNondeterministic()(as_column(source))
+    return by_parts("struct<hash:string,blocks:array<string>,error:string>", run)(as_column(source))
+
+
+STEPS = {
+    "to_storage": (convert.to_storage, "xhtml"), "to_markdown": (convert.to_markdown, "markdown"), "from_jira": (convert.from_jira, "markdown"),
+    "markdown_to_jira": (lambda s, **how: convert.to_jira(s, source_format="markdown", **how), "jira_wiki"),
+    "storage_to_jira": (lambda s, **how: convert.to_jira(s, source_format="xhtml", **how), "jira_wiki"),
+}
+
+
+def passes(source: Column | str, steps: list[str]) -> Column:
+    """The texts after each of some conversions, of which each reads what the one before has written; null from an error on.
+
+    One call a page, so that no worker is needed for each step."""
+    if unknown := set(steps) - set(STEPS):
+        raise ValueError(f"steps are among {sorted(STEPS)}, got {sorted(unknown)}")
+
+    def run(text: str | None) -> list[str | None]:
+        out = []
+        for name in steps:
+            fn, field = STEPS[name]
+            text = fn(text, nodes=False)[field]
+            out.append(text)
+        return out
+
+    return by_parts("array<string>", lambda part: pa.array([run(t) for t in part], pa.list_(pa.string())))(as_column(source))
 
 
 SCRIPT = pa.struct([("script", pa.string()), *[(n, pa.int32()) for n in ("kept", "moved", "changed", "inserted", "deleted")], ("error", pa.string())])
