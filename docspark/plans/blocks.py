@@ -337,9 +337,6 @@ def canonical_noise(spark, sf_dir):
 def fixed_points(spark, sf_dir):
     """Markdown and storage settle after one pass, wiki text after two."""
     first = documents(spark, sf_dir).select("page_id", storage_of(text("# ", fn.escape_markdown(title()), "\n\n", each("lines", "- ", "\n\n  1. n\n", fn.escape_markdown), "\n| a | b |\n|---|---|\n| **c** | `d` |\n")))
-    once = first.select("page_id", "xhtml", fn.to_markdown("xhtml", nodes=False)["markdown"].alias("m1"), fn.to_jira("xhtml", source_format="xhtml", nodes=False)["jira_wiki"].alias("w1"))
-    twice = once.select("page_id", "xhtml", "m1", fn.to_storage("m1", nodes=False)["xhtml"].alias("x2"), fn.from_jira("w1", nodes=False)["markdown"].alias("j1"))
-    wiki = twice.select("*", fn.to_markdown("x2", nodes=False)["markdown"].alias("m2"), fn.to_jira("j1", source_format="markdown", nodes=False)["jira_wiki"].alias("w2"))
-    wiki = wiki.select("*", fn.from_jira("w2", nodes=False)["markdown"].alias("j2"))
-    last = wiki.select("*", fn.to_jira("j2", source_format="markdown", nodes=False)["jira_wiki"].alias("w3"))
-    return last.select("page_id", (F.col("m1") == F.col("m2")).alias("markdown_is_fixed"), (F.col("xhtml") == F.col("x2")).alias("storage_is_fixed"), (F.col("w2") == F.col("w3")).alias("jira_is_fixed"))
+    back = first.select("page_id", "xhtml", fn.passes("xhtml", ["to_markdown", "to_storage", "to_markdown"]).alias("m"))
+    both = back.select("*", fn.passes("xhtml", ["storage_to_jira", "from_jira", "markdown_to_jira", "from_jira", "markdown_to_jira"]).alias("w"))
+    return both.select("page_id", (F.col("m")[0] == F.col("m")[2]).alias("markdown_is_fixed"), (F.col("xhtml") == F.col("m")[1]).alias("storage_is_fixed"), (F.col("w")[2] == F.col("w")[4]).alias("jira_is_fixed"))
