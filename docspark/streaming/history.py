@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.converters import storage_hash
 from ..sources.folders import shared_folder
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What the processor gives; times are microseconds, which no time zone touches on their way through Python.
 EVENTS = StructType([
-    StructField("page_id", LongType()), StructField("event", StringType()), StructField("ts", TimestampType()), StructField("until", TimestampType()),
+    StructField("page_id", LongType()), StructField("event", StringType()), StructField("ts", LongType()), StructField("until", LongType()),
     StructField("canonical", StringType()), StructField("edits", LongType()),
 ])
 
@@ -49,41 +49,44 @@ class PageHistory(StatefulProcessor):
         self.last = handle.getValueState("last", "hash string, start long, end long, edits long")
         self.seen = handle.getMapState("seen", "hash string", "n long")
 
-    def _session(self, key, start: int, end: int, edits: int) -> dict:
-        return {"page_id": page_of(key), "event": "session", "ts": pd.Timestamp(start, unit="ms"), "until": pd.Timestamp(end, unit="ms"), "canonical": None, "edits": edits}
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "canonical"], kind="stable", na_position="first")
-        state = self.last.get() if self.last.exists() else (None, None, None, 0)
-        last, start, end, edits = state
-        out = []
-        for ts, found in zip(batch["ts"], batch["canonical"], strict=True):
-            if found is None or found != found:  # a version that can't be read is no state of the page
-                out.append({"page_id": page_of(key), "event": "unreadable", "ts": ts, "until": None, "canonical": None, "edits": None})
+    def _session(self, key, start: int, end: int, edits: int) -> Row:
+        return Row(page_id=page_of(key), event="session", ts=start, until=end, canonical=None, edits=edits)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """The state is read once and written once for all rows of a page in a batch: each call to it goes over a socket."""
+        batch = sorted(((r["at"], r["canonical"]) for r in rows), key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        last, start, end, edits = self.last.get() or (None, None, None, 0)
+        timed, counts = end, {}
+        for at, found in batch:
+            if found is None:  # a version that can't be read is no state of the page
+                yield Row(page_id=page_of(key), event="unreadable", ts=at, until=None, canonical=None, edits=None)
                 continue
-            n = self.seen.getValue((found,))[0] if self.seen.containsKey((found,)) else 0
-            event = "new" if last is None else "repeat" if found == last else "revert" if n else "edit"
-            self.seen.updateValue((found,), (n + 1,))
-            out.append({"page_id": page_of(key), "event": event, "ts": ts, "until": None, "canonical": found, "edits": None})
-            last, now = found, int(ts.value // 1_000_000)
+            if found not in counts:
+                counts[found] = (self.seen.getValue((found,)) or (0,))[0]
+            event = "new" if last is None else "repeat" if found == last else "revert" if counts[found] else "edit"
+            counts[found] += 1
+            yield Row(page_id=page_of(key), event=event, ts=at, until=None, canonical=found, edits=None)
+            last, now = found, at // 1000
             if event == "repeat":
                 continue
             if end is not None and now - end >= self.gap:
-                out.append(self._session(key, start, end, edits))
-                self.handle.deleteTimer(end + self.gap)
+                yield self._session(key, start * 1000, end * 1000, edits)
                 start = None
-            elif end is not None:
-                self.handle.deleteTimer(end + self.gap)
             start, end, edits = (now, now, 1) if start is None else (min(start, now), max(end, now), edits + 1)
+        for found, n in counts.items():
+            self.seen.updateValue((found,), (n,))
+        if end != timed:
+            if timed is not None:
+                self.handle.deleteTimer(timed + self.gap)
             self.handle.registerTimer(end + self.gap)
-        self.last.update((last, start, end, edits))
-        yield pd.DataFrame(out, columns=EVENTS.names).astype({"page_id": "Int64", "edits": "Int64"})
+        if counts:
+            self.last.update((last, start, end, edits))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last, start, end, edits = self.last.get()
         if end is not None and end + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.update((last, None, None, 0))
-            yield pd.DataFrame([self._session(key, start, end, edits)], columns=EVENTS.names).astype({"page_id": "Int64", "edits": "Int64"})
+            yield self._session(key, start * 1000, end * 1000, edits)
 
     def close(self) -> None:
         pass
@@ -104,8 +107,9 @@ def page_events(stream: DataFrame, *, gap: str = "30 minutes", late: str = "10 m
     milliseconds = int(stream.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {gap})").first()[0])
     hashed = stream.filter("ts IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "ts", storage_hash("xhtml", "xhtml")["hash"].alias("canonical"))
     rows = hashed.withWatermark("ts", late)
-    rows = rows.select(F.coalesce("page_id", F.lit(0)).alias("page"), F.col("page_id").isNull().alias("nowhere"), "ts", "canonical")
-    return rows.groupBy("page", "nowhere").transformWithStateInPandas(PageHistory(milliseconds), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
+    rows = rows.select(F.coalesce("page_id", F.lit(0)).alias("page"), F.col("page_id").isNull().alias("nowhere"), "ts", F.unix_micros("ts").alias("at"), "canonical")
+    events = rows.groupBy("page", "nowhere").transformWithState(PageHistory(milliseconds), outputStructType=EVENTS, outputMode="Append", timeMode="EventTime")
+    return events.withColumns({c: F.timestamp_micros(c) for c in ("ts", "until")})
 
 
 def events_of(spark: SparkSession, versions: DataFrame, **how) -> DataFrame:

@@ -68,3 +68,52 @@ def test_state_lasts_from_run_to_run(spark, tmp_path):
         run = history.page_events(stream, gap="30 minutes", late="10 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
         run.trigger(availableNow=True).start().awaitTermination()
     assert got(spark.read.parquet(f"{tmp_path}/out")) == replay(rows)
+
+
+class Calls:
+    """A handle and its states in one, which counts the calls that would go over the socket."""
+
+    def __init__(self):
+        self.n, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def get(self):
+        self.n += 1
+        return self.value
+
+    def update(self, value):
+        self.n, self.value = self.n + 1, value
+
+    def getValue(self, key):  # noqa: N802
+        self.n += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.n += 1
+        self.map[key] = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.n += 1
+        self.timers.discard(at)
+
+
+def test_state_is_read_and_written_once_a_batch():
+    calls, page = Calls(), history.PageHistory(60_000)
+    page.init(calls)
+    for batch in (0, 1):
+        calls.n = 0
+        rows = [{"at": (batch * 300 + i) * 10_000_000, "canonical": "abc"[i % 3]} for i in range(300)]
+        events = [r.event for r in page.handleInputRows((1, False), iter(rows), None)]
+        assert len(events) == 300 and events.count("revert") == (300 if batch else 297) and calls.n <= 1 + 3 + 3 + 2 + 1
+        end = (batch * 300 + 299) * 10_000
+        assert calls.timers == {end + 60_000} and calls.value == ("c", 0, end, (batch + 1) * 300)
+        assert calls.map == {(c,): ((batch + 1) * 100,) for c in "abc"}
