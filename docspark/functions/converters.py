@@ -160,15 +160,18 @@ STEPS = {
 def passes(source: Column | str, steps: list[str]) -> Column:
     """The texts after each of some conversions, of which each reads what the one before has written; null from an error on.
 
-    One call a page, so that no worker is needed for each step."""
+    One call a page, so that no worker is needed for each step. A step that meets a text again that it has read for this page
+    gives what it gave then."""
     if unknown := set(steps) - set(STEPS):
         raise ValueError(f"steps are among {sorted(STEPS)}, got {sorted(unknown)}")
 
     def run(text: str | None) -> list[str | None]:
-        out = []
+        out, made = [], {}
         for name in steps:
             fn, field = STEPS[name]
-            text = fn(text, nodes=False)[field]
+            if (name, text) not in made:
+                made[name, text] = fn(text, nodes=False)[field]
+            text = made[name, text]
             out.append(text)
         return out
 

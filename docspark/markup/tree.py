@@ -27,7 +27,7 @@ class AssetSecurityError(MarkupError):
     """An attachment's name is not safe to write to."""
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     kind: str
     kids: list[Node] = field(default_factory=list)
